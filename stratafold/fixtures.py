@@ -74,6 +74,16 @@ SELECT event_id, ts AS logged_at, concat('B', CAST(user_id % 7 AS VARCHAR), '_LH
     "pixels": ("", """
 SELECT vec_id // 50 AS image, vec_id % 50 AS y, r.i - 1 AS x, CAST(embedding[r.i] AS DOUBLE) AS green, label
 FROM embeddings, range(1, 65) r(i)"""),
+    "bands": ("pixels", """
+SELECT image, sin(image * CAST(0.5 AS DOUBLE)) AS normal_y, cos(image * CAST(0.5 AS DOUBLE)) AS normal_x, CAST(5 + image % 3 AS DOUBLE) AS ncm_offset,
+       CAST(image % 3 - 15 AS DOUBLE) AS cmm_offset, CAST(-15 AS DOUBLE) AS span_low, CAST(18 AS DOUBLE) AS span_high, image % 2 = 0 AS mirror,
+       concat('B', CAST(image % 4 AS VARCHAR)) AS bird FROM pixels GROUP BY image"""),
+    "framed": ("pixels bands", """
+SELECT p.image, b.bird, p.y, p.x, p.green, p.green >= 0 AS tissue,
+       ((-normal_x * (p.y - 25) + normal_y * (p.x - 32)) - (span_low + span_high) / 2) * 8 * CASE WHEN mirror THEN -1 ELSE 1 END AS along,
+       ((normal_y * (p.y - 25) + normal_x * (p.x - 32)) - ncm_offset) * 8 AS across,
+       CASE WHEN p.y BETWEEN 4 AND 18 + p.image % 4 AND p.x BETWEEN 8 AND 55 THEN 1 WHEN p.y BETWEEN 28 + p.image % 3 AND 44 AND p.x BETWEEN 6 AND 50 THEN 2 ELSE 0 END AS lab
+FROM pixels p JOIN bands b ON b.image = p.image"""),
 }
 
 
@@ -181,3 +191,23 @@ def pixels(spark, folder):
     return e.select(F.expr("vec_id div 50").alias("image"), (F.col("vec_id") % 50).alias("y"), "label",
                     F.posexplode("embedding").alias("x", "green")).select(
         "image", "y", F.col("x").cast("long").alias("x"), F.col("green").cast("double").alias("green"), "label")
+
+
+def bands(spark, folder):
+    """One band per image: a unit normal, two offsets and a span along it."""
+    images = pixels(spark, folder).select("image").distinct()
+    angle = F.col("image") * F.lit(0.5)
+    return images.select(
+        "image", F.sin(angle).alias("normal_y"), F.cos(angle).alias("normal_x"), (5 + F.col("image") % 3).cast("double").alias("ncm_offset"),
+        (F.col("image") % 3 - 15).cast("double").alias("cmm_offset"), F.lit(-15.0).alias("span_low"), F.lit(18.0).alias("span_high"),
+        (F.col("image") % 2 == 0).alias("mirror"), F.concat(F.lit("B"), (F.col("image") % 4).cast("string")).alias("bird"))
+
+
+def framed(spark, folder):
+    """Pixels in the frame of their band, with a drawn label map: 1 and 2 are the two regions."""
+    from stratafold.operators.frames import band_frame
+
+    lab = (F.when(F.col("y").between(4, 18 + F.col("image") % 4) & F.col("x").between(8, 55), 1)
+           .when(F.col("y").between(28 + F.col("image") % 3, 44) & F.col("x").between(6, 50), 2).otherwise(0))
+    joined = band_frame(pixels(spark, folder), bands(spark, folder), 50, 64)
+    return joined.select("image", "bird", "y", "x", "green", (F.col("green") >= 0).alias("tissue"), "along", "across", lab.alias("lab"))
