@@ -12,3 +12,9 @@ def cut_patches(pixels: DataFrame, centres: DataFrame, half: int) -> DataFrame:
     wanted = centres.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span)).withColumn("y", F.col("cy") + F.col("dy")).withColumn(
         "x", F.col("cx") + F.col("dx"))
     return wanted.join(pixels, ["image", "y", "x"])
+
+
+def lookup(at: DataFrame, pixels: DataFrame, value: str, fill) -> DataFrame:
+    """The value of the nearest pixel at real coordinates ``(image, y, x)``; off the edge gives ``fill``."""
+    keyed = at.withColumn("y", F.rint("y").cast("long")).withColumn("x", F.rint("x").cast("long"))
+    return keyed.join(pixels.select("image", "y", "x", value), ["image", "y", "x"], "left").withColumn(value, F.coalesce(value, fill))
