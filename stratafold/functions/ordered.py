@@ -60,3 +60,47 @@ def islands(df: DataFrame, keys: list[str], position: str, flag: Column) -> Data
     run = Window.partitionBy(*keys, "_flag", "_island")
     return marked.withColumn("start", F.min(position).over(run)).withColumn("length", F.count("*").over(run)).withColumnRenamed(
         "_flag", "flag").drop("_island")
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles of groups of any size.
+
+    Equal values are counted first; the running count of the ordered distinct values then tells which value sits at each
+    wanted rank. Built-in ``percentile`` keeps a whole group's values in one task and is left to groups bounded by a canvas
+    or a ray.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    summed = running_totals(counted, keys, [F.col(value)], {"_cum": F.col("_n")})
+    totals = summed.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    joined = summed.join(totals, keys) if keys else summed.join(totals)  # without keys the totals are one row
+    picks = []
+    for name, share in shares.items():
+        at = (F.col("_all") - 1) * F.lit(share)
+        picks += [F.min(F.when(F.col("_cum") > F.floor(at), F.col(value))).alias(f"_lo_{name}"),
+                  F.min(F.when(F.col("_cum") > F.ceil(at), F.col(value))).alias(f"_hi_{name}"), F.first(at - F.floor(at)).alias(f"_w_{name}")]
+    found = joined.groupBy(*keys).agg(*picks)
+    return found.select(*keys, *[
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in shares])
+
+
+def median_without_own(df: DataFrame, scope: list[str], group: str, value: str, tie: str) -> DataFrame:
+    """Per (scope, group): the exact median over the rows of all other groups, without pairing groups with rows.
+
+    With all rows ranked once, removing a group's own ranks ``r_0 < r_1 < ..`` moves the i-th remaining row to rank
+    ``i + #{t : r_t - t <= i}``. That count is one aggregate per group, and the value is looked up by its rank.
+    """
+    rows = df.select(*scope, group, value, tie)
+    one = F.lit(1).cast("long")
+    ranked = running_totals(rows, scope, [F.col(value), F.col(tie)], {"_rank": one}).withColumn("_rank", F.col("_rank") - 1)
+    own = running_totals(ranked, [*scope, group], [F.col("_rank")], {"_t": one}).withColumn("_t", F.col("_t") - 1)
+    sizes = own.groupBy(*scope, group).agg(F.count("*").alias("_m"))
+    alls = sizes.groupBy(*scope).agg(F.sum("_m").alias("_all"))
+    wanted = (sizes.join(alls, scope) if scope else sizes.join(alls)).withColumn("_rest", F.col("_all") - F.col("_m")).filter("_rest > 0")
+    wanted = wanted.withColumn("_lo", F.floor((F.col("_rest") - 1) / 2)).withColumn("_hi", F.ceil((F.col("_rest") - 1) / 2))
+    gap = F.col("_rank") - F.col("_t")
+    moved = own.join(wanted, [*scope, group]).groupBy(*scope, group).agg(
+        (F.first("_lo") + F.count_if(gap <= F.col("_lo"))).alias("_glo"), (F.first("_hi") + F.count_if(gap <= F.col("_hi"))).alias("_ghi"))
+    at = ranked.select(*scope, F.col("_rank"), F.col(value).alias("_v"))
+    low = moved.join(at.withColumnRenamed("_rank", "_glo").withColumnRenamed("_v", "_vlo"), [*scope, "_glo"])
+    both = low.join(at.withColumnRenamed("_rank", "_ghi").withColumnRenamed("_v", "_vhi"), [*scope, "_ghi"])
+    return both.select(*scope, group, ((F.col("_vlo") + F.col("_vhi")) / 2).alias("median"))

@@ -42,3 +42,42 @@ def orient(patch: DataFrame, bands: DataFrame, height: int, width: int) -> DataF
     marker = ny * (F.col("marker_y") - height / 2) + nx * (F.col("marker_x") - width / 2)
     sign = F.when(marker > (F.col("e")[0] + F.col("e")[1]) / 2, 1.0).otherwise(-1.0)
     return bands.join(reach, "image").withColumn("_s", sign).withColumn("normal_y", ny * F.col("_s")).withColumn("normal_x", nx * F.col("_s")).drop("_s", "e")
+
+
+def box_of(pixels: DataFrame, lines: DataFrame, key: str = "image") -> DataFrame:
+    """The rectangle along a line that brackets a region between its trimmed extents, angle as sine and cosine of its double."""
+    from stratafold.functions.scalars import across_line, along_line
+
+    args = (F.col("y"), F.col("x"), F.col("cy"), F.col("cx"), F.col("dy"), F.col("dx"))
+    e = pixels.join(lines, key).groupBy(key).agg(
+        *[F.first(c).alias(c) for c in ("cy", "cx", "dy", "dx")], extent(along_line(*args)).alias("a"), extent(across_line(*args)).alias("c"))
+    along, across = (F.col("a")[0] + F.col("a")[1]) / 2, (F.col("c")[0] + F.col("c")[1]) / 2
+    angle = F.atan2("dy", "dx") * 2
+    return e.select(
+        key, (F.col("cy") + along * F.col("dy") - across * F.col("dx")).alias("centre_y"), (F.col("cx") + along * F.col("dx") + across * F.col("dy")).alias("centre_x"),
+        ((F.col("a")[1] - F.col("a")[0]) / 2).alias("half_along"), ((F.col("c")[1] - F.col("c")[0]) / 2).alias("half_across"),
+        F.sin(angle).alias("sin2t"), F.cos(angle).alias("cos2t"))
+
+
+def section_measures(framed: DataFrame, bands: DataFrame, region: Column, slab_um: float, slice_um: float) -> DataFrame:
+    """What a section reports about itself: tissue depth, span behind the line, spread, band width, and the wobble of the drawn side.
+
+    Everything but the wobble is one aggregate over the pixels; the wobble has a second one over its slices.
+    """
+    tissue, slab = F.col("tissue"), F.col("across").between(0, slab_um)
+    facts = framed.groupBy("image").agg(
+        (F.max(F.when(tissue, F.col("across"))) - F.min(F.when(tissue, F.col("across")))).alias("tissue_depth"),
+        F.min(F.when(tissue & slab, F.col("along"))).alias("span_low"), F.max(F.when(tissue & slab, F.col("along"))).alias("span_high"),
+        extent(F.when(tissue, F.col("across")), *EDGE_SHARES).alias("e"))
+    slices = framed.filter(region).groupBy("image", F.floor(F.col("along") / slice_um).alias("s")).agg(F.min("across").alias("edge"))
+    wobble = slices.groupBy("image").agg(F.stddev_pop("edge").alias("wobble"))
+    widths = bands.select("image", ((F.col("ncm_offset") - F.col("cmm_offset")) * 8).alias("band_um"), ((F.col("span_high") - F.col("span_low")) * 4).alias("half_um"))
+    return facts.join(widths, "image").join(wobble, "image", "left").withColumn("spread", F.col("e")[1] - F.col("e")[0])
+
+
+def capped_width(framed: DataFrame, dark: Column, floor_um: float, width_um: float, bin_um: float, least_px: int, share: float) -> DataFrame:
+    """A band's width, cut at the first bin behind the near border in which enough pixels are dark."""
+    bins = framed.filter((F.col("across") < -floor_um) & (F.col("across") > -width_um)).groupBy(
+        "image", F.floor(-F.col("across") / bin_um).alias("bin")).agg(F.count("*").alias("n"), F.avg(dark.cast("int")).alias("dark"))
+    first = bins.groupBy("image").agg(F.min(F.when((F.col("n") >= least_px) & (F.col("dark") >= share), F.col("bin") * bin_um)).alias("cut"))
+    return framed.select("image").distinct().join(first, "image", "left").select("image", F.coalesce("cut", F.lit(width_um)).alias("width_um"))

@@ -18,3 +18,8 @@ def lookup(at: DataFrame, pixels: DataFrame, value: str, fill) -> DataFrame:
     """The value of the nearest pixel at real coordinates ``(image, y, x)``; off the edge gives ``fill``."""
     keyed = at.withColumn("y", F.rint("y").cast("long")).withColumn("x", F.rint("x").cast("long"))
     return keyed.join(pixels.select("image", "y", "x", value), ["image", "y", "x"], "left").withColumn(value, F.coalesce(value, fill))
+
+
+def dark_percent(pixels: DataFrame, dark, tissue, *keys: str) -> DataFrame:
+    """Percent of the tissue that is dark."""
+    return pixels.groupBy(*keys).agg((100.0 * F.count_if(dark & tissue) / F.greatest(F.count_if(tissue), F.lit(1))).alias("dark_percent"))

@@ -103,3 +103,9 @@ def one_table_per_stem(listing: DataFrame, kind: str = "regions") -> DataFrame:
     return sidecar_files(listing).filter(F.col("kind") == kind).join(own, "stem").groupBy("stem").agg(
         F.min(F.struct((F.col("folder") != F.col("home")).alias("away"), F.col("folder"))).alias("b"), F.count("*").alias("copies")).select(
         "stem", "b.folder", "copies")
+
+
+def folder_report(listing: DataFrame) -> DataFrame:
+    """Distinct sections, repeated names and folders that hold images."""
+    found = image_files(listing).select("stem", folder_of(F.col("path")).alias("folder"))
+    return found.agg(F.count_distinct("stem").alias("images"), (F.count("*") - F.count_distinct("stem")).alias("duplicates"), F.count_distinct("folder").alias("folders"))
