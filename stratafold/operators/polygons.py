@@ -20,19 +20,28 @@ def polygon_area(edge_rows: DataFrame, keys: list[str]) -> DataFrame:
         (F.abs(F.sum(F.col("y1") * F.col("x2") - F.col("x1") * F.col("y2"))) / 2.0).alias("area"), F.count("*").alias("vertices"))
 
 
-def row_spans(edge_rows: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+ROW_BAND = 32
+
+
+def row_spans(edge_rows: DataFrame, keys: list[str], height: int, width: int, wanted: DataFrame | None = None) -> DataFrame:
     """Even-odd fill as half-open spans ``[x_from, x_to)`` per (polygon, row).
 
     An edge crosses row ``y`` when exactly one end is at or above it (half-open); every whole pixel left of the crossing
     flips. Crossings are counted per (polygon, row, column) before anything is ordered and even counts cancel, so the
     window that pairs them holds at most ``width + 1`` rows however many vertices the polygon has.
+
+    ``wanted(scope.., y)`` limits the rows to those that are asked about: edges meet them by equality on bands of rows.
     """
-    low = F.ceil(F.least("y1", "y2"))
-    high = F.ceil(F.greatest("y1", "y2")) - 1
-    rows = edge_rows.filter(F.col("y1") != F.col("y2")).select(
-        *keys, "y1", "x1", "y2", "x2", F.explode(F.when(
-            F.greatest(low, F.lit(0)) <= F.least(high, F.lit(height - 1)),
-            F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(height - 1))))).alias("y"))
+    low = F.greatest(F.ceil(F.least("y1", "y2")), F.lit(0))
+    high = F.least(F.ceil(F.greatest("y1", "y2")) - 1, F.lit(height - 1))
+    sloped = edge_rows.filter(F.col("y1") != F.col("y2")).select(*keys, "y1", "x1", "y2", "x2", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    if wanted is None:
+        rows = sloped.withColumn("y", F.explode(F.sequence("_low", "_high")))
+    else:
+        scope = [c for c in wanted.columns if c != "y"]
+        asked = wanted.distinct().withColumn("_band", F.floor(F.col("y") / ROW_BAND))
+        banded = sloped.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_low") / ROW_BAND), F.floor(F.col("_high") / ROW_BAND))))
+        rows = banded.join(asked, [*scope, "_band"]).filter((F.col("y") >= F.col("_low")) & (F.col("y") <= F.col("_high")))
     at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif((F.col("y2") - F.col("y1")).cast("double"), F.lit(0.0))
     column = F.least(F.greatest(F.ceil(at), F.lit(0)), F.lit(width))
     flips = rows.select(*keys, "y", column.alias("c")).groupBy(*keys, "y", "c").agg(F.count("*").alias("n")).filter("n % 2 = 1 AND c > 0")

@@ -178,7 +178,7 @@ def reviewed_area(spark, folder):
     facts = rings.groupBy("section_id").agg(
         F.count("*").alias("n"), F.min_by(F.struct("y", "x"), "vertex").alias("a"), F.max_by(F.struct("y", "x"), "vertex").alias("b"))
     points = rings.select("section_id", F.col("x").alias("y"), F.col("y").alias("x")).distinct()
-    spans = polygons.row_spans(polygons.edges(rings, ["section_id"]), ["section_id"], 480, 480)
+    spans = polygons.row_spans(polygons.edges(rings, ["section_id"]), ["section_id"], 480, 480, points.select("section_id", "y"))
     inside = polygons.points_in(points, spans, ["section_id"]).select("section_id", "y", "x").distinct().withColumn("_in", F.lit(True))
     both = points.join(facts, "section_id").join(inside, ["section_id", "y", "x"], "left")
     line = polygons.half_plane(F.col("y"), F.col("x"), F.col("a.y"), F.col("a.x"), F.col("b.y"), F.col("b.x"), 480, 480)
