@@ -74,6 +74,14 @@ SELECT event_id, ts AS logged_at, concat('B', CAST(user_id % 7 AS VARCHAR), '_LH
     "pixels": ("", """
 SELECT vec_id // 50 AS image, vec_id % 50 AS y, r.i - 1 AS x, CAST(embedding[r.i] AS DOUBLE) AS green, label
 FROM embeddings, range(1, 65) r(i)"""),
+    "raygrid": ("pixels", "SELECT image, y AS ray, x AS step, green AS mean, green < 0 AS black, (y * 7 + x * 3) % 11 <> 0 AS seen FROM pixels"),
+    "stops": ("raygrid", """
+SELECT g.image, g.ray, coalesce(min(r.s), 64) AS stop, CAST(64 AS BIGINT) AS width, min(r.s) IS NOT NULL AS found FROM (SELECT DISTINCT image, ray FROM raygrid) g LEFT JOIN (
+  SELECT image, ray, min(step) AS s FROM (SELECT *, step - row_number() OVER (PARTITION BY image, ray, black ORDER BY step) AS g FROM raygrid) i
+  WHERE black GROUP BY image, ray, g HAVING count(*) >= 5 OR max(step) = 63) r ON r.image = g.image AND r.ray = g.ray GROUP BY g.image, g.ray"""),
+    "profile": ("pixels", """
+SELECT image, x AS bin, CAST((x - 32) * 16 AS DOUBLE) AS position,
+  CASE WHEN x < image % 5 OR x > 62 - image % 4 OR (image % 2 = 1 AND x = 52) THEN NULL ELSE round(avg(green) + CAST(0.3 AS DOUBLE), 6) END AS value FROM pixels GROUP BY image, x"""),
     "bands": ("pixels", """
 SELECT image, sin(image * CAST(0.5 AS DOUBLE)) AS normal_y, cos(image * CAST(0.5 AS DOUBLE)) AS normal_x, CAST(5 + image % 3 AS DOUBLE) AS ncm_offset,
        CAST(image % 3 - 15 AS DOUBLE) AS cmm_offset, CAST(-15 AS DOUBLE) AS span_low, CAST(18 AS DOUBLE) AS span_high, image % 2 = 0 AS mirror,
@@ -211,3 +219,24 @@ def framed(spark, folder):
            .when(F.col("y").between(28 + F.col("image") % 3, 44) & F.col("x").between(6, 50), 2).otherwise(0))
     joined = band_frame(pixels(spark, folder), bands(spark, folder), 50, 64)
     return joined.select("image", "bird", "y", "x", "green", (F.col("green") >= 0).alias("tissue"), "along", "across", lab.alias("lab"))
+
+
+def raygrid(spark, folder):
+    """A ray table: each row of an image is a ray, each column a step."""
+    return pixels(spark, folder).select(
+        "image", F.col("y").alias("ray"), F.col("x").alias("step"), F.col("green").alias("mean"), (F.col("green") < 0).alias("black"),
+        ((F.col("y") * 7 + F.col("x") * 3) % 11 != 0).alias("seen"))
+
+
+def stops(spark, folder):
+    from stratafold.operators.rays import first_wide_gap
+
+    return first_wide_gap(raygrid(spark, folder), 5)
+
+
+def profile(spark, folder):
+    """Average brightness by column, with missing ends and a gap on odd images."""
+    x = F.col("bin")
+    missing = (x < F.col("image") % 5) | (x > 62 - F.col("image") % 4) | ((F.col("image") % 2 == 1) & (x == 52))
+    mean = pixels(spark, folder).groupBy("image", F.col("x").alias("bin")).agg(F.round(F.avg("green") + F.lit(0.3), 6).alias("mean"))
+    return mean.select("image", "bin", ((x - 32) * 16).cast("double").alias("position"), F.when(~missing, F.col("mean")).alias("value"))

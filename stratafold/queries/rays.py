@@ -1 +1,440 @@
-"""Registered queries."""
+"""Registered queries: ray tables, borders and their checks."""
+
+from pyspark.sql import functions as F
+
+from stratafold import fixtures as fx
+from stratafold.operators import borders, rays
+from stratafold.queries.aggregates import r
+from stratafold.registry import query
+
+C = F.col
+
+
+def table(spark, folder):
+    return fx.raygrid(spark, folder)
+
+
+def stops(spark, folder):
+    return fx.stops(spark, folder)
+
+
+CELLS = """
+WITH c AS (SELECT *, CAST(round_even((along + 200) / 16, 0) AS BIGINT) AS ray, CAST(round_even(across / 8, 0) AS BIGINT) AS step FROM framed WHERE across >= 0 AND along BETWEEN -200 AND 200),
+m AS (SELECT image, ray, step, count(*) AS n, count(*) FILTER (tissue) * 2 < count(*) AS black, avg(green) AS mean FROM c GROUP BY 1, 2, 3),
+z AS (SELECT image, max(ray) AS mr, max(step) AS ms FROM m GROUP BY image)
+"""
+
+
+def _cells(spark, folder):
+    return rays.ray_cells(fx.framed(spark, folder), -200.0, 200.0)
+
+
+@query("ray_table_a26", "framed", CELLS + """
+SELECT z.image, a.i AS ray, b.i AS step, coalesce(n, 0) AS n, n IS NOT NULL AS seen, coalesce(black, false) AS black, round(coalesce(mean, 0), 6) AS mean
+FROM z, range(0, 40) a(i), range(0, 90) b(i) LEFT JOIN m ON m.image = z.image AND m.ray = a.i AND m.step = b.i WHERE a.i <= mr AND b.i <= ms""")
+def ray_table(spark, folder):
+    return rays.ray_table(_cells(spark, folder), C("tissue"), C("green")).withColumn("mean", F.round("mean", 6))
+
+
+@query("barrier_table_a26", "framed", CELLS + "SELECT image, ray, step, bool_or(green < -0.2::DOUBLE) AS black FROM c GROUP BY 1, 2, 3")
+def barrier_table(spark, folder):
+    return rays.ray_table(_cells(spark, folder), C("tissue"), C("green"), C("green") < -0.2).filter("seen").select("image", "ray", "step", "black")
+
+
+@query("line_profile_a27", "framed", """
+WITH b AS (SELECT image, CAST(round_even(along / 16, 0) AS BIGINT) AS bin, avg(green) AS v FROM framed WHERE abs(across) <= 40 GROUP BY 1, 2), z AS (SELECT image, min(bin) AS lo, max(bin) AS hi FROM b GROUP BY image)
+SELECT z.image, s.i AS bin, s.i * 16.0::DOUBLE AS position, round(coalesce(v, 0), 6) AS filled, round(v, 6) AS value FROM z, range(-60, 60) s(i) LEFT JOIN b ON b.image = z.image AND b.bin = s.i WHERE s.i BETWEEN lo AND hi""")
+def line_profile(spark, folder):
+    from stratafold.operators.profiles import along_profile
+
+    p = along_profile(fx.framed(spark, folder).filter("abs(across) <= 40"), C("green"))
+    return p.select("image", "bin", "position", r(F.coalesce("value", F.lit(0.0)), "filled"), r("value", "value"))
+
+
+@query("drawn_border_a28", "framed", CELLS + """, w AS (SELECT m.image, m.ray, any_value(ms) + 1 AS width FROM m JOIN z ON z.image = m.image GROUP BY 1, 2), d AS (SELECT image, ray, max(step) + 1 AS last FROM c WHERE lab = 1 GROUP BY 1, 2)
+SELECT w.image, w.ray, w.width, coalesce(d.last, w.width) AS border FROM w LEFT JOIN d ON d.image = w.image AND d.ray = w.ray""")
+def drawn_border(spark, folder):
+    cells = _cells(spark, folder)
+    top = cells.groupBy("image").agg((F.max("step") + 1).alias("width"))
+    width = cells.select("image", "ray").distinct().join(top, "image")
+    return rays.outermost_label(cells, C("lab") == 1, width)
+
+
+@query("first_wide_gap_w1", "stops", "SELECT * FROM stops")
+def first_wide_gap(spark, folder):
+    return stops(spark, folder)
+
+
+@query("black_runs_w2", "raygrid", """
+WITH i AS (SELECT *, step - row_number() OVER (PARTITION BY image, ray, black ORDER BY step) AS g FROM raygrid)
+SELECT image, ray, min(step) AS leading, count(*) AS length FROM i WHERE black GROUP BY image, ray, g HAVING count(*) >= 3""")
+def black_runs(spark, folder):
+    return rays.runs_in_order(table(spark, folder), ["image", "ray"], "step", C("black"), 3)
+
+
+@query("inward_runs_w2", "raygrid", """
+WITH i AS (SELECT *, 63 - step AS ord, 63 - step - row_number() OVER (PARTITION BY image, ray, black ORDER BY 63 - step) AS g FROM raygrid)
+SELECT image, ray, 63 - min(ord) AS leading, count(*) AS length FROM i WHERE NOT black GROUP BY image, ray, g HAVING count(*) >= 4""")
+def inward_runs(spark, folder):
+    scan = table(spark, folder).withColumn("ord", 63 - C("step"))
+    return rays.runs_in_order(scan, ["image", "ray"], "ord", ~C("black"), 4).withColumn("leading", 63 - C("leading"))
+
+
+@query("run_members_w2", "raygrid", """
+WITH i AS (SELECT *, step - row_number() OVER (PARTITION BY image, ray, black ORDER BY step) AS g FROM raygrid)
+SELECT image, ray, step, black AND count(*) OVER (PARTITION BY image, ray, black, g) >= 3 AS member FROM i""")
+def run_members(spark, folder):
+    return rays.run_members(table(spark, folder), ["image", "ray"], "step", C("black"), 3, "member").select("image", "ray", "step", "member")
+
+
+@query("ray_crossings_w2", "raygrid", """
+WITH i AS (SELECT *, step - row_number() OVER (PARTITION BY image, ray, black ORDER BY step) AS g FROM raygrid), n AS (SELECT image, ray, black, count(*) AS n FROM i GROUP BY image, ray, black, g)
+SELECT image, ray, bool_or(black AND n >= 6) AS crosses FROM n GROUP BY 1, 2""")
+def ray_crossings(spark, folder):
+    return rays.crosses_gap(table(spark, folder), 6)
+
+
+@query("before_barrier_w3", "raygrid", "SELECT g.image, g.ray, g.step, NOT EXISTS (SELECT 1 FROM raygrid b WHERE b.image = g.image AND b.ray = g.ray AND b.step <= g.step AND b.mean < -0.25::DOUBLE) AS kept FROM raygrid g")
+def before_barrier(spark, folder):
+    return rays.before_barrier(table(spark, folder), C("mean") < -0.25).select("image", "ray", "step", "kept")
+
+
+OUT = ("image", "ray", "stop")
+
+
+@query("clamp_border_w4", "stops", "SELECT a.image, a.ray, min(b.stop + 3 * abs(a.ray - b.ray)) AS stop FROM stops a JOIN stops b ON b.image = a.image GROUP BY 1, 2")
+def clamp_border(spark, folder):
+    return borders.clamp(stops(spark, folder), 3).select(*OUT)
+
+
+@query("lift_border_w5", "stops", """
+SELECT a.image, a.ray, least(greatest(any_value(a.stop), max(b.stop - 3 * abs(a.ray - b.ray))), 64) AS stop FROM stops a JOIN stops b ON b.image = a.image AND
+  NOT EXISTS (SELECT 1 FROM stops o WHERE o.image = a.image AND o.stop >= 64 AND o.ray <> a.ray AND o.ray BETWEEN least(a.ray, b.ray) AND greatest(a.ray, b.ray)) GROUP BY 1, 2""")
+def lift_border(spark, folder):
+    return borders.lift(stops(spark, folder), 3).select(*OUT)
+
+
+BRIDGE = """
+WITH n AS (SELECT s.image, s.ray, s.stop, (SELECT max(ray) FROM stops p WHERE p.image = s.image AND p.found AND p.ray <= s.ray) AS pr, (SELECT min(ray) FROM stops p WHERE p.image = s.image AND p.found AND p.ray >= s.ray) AS nr FROM stops s),
+v AS (SELECT n.*, p.stop AS ps, q.stop AS qs FROM n LEFT JOIN stops p ON p.image = n.image AND p.ray = n.pr LEFT JOIN stops q ON q.image = n.image AND q.ray = n.nr),
+bridged AS (SELECT image, ray, coalesce(CAST(round_even(CASE WHEN pr = nr THEN ps WHEN pr IS NULL THEN qs WHEN nr IS NULL THEN ps ELSE ps + (ray - pr) / CAST(nr - pr AS DOUBLE) * (qs - ps) END, 0) AS BIGINT), stop) AS stop FROM v)
+"""
+
+
+@query("bridge_border_w6", "stops", BRIDGE + "SELECT * FROM bridged")
+def bridge_border(spark, folder):
+    return borders.bridge(stops(spark, folder)).select(*OUT)
+
+
+@query("median_border_w7", "stops", """SELECT a.image, a.ray, CAST(round_even(quantile_cont(b.stop, 0.5), 0) AS BIGINT) AS stop FROM stops a JOIN stops b ON b.image = a.image AND abs(a.ray - b.ray) <= 4 GROUP BY 1, 2""")
+def median_border(spark, folder):
+    return borders.running_median(stops(spark, folder), 8).select(*OUT)
+
+
+@query("wall_median_w7", "stops", """SELECT a.image, a.ray, CASE WHEN count(b.stop) >= 3 THEN CAST(quantile_cont(b.stop, 0.5) AS DOUBLE) ELSE CAST('infinity' AS DOUBLE) END AS wall
+  FROM stops a LEFT JOIN stops b ON b.image = a.image AND abs(a.ray - b.ray) <= 3 AND b.found AND b.stop < 30 GROUP BY 1, 2""")
+def wall_median(spark, folder):
+    s = stops(spark, folder).withColumn("found", C("found") & (C("stop") < 30))
+    return borders.wall_median(s, 3).select("image", "ray", "wall")
+
+
+CHORDS = """
+WITH f AS (SELECT * FROM stops WHERE found), c AS (SELECT i.image, i.ray, max(CASE WHEN a.ray = b.ray THEN a.stop ELSE a.stop + (b.stop - a.stop) * (i.ray - a.ray) / CAST(b.ray - a.ray AS DOUBLE) END) AS top
+  FROM stops i JOIN f a ON a.image = i.image AND a.ray <= i.ray JOIN f b ON b.image = i.image AND b.ray >= i.ray GROUP BY 1, 2),
+e AS (SELECT s.image, s.ray, s.stop, coalesce(c.top, CASE WHEN s.ray < (SELECT min(ray) FROM f WHERE f.image = s.image) THEN (SELECT arg_min(stop, ray) FROM f WHERE f.image = s.image) ELSE (SELECT arg_max(stop, ray) FROM f WHERE f.image = s.image) END) AS top FROM stops s LEFT JOIN c ON c.image = s.image AND c.ray = s.ray)
+"""
+
+
+@query("dome_border_w8", "stops", CHORDS + "SELECT image, ray, least(greatest(stop, CAST(round_even(round(top, 9), 0) AS BIGINT)), 64) AS stop FROM e")
+def dome_border(spark, folder):
+    return borders.dome(stops(spark, folder)).select(*OUT)
+
+
+@query("capped_dome_w8", "stops", CHORDS + """, t AS (SELECT image, ray, stop, greatest(stop, least(CAST(round_even(round(top, 9), 0) AS BIGINT), stop + 6)) AS t, EXISTS (SELECT 1 FROM f WHERE f.image = e.image AND f.ray <= e.ray) AND EXISTS (SELECT 1 FROM f WHERE f.image = e.image AND f.ray >= e.ray) AS span FROM e),
+a AS (SELECT image, CAST(round_even(avg(t - stop), 0) AS BIGINT) AS back FROM t WHERE span GROUP BY image) SELECT t.image, ray, least(greatest(t - back, 0), 64) AS stop FROM t JOIN a ON a.image = t.image""")
+def capped_dome(spark, folder):
+    return borders.dome(stops(spark, folder), 6, True).select(*OUT)
+
+
+@query("fill_dips_w8", "stops raygrid", BRIDGE + """, cor AS (SELECT i.image, i.ray, i.stop FROM bridged i WHERE NOT EXISTS (SELECT 1 FROM bridged a JOIN bridged b ON b.image = a.image AND b.ray > i.ray WHERE a.image = i.image AND a.ray < i.ray
+  AND (b.stop - i.stop) * (i.ray - a.ray) >= (i.stop - a.stop) * (b.ray - i.ray))),
+l AS (SELECT b.image, b.ray, b.stop, (SELECT max(ray) FROM cor c WHERE c.image = b.image AND c.ray < b.ray) AS p, (SELECT min(ray) FROM cor c WHERE c.image = b.image AND c.ray > b.ray) AS q FROM bridged b WHERE NOT EXISTS (SELECT 1 FROM cor c WHERE c.image = b.image AND c.ray = b.ray)),
+d AS (SELECT l.*, a.stop + (z.stop - a.stop) * (l.ray - p) / CAST(q - p AS DOUBLE) AS chord FROM l JOIN cor a ON a.image = l.image AND a.ray = p JOIN cor z ON z.image = l.image AND z.ray = q WHERE q - p - 1 <= 12),
+k AS (SELECT d.image, d.p, avg(CASE WHEN g.black THEN 1.0::DOUBLE ELSE 0 END) AS dark FROM d JOIN stops s ON s.image = d.image AND s.ray = d.ray AND s.found JOIN raygrid g ON g.image = d.image AND g.ray = d.ray
+  AND round_even(d.chord, 0) > d.stop AND g.step BETWEEN least(d.stop, 63) AND least(round_even(d.chord, 0), 63) AND least(round_even(d.chord, 0), 63) > least(d.stop, 63) GROUP BY 1, 2)
+SELECT b.image, b.ray, round(CASE WHEN d.chord IS NOT NULL AND coalesce(k.dark, 1) >= 0.55::DOUBLE THEN d.chord ELSE b.stop END, 6) AS stop FROM bridged b LEFT JOIN d ON d.image = b.image AND d.ray = b.ray LEFT JOIN k ON k.image = d.image AND k.p = d.p""")
+def fill_dips(spark, folder):
+    b = borders.bridge(stops(spark, folder))
+    return borders.fill_dips(b, 12, table(spark, folder), 0.55).select("image", "ray", r("stop", "stop"))
+
+
+def _rounds(first: str, body: str, rounds: int, last: str) -> str:
+    text = f"WITH t0 AS ({first})"
+    for i in range(rounds):
+        text += f", t{i + 1} AS ({body.format(prev=f't{i}')})"
+    return text + " " + last.format(prev=f"t{rounds}")
+
+
+ANGLE = "degrees(acos(least(greatest(((b - stop) * 8 * (a - stop) * 8 - 1024) / (sqrt(1024 + pow((b - stop) * 8, 2)) * sqrt(1024 + pow((a - stop) * 8, 2))), -1), 1)))"
+
+
+@query("cut_tips_w9", "stops", _rounds(
+    "SELECT image, ray, CAST(stop AS DOUBLE) AS stop FROM stops",
+    "SELECT image, ray, CASE WHEN stop > b AND stop > a AND " + ANGLE + " < 83 THEN least(stop, (b + a) / 2) ELSE stop END AS stop FROM (SELECT *, lag(stop, 2, 0) OVER (PARTITION BY image ORDER BY ray) AS b, lead(stop, 2, 0) OVER (PARTITION BY image ORDER BY ray) AS a FROM {prev})",
+    4, "SELECT image, ray, CAST(round_even(stop, 0) AS BIGINT) AS stop FROM {prev}"))
+def cut_tips(spark, folder):
+    return borders.cut_tips(stops(spark, folder), 83.0, rounds=4).select(*OUT)
+
+
+@query("round_bends_w9", "stops", _rounds(
+    "SELECT image, ray, CAST(stop AS DOUBLE) AS stop, found, stop + 2 AS wall FROM stops",
+    "SELECT image, ray, CASE WHEN found THEN least(nxt, wall) ELSE nxt END AS stop, found, wall FROM (SELECT *, CASE WHEN " + ANGLE + " < 120 THEN (b + stop + a) / 3 ELSE stop END AS nxt FROM (SELECT *, coalesce(lag(stop, 2) OVER (PARTITION BY image ORDER BY ray), stop) AS b, coalesce(lead(stop, 2) OVER (PARTITION BY image ORDER BY ray), stop) AS a FROM {prev}))",
+    4, "SELECT image, ray, CAST(round_even(stop, 0) AS BIGINT) AS stop FROM {prev}"))
+def round_bends(spark, folder):
+    return borders.round_bends(stops(spark, folder).withColumn("wall", C("stop") + 2), 120.0, rounds=4).select(*OUT)
+
+
+@query("extend_strips_w10")
+def extend_strips(spark, folder):
+    strip = stops(spark, folder).withColumn("on_strip", C("found") & (C("stop") < 20))
+    return borders.extend_strips(strip, 3, 2).select(*OUT, "on_strip")
+
+
+@query("dip_stops_w19", "raygrid stops", """
+WITH h AS (SELECT image, ray, step, CASE WHEN seen THEN mean ELSE 0 END AS v, CAST(seen AS INT) AS w FROM raygrid),
+hs AS (SELECT * FROM h UNION ALL SELECT image, -1 - ray, step, v, w FROM h WHERE ray < 2 UNION ALL SELECT image, 99 - ray, step, v, w FROM h WHERE ray >= 48),
+a AS (SELECT h.image, h.ray, h.step, avg(o.v) AS v, avg(o.w) AS w FROM h JOIN hs o ON o.image = h.image AND o.step = h.step AND o.ray BETWEEN h.ray - 1 AND h.ray + 1 GROUP BY 1, 2, 3),
+as_ AS (SELECT * FROM a UNION ALL SELECT image, ray, -1 - step, v, w FROM a WHERE step < 3 UNION ALL SELECT image, ray, 127 - step, v, w FROM a WHERE step >= 61),
+p AS (SELECT a.image, a.ray, a.step, avg(o.v) / greatest(avg(o.w), 1e-6::DOUBLE) + 0.3::DOUBLE AS profile FROM a JOIN as_ o ON o.image = a.image AND o.ray = a.ray AND o.step BETWEEN a.step - 1 AND a.step + 1 GROUP BY 1, 2, 3),
+ref AS (SELECT image, ray, quantile_cont(profile, 0.5) FILTER (step < 8) AS ref FROM p GROUP BY 1, 2),
+b AS (SELECT p.image, p.ray, p.step FROM p JOIN stops s ON s.image = p.image AND s.ray = p.ray JOIN ref ON ref.image = p.image AND ref.ray = p.ray WHERE s.stop > 8 AND step >= 8 AND step < s.stop AND ref > 0 AND profile < 0.9::DOUBLE * ref),
+runs AS (SELECT image, ray, min(step) AS s FROM (SELECT *, step - row_number() OVER (PARTITION BY image, ray ORDER BY step) AS g FROM b) GROUP BY image, ray, g HAVING count(*) >= 2)
+SELECT s.image, s.ray, s.width, coalesce(min(runs.s), s.width) AS stop FROM stops s LEFT JOIN runs ON runs.image = s.image AND runs.ray = s.ray GROUP BY s.image, s.ray, s.width""")
+def dip_stops(spark, folder):
+    t = table(spark, folder).withColumn("mean", C("mean") + F.when(C("seen"), 0.3).otherwise(0.0))
+    return rays.dip_stops(t, stops(spark, folder), 0.9, F.lit(50), F.lit(64), base_um=64.0, smooth_along_um=48.0, smooth_across_um=24.0, wide_um=16.0)
+
+
+PAIR = """
+WITH h AS (SELECT image, ray, step, seen, CASE WHEN seen THEN mean ELSE 0 END AS v, CAST(seen AS INT) AS w FROM raygrid),
+hs AS (SELECT * FROM h UNION ALL SELECT image, -1 - ray, step, seen, v, w FROM h WHERE ray < 3 UNION ALL SELECT image, 99 - ray, step, seen, v, w FROM h WHERE ray >= 47),
+p AS (SELECT h.image, h.ray, h.step, any_value(h.seen) AS seen, round(avg(o.v) / greatest(avg(o.w), 1e-6::DOUBLE), 12) AS p FROM h JOIN hs o ON o.image = h.image AND o.step = h.step AND o.ray BETWEEN h.ray - 1 AND h.ray + 1 GROUP BY 1, 2, 3),
+s AS (SELECT a.image, a.ray, a.step, any_value(a.seen) AS seen, CASE WHEN any_value(a.p) <= min(b.p) THEN max(b.p) - any_value(a.p) ELSE 0 END AS score FROM p a JOIN p b ON b.image = a.image AND b.ray = a.ray AND abs(a.step - b.step) <= 6 GROUP BY 1, 2, 3)
+"""
+
+
+@query("pair_score_w20", "raygrid", PAIR + "SELECT image, ray, step, round(score, 6) AS score FROM s")
+def pair_score(spark, folder):
+    return rays.pair_score(table(spark, folder), F.lit(50), F.lit(64)).select("image", "ray", "step", r("score", "score"))
+
+
+@query("pair_stops_w20", "raygrid stops", PAIR + """SELECT w.image, w.ray, w.width, coalesce(arg_max(s.step, (round(s.score, 9), -s.step)), w.width) AS stop FROM stops w LEFT JOIN s ON s.image = w.image AND s.ray = w.ray AND s.seen AND s.step >= 10 AND s.step < w.stop GROUP BY 1, 2, 3""")
+def pair_stops(spark, folder):
+    scored = rays.pair_score(table(spark, folder), F.lit(50), F.lit(64)).withColumn("score", F.round("score", 9))
+    s = stops(spark, folder)
+    limited = scored.join(s.select("image", "ray", C("stop").alias("limit")), ["image", "ray"])
+    return rays.strongest(limited, C("seen") & (C("step") >= 10) & (C("step") < C("limit")), s)
+
+
+RIDGE = """
+WITH g AS (SELECT image, ray, step, seen, CASE WHEN seen THEN mean ELSE coalesce(avg(CASE WHEN seen THEN mean END) OVER (PARTITION BY image, ray), 0) END AS f FROM raygrid),
+hs AS (SELECT image, ray, step, f FROM g UNION ALL SELECT image, ray, -k.i, f FROM g, range(1, 10) k(i) WHERE step = 0 UNION ALL SELECT image, ray, 63 + k.i, f FROM g, range(1, 10) k(i) WHERE step = 63),
+m AS (SELECT g.image, g.ray, g.step, any_value(g.seen) AS seen, avg(o.f) FILTER (o.step BETWEEN g.step - 4 AND g.step + 3) AS mid, avg(o.f) FILTER (o.step BETWEEN g.step - 3 AND g.step + 2) AS fl FROM g JOIN hs o ON o.image = g.image AND o.ray = g.ray AND o.step BETWEEN g.step - 4 AND g.step + 3 GROUP BY 1, 2, 3),
+s AS (SELECT image, ray, step, seen, mid, coalesce(lag(fl, 6) OVER w, first_value(fl) OVER (PARTITION BY image, ray ORDER BY step)) AS i, coalesce(lead(fl, 6) OVER w, last_value(fl) OVER (PARTITION BY image, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS o FROM m WINDOW w AS (PARTITION BY image, ray ORDER BY step))
+"""
+
+
+@query("ridge_and_valley_w21", "raygrid", RIDGE + "SELECT image, ray, step, round(mid - greatest(i, o), 6) AS ridge, round(least(i, o) - mid, 6) AS valley FROM s")
+def ridge_and_valley(spark, folder):
+    ridge = rays.ridge_score(table(spark, folder), F.lit(64)).withColumnRenamed("score", "ridge")
+    both = rays.ridge_score(ridge, F.lit(64), valley=True)
+    return both.select("image", "ray", "step", r("ridge", "ridge"), r("score", "valley"))
+
+
+@query("ridge_stops_w21", "raygrid stops", RIDGE + """SELECT w.image, w.ray, w.width, coalesce(arg_max(s.step, (round(mid - greatest(i, o), 9), -s.step)), w.width) AS stop FROM stops w LEFT JOIN s ON s.image = w.image AND s.ray = w.ray AND s.seen AND s.step >= 5 AND s.step < w.stop GROUP BY 1, 2, 3""")
+def ridge_stops(spark, folder):
+    s = stops(spark, folder)
+    scored = rays.ridge_score(table(spark, folder), F.lit(64)).withColumn("score", F.round("score", 9)).join(s.select("image", "ray", C("stop").alias("limit")), ["image", "ray"])
+    return rays.strongest(scored, C("seen") & (C("step") >= 5) & (C("step") < C("limit")), s)
+
+
+@query("oriented_valley_w21", "raygrid", RIDGE + """, v AS (SELECT image, ray, step, CAST(seen AS INT) AS w, CASE WHEN seen THEN least(i, o) - mid ELSE 0 END AS v FROM s),
+va AS (SELECT * FROM v UNION ALL SELECT image, -k.i, step, w, v FROM v, range(1, 6) k(i) WHERE ray = 0 UNION ALL SELECT image, 49 + k.i, step, w, v FROM v, range(1, 6) k(i) WHERE ray = 49),
+vs AS (SELECT * FROM v UNION ALL SELECT image, ray, -k.i, w, v FROM v, range(1, 6) k(i) WHERE step = 0 UNION ALL SELECT image, ray, 63 + k.i, w, v FROM v, range(1, 6) k(i) WHERE step = 63),
+a AS (SELECT v.image, v.ray, v.step, avg(o.v) / greatest(avg(o.w), 1e-6::DOUBLE) AS m FROM v JOIN va o ON o.image = v.image AND o.step = v.step AND abs(o.ray - v.ray) <= 2 GROUP BY 1, 2, 3),
+b AS (SELECT v.image, v.ray, v.step, avg(o.v) / greatest(avg(o.w), 1e-6::DOUBLE) AS m FROM v JOIN vs o ON o.image = v.image AND o.ray = v.ray AND abs(o.step - v.step) <= 2 GROUP BY 1, 2, 3)
+SELECT a.image, a.ray, a.step, round(a.m - b.m, 6) AS score FROM a JOIN b ON b.image = a.image AND b.ray = a.ray AND b.step = a.step""")
+def oriented_valley(spark, folder):
+    v = rays.ridge_score(table(spark, folder), F.lit(64), valley=True)
+    return rays.oriented(v, 5, 5, F.lit(50), F.lit(64)).select("image", "ray", "step", r("score", "score"))
+
+
+@query("rim_edge_w21", "raygrid", """
+WITH g AS (SELECT image, ray, step, CAST(seen AS INT) AS w, CASE WHEN seen THEN mean ELSE coalesce(avg(CASE WHEN seen THEN mean END) OVER (PARTITION BY image, ray), 0) END AS f FROM raygrid),
+hs AS (SELECT image, ray, step, f FROM g UNION ALL SELECT image, ray, -k.i, f FROM g, range(1, 4) k(i) WHERE step = 0 UNION ALL SELECT image, ray, 63 + k.i, f FROM g, range(1, 4) k(i) WHERE step = 63),
+b AS (SELECT g.image, g.ray, g.step, any_value(g.w) AS w, avg(o.f) AS box FROM g JOIN hs o ON o.image = g.image AND o.ray = g.ray AND abs(o.step - g.step) <= 2 GROUP BY 1, 2, 3),
+j AS (SELECT b.image, b.ray, b.step, b.w, hi.box - lo.box AS jump FROM b JOIN b hi ON hi.image = b.image AND hi.ray = b.ray AND hi.step = least(b.step + 4, 63) JOIN b lo ON lo.image = b.image AND lo.ray = b.ray AND lo.step = greatest(b.step - 4, 0)),
+js AS (SELECT * FROM j UNION ALL SELECT image, ray, -k.i, w, jump FROM j, range(1, 12) k(i) WHERE step = 0 UNION ALL SELECT image, ray, 63 + k.i, w, jump FROM j, range(1, 12) k(i) WHERE step = 63)
+SELECT j.image, j.ray, j.step, round(any_value(j.jump) - avg(o.w * o.jump) / greatest(avg(o.w), 1e-6::DOUBLE), 6) AS score FROM j JOIN js o ON o.image = j.image AND o.ray = j.ray AND abs(o.step - j.step) <= 10 GROUP BY 1, 2, 3""")
+def rim_edge(spark, folder):
+    return rays.rim_edge(table(spark, folder), F.lit(50), F.lit(64), 5, 4, 21).select("image", "ray", "step", r("score", "score"))
+
+
+LIMIT = """
+WITH e AS (SELECT image, ray, step, NOT seen OR mean < 0.05::DOUBLE AS e FROM raygrid), f AS (SELECT a.image, a.ray, a.step, bool_and(b.e) AS full_ FROM e a JOIN e b ON b.image = a.image AND b.ray = a.ray AND b.step BETWEEN a.step - 3 AND a.step + 2 GROUP BY 1, 2, 3),
+lim AS (SELECT image, ray, CAST(64 AS BIGINT) AS width, greatest(coalesce(min(step) FILTER (full_) - 3, 64), 1) AS stop FROM f GROUP BY 1, 2)
+"""
+
+
+@query("tissue_limit_w22", "raygrid", LIMIT + "SELECT * FROM lim")
+def tissue_limit(spark, folder):
+    return rays.tissue_limit(table(spark, folder), 0.05, 6)
+
+
+def _path(spark, folder):
+    scored = table(spark, folder).withColumn("score", F.round(-C("mean"), 6)).withColumn("usable", C("seen") & (C("step") >= 4))
+    return borders.best_path(scored, 2)
+
+
+@query("best_path_w23")
+def best_path(spark, folder):
+    return _path(spark, folder).select("image", "ray", "step", r("total", "total"))
+
+
+@query("path_border_w23")
+def path_border(spark, folder):
+    t = table(spark, folder)
+    scored = t.withColumn("score", F.round(-C("mean"), 6)).withColumn("usable", C("seen") & (C("step") >= 4))
+    path = borders.best_path(borders.outermost_floor(scored, 0.9, 10), 2)
+    judged = borders.wall_is_interior(stops(spark, folder), t, 12, 0.5)
+    return borders.pull_in(judged, path).select("image", "ray", "stop")
+
+
+STRAIGHT = """
+WITH u AS (SELECT *, ray * 3 // 50 AS block FROM stops), l AS (SELECT image, block, regr_slope(stop, ray) AS k, regr_intercept(stop, ray) AS c, count(*) AS n FROM u WHERE found GROUP BY 1, 2),
+p AS (SELECT u.image, u.block, quantile_cont(u.stop - (k * ray + c), 0.3) AS slide FROM u JOIN l ON l.image = u.image AND l.block = u.block WHERE found GROUP BY 1, 2),
+st AS (SELECT u.*, CASE WHEN n >= 3 THEN least(greatest(k * ray + c + slide, 0), 64) ELSE stop END AS line FROM u LEFT JOIN l ON l.image = u.image AND l.block = u.block LEFT JOIN p ON p.image = u.image AND p.block = u.block)
+"""
+
+
+@query("straighten_w24", "stops", STRAIGHT + "SELECT image, ray, round(line, 5) AS stop FROM st")
+def straighten(spark, folder):
+    return borders.straighten(stops(spark, folder), 3, inward=30.0).select("image", "ray", r("stop", "stop", 5))
+
+
+@query("clip_runs_w24", "stops", STRAIGHT + """, i AS (SELECT *, found AND stop < line AS inn FROM st), g AS (SELECT *, ray - row_number() OVER (PARTITION BY image, inn ORDER BY ray) AS g FROM i)
+SELECT image, ray, round(CASE WHEN inn AND count(*) OVER (PARTITION BY image, inn, g) >= 2 THEN least(line, stop) ELSE line END, 5) AS stop FROM g""")
+def clip_runs(spark, folder):
+    line = borders.straighten(stops(spark, folder).withColumn("wall", C("stop")), 3, inward=30.0)
+    return borders.clip_runs(line, 2).select("image", "ray", r("stop", "stop", 5))
+
+
+@query("slide_to_runs_w24", "stops", """
+WITH u AS (SELECT *, ray * 2 // 50 AS block FROM stops), l AS (SELECT image, block, regr_slope(stop, ray) AS k, regr_intercept(stop, ray) AS c, count(*) AS n FROM u WHERE found GROUP BY 1, 2),
+i AS (SELECT u.*, n, k * ray + c AS line, found AND stop < k * ray + c AS inn FROM u JOIN l ON l.image = u.image AND l.block = u.block),
+g AS (SELECT *, ray - row_number() OVER (PARTITION BY image, block, inn ORDER BY ray) AS g FROM i), m AS (SELECT *, inn AND count(*) OVER (PARTITION BY image, block, inn, g) >= 3 AS member FROM g),
+s AS (SELECT image, block, coalesce(quantile_cont(stop - line, 0.5) FILTER (member), 0) AS slide FROM m GROUP BY 1, 2)
+SELECT m.image, ray, round(CASE WHEN n >= 3 THEN least(greatest(line + slide, 0), 64) ELSE stop END, 5) AS stop FROM m JOIN s ON s.image = m.image AND s.block = m.block""")
+def slide_to_runs(spark, folder):
+    return borders.straighten(stops(spark, folder), 2, slide_rays=3).select("image", "ray", r("stop", "stop", 5))
+
+
+@query("wall_middle_w25", "stops raygrid", """
+WITH n AS (SELECT s.*, (SELECT min(step) FROM raygrid g WHERE g.image = s.image AND g.ray = s.ray AND g.step >= least(s.stop, 63) AND NOT g.black) AS nxt FROM stops s),
+q AS (SELECT *, coalesce(nxt, 64) - least(stop, 63) AS run FROM n) SELECT image, ray, CASE WHEN found AND run >= 6 THEN stop + 0.5::DOUBLE * run ELSE stop END AS stop FROM q""")
+def wall_middle(spark, folder):
+    return borders.wall_middle(stops(spark, folder), table(spark, folder), 0.5, 6).select(*OUT)
+
+
+INTERIOR = """
+WITH b AS (SELECT s.image, s.ray, avg(CASE WHEN NOT g.black THEN 1.0::DOUBLE ELSE 0 END) >= 0.4::DOUBLE AS ok FROM stops s JOIN raygrid g ON g.image = s.image AND g.ray = s.ray AND g.step >= s.stop AND g.step < s.stop + 12 WHERE s.found GROUP BY 1, 2),
+inter AS (SELECT s.*, coalesce(b.ok, false) AS interior FROM stops s LEFT JOIN b ON b.image = s.image AND b.ray = s.ray)
+"""
+
+
+@query("wall_is_interior_w25", "stops raygrid", INTERIOR + "SELECT image, ray, interior FROM inter")
+def wall_is_interior(spark, folder):
+    return borders.wall_is_interior(stops(spark, folder), table(spark, folder), 12, 0.4).select("image", "ray", "interior")
+
+
+def _taper_sql(prev: str, index: str) -> str:
+    return f"""
+SELECT image, ray, past, CASE WHEN flap BETWEEN 1 AND 10 AND i < coalesce(anchor, 0) THEN coalesce(k, 0) * i ELSE stop END AS stop FROM (
+  SELECT m.*, t.k, t.anchor FROM (SELECT *, count(*) FILTER (lead_) OVER (PARTITION BY image) AS flap FROM (
+      SELECT *, {index} AS i, NOT EXISTS (SELECT 1 FROM {prev} o WHERE o.image = p.image AND NOT o.past AND {'o.ray <= p.ray' if index == 'ray' else 'o.ray >= p.ray'}) AS lead_ FROM {prev} p)) m
+  LEFT JOIN (SELECT image, min(stop / i) AS k, arg_min(i, (stop / i, i)) AS anchor FROM (SELECT *, count(*) FILTER (lead_) OVER (PARTITION BY image) AS flap FROM (
+      SELECT *, {index} AS i, NOT EXISTS (SELECT 1 FROM {prev} o WHERE o.image = p.image AND NOT o.past AND {'o.ray <= p.ray' if index == 'ray' else 'o.ray >= p.ray'}) AS lead_ FROM {prev} p))
+      WHERE i >= 1 AND i <= least(flap + 4, 49) AND stop > 0 GROUP BY image) t ON t.image = m.image)"""
+
+
+@query("taper_ends_w26", "stops", "WITH p0 AS (SELECT image, ray, CAST(stop AS DOUBLE) AS stop, stop > 25 OR ray < image % 4 OR ray > 49 - image % 3 AS past FROM stops), p1 AS (" + _taper_sql("p0", "ray") + "), p2 AS (" + _taper_sql("p1", "49 - ray") +
+       ") SELECT image, ray, round(greatest(stop, 0), 6) AS stop FROM p2")
+def taper_ends(spark, folder):
+    b = stops(spark, folder).withColumn("past", (C("stop") > 25) | (C("ray") < C("image") % 4) | (C("ray") > 49 - C("image") % 3))
+    return borders.taper_ends(b, 1, 10, 4).select("image", "ray", r("stop", "stop"))
+
+
+@query("chop_ends_w26", "stops raygrid", """
+WITH i AS (SELECT *, step - row_number() OVER (PARTITION BY image, ray, black ORDER BY step) AS g FROM raygrid), n AS (SELECT image, ray, black, count(*) AS n FROM i GROUP BY image, ray, black, g), x AS (SELECT image, ray, bool_or(black AND n >= 5) AS c FROM n GROUP BY 1, 2)
+SELECT s.image, s.ray, CASE WHEN NOT EXISTS (SELECT 1 FROM x o WHERE o.image = s.image AND NOT o.c AND o.ray <= s.ray) OR NOT EXISTS (SELECT 1 FROM x o WHERE o.image = s.image AND NOT o.c AND o.ray >= s.ray) THEN 0 ELSE CAST(s.stop AS DOUBLE) END AS stop FROM stops s""")
+def chop_ends(spark, folder):
+    return borders.chop_ends(stops(spark, folder), rays.crosses_gap(table(spark, folder), 5)).select(*OUT)
+
+
+@query("smooth_border_w27", "stops", """
+WITH h AS (SELECT image, ray, stop FROM stops UNION ALL SELECT image, -k.i, stop FROM stops, range(1, 8) k(i) WHERE ray = 0 UNION ALL SELECT image, 49 + k.i, stop FROM stops, range(1, 8) k(i) WHERE ray = 49)
+SELECT s.image, s.ray, round(avg(h.stop), 6) AS stop FROM stops s JOIN h ON h.image = s.image AND h.ray BETWEEN s.ray - 3 AND s.ray + 2 GROUP BY 1, 2""")
+def smooth_border(spark, folder):
+    return borders.smooth_mean(stops(spark, folder), 6).select("image", "ray", r("stop", "stop"))
+
+
+@query("arc_border_w27")
+def arc_border(spark, folder):
+    return borders.dome_arc(stops(spark, folder)).select("image", "ray", r("stop", "stop", 4))
+
+
+@query("border_stages_w28", "stops", BRIDGE + """, p AS (SELECT * FROM (VALUES ('loose', 5), ('tight', 1)) v(setting, lim)),
+c AS (SELECT a.image, setting, a.ray, min(b.stop + lim * abs(a.ray - b.ray)) AS stop FROM bridged a JOIN bridged b ON b.image = a.image, p GROUP BY 1, 2, 3)
+SELECT setting, 'bridge' AS stage, image, ray, stop FROM bridged, p UNION ALL SELECT setting, 'clamp', image, ray, stop FROM c""")
+def border_stages(spark, folder):
+    from stratafold.plans.filling import staged
+
+    settings = {"loose": [("bridge", borders.bridge), ("clamp", lambda b: borders.clamp(b, 5))],
+                "tight": [("bridge", borders.bridge), ("clamp", lambda b: borders.clamp(b, 1))]}
+    return staged(stops(spark, folder), settings).select("setting", "stage", *OUT)
+
+
+@query("border_regularity_a33", "stops", """
+WITH d AS (SELECT image, abs(stop - lag(stop) OVER w) * 8.0::DOUBLE AS d, found AND lag(found) OVER w AS ok FROM stops WINDOW w AS (PARTITION BY image ORDER BY ray))
+SELECT image, round(quantile_cont(d, 0.99) FILTER (ok), 4) AS p99, max(d) FILTER (ok) AS most, count(*) FILTER (ok) AS pairs FROM d GROUP BY image""")
+def border_regularity(spark, folder):
+    return borders.step_changes(stops(spark, folder)).select("image", r("p99", "p99", 4), "most", "pairs")
+
+
+ERRORS = "WITH e AS (SELECT image, ray, stop - (20 + ray % 7) AS error, found FROM stops) "
+
+
+@query("worst_run_a34", "stops", ERRORS + """, b AS (SELECT *, found AND abs(error) > 4 AS bad FROM e), g AS (SELECT *, ray - row_number() OVER (PARTITION BY image, bad ORDER BY ray) AS g FROM b),
+u AS (SELECT image, min(ray) AS first, count(*) AS n, avg(abs(error)) AS m FROM g WHERE bad GROUP BY image, g)
+SELECT image, arg_max(first, (n, -first)) AS first, arg_max(first + n - 1, (n, -first)) AS last, round(arg_max(m, (n, -first)), 6) AS mean_error FROM u GROUP BY image""")
+def worst_run(spark, folder):
+    e = stops(spark, folder).withColumn("error", C("stop") - (20 + C("ray") % 7))
+    return borders.worst_run(e, C("found") & (F.abs("error") > 4)).select("image", "first", "last", r("mean_error", "mean_error"))
+
+
+@query("error_bands_a34", "stops", ERRORS + "SELECT image, count(*) FILTER (found AND abs(error) <= 4) AS good, count(*) FILTER (found AND abs(error) > 4 AND error > 0) AS too_far, count(*) FILTER (found AND error < -4) AS too_short, count(*) FILTER (NOT found) AS unjudged FROM e GROUP BY image")
+def error_bands(spark, folder):
+    e = stops(spark, folder).withColumn("error", C("stop") - (20 + C("ray") % 7))
+    return e.groupBy("image").agg(F.count_if(C("found") & (F.abs("error") <= 4)).alias("good"), F.count_if(C("found") & (C("error") > 4)).alias("too_far"),
+                                  F.count_if(C("found") & (C("error") < -4)).alias("too_short"), F.count_if(~C("found")).alias("unjudged"))
+
+
+@query("decode_comparison_a35", "stops", BRIDGE + """, j AS (SELECT s.image, abs(b.stop - (20 + s.ray % 7)) * 8.0::DOUBLE AS be, abs(s.stop - (20 + s.ray % 7)) * 8.0::DOUBLE AS se, (s.stop - (20 + s.ray % 7)) * 8.0::DOUBLE AS sg FROM stops s JOIN bridged b ON b.image = s.image AND b.ray = s.ray WHERE s.ray % 2 = 0)
+SELECT image, count(*) AS rays, round(quantile_cont(be, 0.5), 4) AS first_error, round(quantile_cont(se, 0.5), 4) AS second_error, round(avg(CASE WHEN se < be THEN 1.0::DOUBLE ELSE 0 END), 6) AS better, round(quantile_cont(sg, 0.5), 4) AS bias FROM j GROUP BY image HAVING count(*) >= 5""")
+def decode_comparison(spark, folder):
+    from stratafold.plans.filling import compare_decodes
+
+    s = stops(spark, folder)
+    truth = s.select("image", "ray", (20 + C("ray") % 7).alias("truth"))
+    c = compare_decodes(borders.bridge(s), s, truth, C("ray") % 2 == 0, 5)
+    return c.select("image", "rays", r("first_error", "first_error", 4), r("second_error", "second_error", 4), r("better", "better"), r("bias", "bias", 4))
