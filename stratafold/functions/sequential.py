@@ -60,3 +60,75 @@ def path_through(pdf: pd.DataFrame, slope: int) -> pd.DataFrame:
         at = int(came[ray, at])
         steps.append(at)
     return pd.DataFrame({"image": pdf["image"].iloc[0], "ray": np.arange(rays), "step": steps[::-1], "total": float(total.max())})
+
+
+def column_distances(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Second pass of the exact distance transform for a band of columns: min over rows of row distance squared plus dy squared."""
+    y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
+    far = 2 ** 40
+    grid = np.full((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1), far, dtype="int64")
+    ys, xs = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+    grid[ys, xs] = pdf["g2"].fillna(far).to_numpy("int64")
+    best = grid.copy()
+    for d in range(1, len(grid)):
+        if d * d >= best.max():
+            break
+        np.minimum(best[d:], grid[:-d] + d * d, out=best[d:])
+        np.minimum(best[:-d], grid[d:] + d * d, out=best[:-d])
+    return pd.DataFrame({"image": pdf["image"], "y": pdf["y"], "x": pdf["x"], "d2": best[ys, xs]})
+
+
+def tile_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """4-connected pieces inside one tile, each named by its first pixel in raster order; rows are joined run by run."""
+    pdf = pdf.sort_values(["y", "x"]).reset_index(drop=True)
+    y, x = pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
+    code = (y << 20) | x
+    opens = np.r_[True, (np.diff(y) != 0) | (np.diff(x) != 1)]
+    run = np.cumsum(opens) - 1
+    first = np.flatnonzero(opens)
+    last = np.r_[first[1:] - 1, len(x) - 1]
+    row, lo, hi = y[first], x[first], x[last]
+    parent = np.arange(len(first))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    starts = np.searchsorted(row, np.unique(row))
+    bounds = dict(zip(np.unique(row).tolist(), zip(starts.tolist(), np.r_[starts[1:], len(row)].tolist())))
+    for level, (a, b) in bounds.items():
+        if level - 1 not in bounds:
+            continue
+        p, q = bounds[level - 1]
+        left = p + np.searchsorted(hi[p:q], lo[a:b])
+        right = p + np.searchsorted(lo[p:q], hi[a:b], side="right")
+        for i in range(a, b):
+            for j in range(left[i - a], right[i - a]):
+                u, v = root(i), root(j)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+    names = code[first]
+    roots = np.array([root(i) for i in range(len(first))], dtype=int)
+    return pd.DataFrame({"image": pdf["image"], "y": y, "x": x, "local": names[roots[run]]})
+
+
+def annulus_means(pdf: pd.DataFrame, tile: int, halo: int, zones: tuple) -> pd.DataFrame:
+    """Means over annuli around the pixels of one tile; pixels that are not there count as zero, as beyond the image's edge."""
+    ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
+    y0, x0, side = ty * tile - halo, tx * tile - halo, tile + 2 * halo
+    grid = np.zeros((side, side))
+    grid[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0] = pdf["value"].to_numpy()
+    size = 2 * side
+    spectrum = np.fft.rfft2(grid, (size, size))
+    own = pdf[(pdf["y"] // tile == ty) & (pdf["x"] // tile == tx)]
+    oy, ox = own["y"].to_numpy() - y0, own["x"].to_numpy() - x0
+    out = {"image": own["image"], "y": own["y"], "x": own["x"]}
+    for name, inner, outer in zones:
+        reach = int(np.ceil(outer))
+        dy, dx = np.mgrid[-reach:reach + 1, -reach:reach + 1]
+        ring = ((np.hypot(dy, dx) >= inner) & (np.hypot(dy, dx) <= outer)).astype(float)
+        made = np.fft.irfft2(spectrum * np.fft.rfft2(ring / ring.sum(), (size, size)), (size, size))
+        out[name] = made[oy + reach, ox + reach]
+    return pd.DataFrame(out)

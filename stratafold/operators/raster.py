@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.functions.sequential import annulus_means, column_distances
+from stratafold.operators.rays import box_mean, halo
+
 
 def cut_patches(pixels: DataFrame, centres: DataFrame, half: int) -> DataFrame:
     """Square patches ``[c - half, c + half)``: each centre lists the pixels it needs and meets them by equality."""
@@ -23,3 +28,248 @@ def lookup(at: DataFrame, pixels: DataFrame, value: str, fill) -> DataFrame:
 def dark_percent(pixels: DataFrame, dark, tissue, *keys: str) -> DataFrame:
     """Percent of the tissue that is dark."""
     return pixels.groupBy(*keys).agg((100.0 * F.count_if(dark & tissue) / F.greatest(F.count_if(tissue), F.lit(1))).alias("dark_percent"))
+
+
+def _row():
+    return Window.partitionBy("image", "y").orderBy("x")
+
+
+def _column():
+    return Window.partitionBy("image", "x").orderBy("y")
+
+
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Normalised kernel of a truncated Gaussian, centre in the middle."""
+    reach = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    return [v / sum(raw) for v in raw]
+
+
+def _weighted(df: DataFrame, keys: list[str], position: str, n: int, weights: list[float], value: Column, name: str) -> DataFrame:
+    """One pass of a separable filter along rows or columns with mirrored edges.
+
+    A line of pixels is a bounded group; the kernel is a sum of offsets inside one window, so pixels are not multiplied by it.
+    """
+    reach = len(weights) // 2
+    line = Window.partitionBy(*keys).orderBy(position)
+    padded = halo(df.withColumn("_v", value), position, F.lit(n), reach, "reflect")
+    terms = [F.lag("_v", -k).over(line) * F.lit(w) if k < 0 else F.lead("_v", k).over(line) * F.lit(w) if k > 0 else F.col("_v") * F.lit(w)
+             for k, w in zip(range(-reach, reach + 1), weights)]
+    total = terms[0]
+    for term in terms[1:]:
+        total = total + term
+    return padded.withColumn(name, total).filter(~F.col("_copy")).drop("_copy", "_v")
+
+
+def gaussian(pixels: DataFrame, value: Column, sigma: float, height: int, width: int, name: str) -> DataFrame:
+    """Gaussian blur (cut at four sigma, edges mirrored) as two one-dimensional passes."""
+    weights = gaussian_weights(sigma)
+    rows = _weighted(pixels, ["image", "y"], "x", width, weights, value, "_blur")
+    return _weighted(rows, ["image", "x"], "y", height, weights, F.col("_blur"), name).drop("_blur")
+
+
+def box(pixels: DataFrame, value: Column, size: int, height: int, width: int, name: str) -> DataFrame:
+    """Mean over a square of ``size`` pixels, edges mirrored."""
+    rows = box_mean(pixels, ["image", "y"], "x", F.lit(width), size, "reflect", _box=value)
+    return box_mean(rows, ["image", "x"], "y", F.lit(height), size, "reflect", **{name: F.col("_box")}).drop("_box")
+
+
+def tissue(pixels: DataFrame, sigma: float, threshold: float, height: int, width: int) -> DataFrame:
+    """Blur, then threshold."""
+    return gaussian(pixels, F.col("green"), sigma, height, width, "_t").withColumn("tissue", F.col("_t") > threshold).drop("_t")
+
+
+def annuli(pixels: DataFrame, value: Column, zones: tuple[tuple[str, float, float], ...], tile: int = 512) -> DataFrame:
+    """Means over annuli around every pixel, zero beyond the image.
+
+    An annulus is not separable and has thousands of offsets, so pixels go to square tiles with a halo - each pixel to at
+    most four - and every tile is one transform-domain product. A tile is a bounded group.
+    """
+    reach = max(int(math.ceil(outer)) for _, _, outer in zones)
+    spread = [F.array_distinct(F.array(F.floor((F.col(a) - reach) / tile), F.floor(F.col(a) / tile), F.floor((F.col(a) + reach) / tile))) for a in ("y", "x")]
+    tiled = pixels.select("image", "y", "x", value.alias("value"), F.explode(spread[0]).alias("ty"), spread[1].alias("_tx")).withColumn(
+        "tx", F.explode("_tx")).drop("_tx")
+    schema = "image long, y long, x long, " + ", ".join(f"{name} double" for name, _, _ in zones)
+    return tiled.groupBy("image", "ty", "tx").applyInPandas(lambda pdf: annulus_means(pdf, tile, reach, zones), schema)
+
+
+def ring_score(pixels: DataFrame, sigma: float, radii: tuple[float, float, float, float, float], height: int, width: int,
+               scales: tuple[float, ...] = (1.0,), tile: int = 512) -> DataFrame:
+    """Ring brighter than its centre and than its surroundings, the best over ``scales`` of all radii."""
+    out = None
+    for scale in scales:
+        centre, inner, outer, low, high = (v * scale for v in radii)
+        smooth = gaussian(pixels, F.col("green"), sigma * scale, height, width, "_s")
+        zones = (("centre", 0.0, centre), ("ring", inner, outer), ("background", low, high))
+        made = annuli(smooth, F.col("_s"), zones, tile).select(
+            "image", "y", "x", F.least(F.col("ring") - F.col("centre"), F.col("ring") - F.col("background")).alias("score"))
+        out = made if out is None else out.unionByName(made)
+    return out if len(scales) == 1 else out.groupBy("image", "y", "x").agg(F.max("score").alias("score"))
+
+
+def relative_bright(pixels: DataFrame, ratio: float, size: int, black_level: float, height: int, width: int) -> DataFrame:
+    """Adds ``bright``: at least ``ratio`` of the local mean and not black."""
+    made = box(pixels, F.col("green"), size, height, width, "_local")
+    return made.withColumn("bright", (F.col("green") >= ratio * F.col("_local")) & (F.col("green") >= black_level)).drop("_local")
+
+
+def dense(pixels: DataFrame, dark: Column, size: int, share: float, height: int, width: int) -> DataFrame:
+    """Adds ``dense``: the share of dark pixels around reaches ``share``, inside the tissue."""
+    made = box(pixels, dark.cast("double"), size, height, width, "_d")
+    return made.withColumn("dense", (F.col("_d") >= share) & F.col("tissue")).drop("_d")
+
+
+def texture(pixels: DataFrame, fine: float, coarse: float, height: int, width: int) -> DataFrame:
+    """Adds ``texture``: local standard deviation, smoothed."""
+    a = gaussian(pixels, F.col("green"), fine, height, width, "_m")
+    b = gaussian(a, F.col("green") * F.col("green"), fine, height, width, "_q")
+    spread = F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    return gaussian(b, spread, coarse, height, width, "texture").drop("_m", "_q")
+
+
+def valley_map(pixels: DataFrame, fine: float, wide: float, height: int, width: int) -> DataFrame:
+    """Adds ``valley``: darker than the surroundings, scaled by a robust spread over the tissue and widened by one pixel."""
+    a = gaussian(pixels, F.col("green"), fine, height, width, "_f")
+    b = gaussian(a, F.col("green"), wide, height, width, "_w").withColumn("_v", F.col("_w") - F.col("_f"))
+    cut = b.filter("tissue").groupBy("image").agg(F.percentile("_v", F.array(F.lit(0.5), F.lit(0.99))).alias("_p"))
+    scaled = b.join(cut, "image", "left").withColumn(
+        "_s", F.least(F.greatest(F.col("_v") / F.greatest(F.coalesce(F.col("_p")[1] - F.col("_p")[0], F.lit(1.0)), F.lit(1e-6)), F.lit(0.0)), F.lit(2.0)) * F.col("tissue").cast("int"))
+    return around_max(scaled, "_s", 1, "valley").drop("_f", "_w", "_v", "_p", "_s")
+
+
+def around_max(pixels: DataFrame, value: str, reach: int, name: str) -> DataFrame:
+    """Maximum over a square neighbourhood as two window passes."""
+    rows = pixels.withColumn("_r", F.max(value).over(_row().rowsBetween(-reach, reach)))
+    return rows.withColumn(name, F.max("_r").over(_column().rowsBetween(-reach, reach))).drop("_r")
+
+
+def ray_darkness(cells: DataFrame, ratio: Column) -> DataFrame:
+    """Per ray cell: one minus the darkest pixel's share of its neighbourhood."""
+    return cells.groupBy("image", "ray", "step").agg((1.0 - F.min(ratio)).alias("darkness"))
+
+
+def detect(scored: DataFrame, reviewed: Column, distance: int, wanted: DataFrame, share: float = 0.8, stride: int = 4) -> DataFrame:
+    """Candidates: local maxima of the score inside the reviewed area above a floor, the best ``wanted(image, wanted)`` of each image.
+
+    The floor is a percentile over every ``stride``-th reviewed pixel. Equal scores rank in raster order.
+    """
+    every = (F.col("y") % stride == 0) & (F.col("x") % stride == 0)
+    floor = scored.filter(reviewed & every).groupBy("image").agg(F.percentile("score", share).alias("floor"))
+    inside = scored.withColumn("_s", F.when(reviewed, F.col("score")).otherwise(F.lit(float("-inf"))))
+    peaks = around_max(inside, "_s", distance, "_top").join(floor, "image").filter(reviewed & (F.col("_s") == F.col("_top")) & (F.col("_s") > F.col("floor")))
+    order = Window.partitionBy("image").orderBy(F.col("score").desc(), "y", "x")
+    ranked = peaks.withColumn("rank", F.row_number().over(order)).join(wanted, "image")
+    return ranked.filter(F.col("rank") <= F.col("wanted")).select("image", "y", "x", "score")
+
+
+def _diamond(pixels: DataFrame, flag: str, reach: int, height: int, width: int, name: str, erode: bool) -> DataFrame:
+    """Erosion or dilation by a diamond, which is what repeated cross-shaped steps amount to; outside the image nothing is set."""
+    pick = F.min if erode else F.max
+    out = pixels.withColumn("_f", F.col(flag).cast("int"))
+    for k in range(reach + 1):
+        wide = pick("_f").over(_row().rowsBetween(-k, k))
+        inside = (F.col("x") >= k) & (F.col("x") < width - k)
+        out = out.withColumn(f"_k{k}", F.when(inside, wide).otherwise(0) if erode else wide)
+    terms = []
+    for dy in range(-reach, reach + 1):
+        source = f"_k{reach - abs(dy)}"
+        shifted = F.col(source) if dy == 0 else F.lag(source, -dy).over(_column()) if dy < 0 else F.lead(source, dy).over(_column())
+        terms.append(F.coalesce(shifted, F.lit(0)))
+    joined = (F.least(*terms) if erode else F.greatest(*terms)) if len(terms) > 1 else terms[0]
+    return out.withColumn(name, joined == 1).drop("_f", *[f"_k{k}" for k in range(reach + 1)])
+
+
+def eroded(pixels: DataFrame, flag: str, reach: int, height: int, width: int, name: str) -> DataFrame:
+    return _diamond(pixels, flag, reach, height, width, name, True)
+
+
+def dilated(pixels: DataFrame, flag: str, reach: int, height: int, width: int, name: str) -> DataFrame:
+    return _diamond(pixels, flag, reach, height, width, name, False)
+
+
+def wide_gaps(pixels: DataFrame, dark: str, reach: int, height: int, width: int, name: str) -> DataFrame:
+    """Dark areas that survive an opening by a diamond of ``reach``."""
+    return dilated(eroded(pixels, dark, reach, height, width, "_e"), "_e", reach, height, width, name).drop("_e")
+
+
+def closed(pixels: DataFrame, flag: str, reach: int, height: int, width: int, name: str) -> DataFrame:
+    """Closing by a square: window maxima, then minima that count the outside as empty."""
+    grown = around_max(pixels.withColumn("_f", F.col(flag).cast("int")), "_f", reach, "_g")
+    inside = (F.col("x") >= reach) & (F.col("x") < width - reach) & (F.col("y") >= reach) & (F.col("y") < height - reach)
+    rows = grown.withColumn("_r", F.min("_g").over(_row().rowsBetween(-reach, reach)))
+    return rows.withColumn(name, inside & (F.min("_r").over(_column().rowsBetween(-reach, reach)) == 1)).drop("_f", "_g", "_r")
+
+
+def long_strips(pixels: DataFrame, dark: str, reach: int, least: float, height: int, width: int, require_edge: bool = False,
+                min_aspect: float = 0.0, tile: int = 512) -> DataFrame:
+    """Dark pieces too thin to be wide gaps, off their rind, whose bounding box is at least ``least`` pixels long.
+
+    ``require_edge`` keeps only pieces next to the grown wide gaps, ``min_aspect`` only long ones for their area.
+    """
+    from stratafold.operators.components import components, keep_pieces, sizes
+
+    grown = dilated(wide_gaps(pixels, dark, reach, height, width, "_wide"), "_wide", reach, height, width, "_grown")
+    thin = grown.filter(F.col(dark) & ~F.col("_grown"))
+    pieces = components(thin, tile)
+    facts = sizes(pieces).withColumn("length", F.greatest(F.col("bottom") - F.col("top"), F.col("right") - F.col("left")) + 1).filter(F.col("length") >= least)
+    if min_aspect > 0:
+        facts = facts.filter(F.col("length") * F.col("length") >= min_aspect * F.col("pixels"))
+    if require_edge:
+        near = dilated(grown, "_grown", 1, height, width, "_n1")
+        near = around_max(near.withColumn("_g1", F.col("_grown").cast("int")), "_g1", 1, "_edge").filter("_edge = 1").select("image", "y", "x")
+        facts = facts.join(pieces.join(near, ["image", "y", "x"]).select("image", "component").distinct(), ["image", "component"])
+    return keep_pieces(pieces, facts)
+
+
+def edge_distance(pixels: DataFrame, inside: Column, band: int = 64) -> DataFrame:
+    """Squared distance from every pixel to the nearest one that is not inside; exact.
+
+    First the nearest outside pixel in the same row, from running last and first values; then columns, in bands that are
+    independent of each other. An image without any outside pixel has no distance.
+    """
+    out = F.when(~inside, F.col("x"))
+    left, right = F.last(out, True).over(_row().rowsBetween(Window.unboundedPreceding, 0)), F.first(out, True).over(_row().rowsBetween(0, Window.unboundedFollowing))
+    near = F.least(F.col("x") - left, right - F.col("x"))
+    rows = pixels.select("image", "y", "x", near.alias("_g")).select("image", "y", "x", (F.col("_g") * F.col("_g")).alias("g2"))
+    made = rows.groupBy("image", F.floor(F.col("x") / band)).applyInPandas(column_distances, "image long, y long, x long, d2 long")
+    return made.withColumn("d2", F.when(F.col("d2") < 2 ** 40, F.col("d2")))
+
+
+def boundary(pixels: DataFrame, inside: Column, height: int, width: int) -> DataFrame:
+    """Pixels of a mask with a 4-neighbour outside it or outside the image."""
+    m = inside.cast("int")
+    across = F.coalesce(F.lag(m).over(_row()), F.lit(0)) + F.coalesce(F.lead(m).over(_row()), F.lit(0))
+    along = F.coalesce(F.lag(m).over(_column()), F.lit(0)) + F.coalesce(F.lead(m).over(_column()), F.lit(0))
+    return pixels.withColumn("_n", across + along).filter(inside & (F.col("_n") < 4)).drop("_n")
+
+
+def border_kinds(edge: DataFrame, to_edge: Column, to_line: Column, edge_px: float, line_px: float) -> DataFrame:
+    """Every boundary pixel as edge, line or interior; the tissue's edge explains a pixel before the line does."""
+    return edge.withColumn("kind", F.when(to_edge <= edge_px, "edge").when(F.coalesce(to_line <= line_px, F.lit(False)), "line").otherwise("interior"))
+
+
+def downsample(pixels: DataFrame, factor: float, value: Column, lab: Column, classes: int) -> DataFrame:
+    """Mean value and the label with at least half of the area (else 0) on a grid ``factor`` as fine."""
+    y, x = F.floor(F.col("y") * factor), F.floor(F.col("x") * factor)
+    shares = [F.avg((lab == k).cast("int")) for k in range(1, classes)]
+    made = pixels.groupBy("image", y.alias("cy"), x.alias("cx")).agg(F.avg(value).alias("value"), F.max(value).alias("top"), F.array(*shares).alias("_s"))
+    best = F.array_max("_s")
+    return made.withColumn("lab", F.when(best >= 0.5, F.array_position("_s", best)).otherwise(0).cast("int")).drop("_s")
+
+
+def stretch(pixels: DataFrame, value: Column, tissue_flag: Column, low: float, high: float) -> DataFrame:
+    """Contrast stretch between two percentiles of the tissue."""
+    cuts = pixels.filter(tissue_flag).groupBy("image").agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    lo, hi = F.col("_p")[0], F.col("_p")[1]
+    return pixels.join(cuts, "image").withColumn("stretched", (F.least(F.greatest(value, lo), hi) - lo) / F.greatest(hi - lo, F.lit(1e-6))).drop("_p")
+
+
+def bright_patch(pixels: DataFrame, value: Column, share: float, least: int, power: float = 3.0, tile: int = 512) -> DataFrame:
+    """The largest piece of tissue above its own percentile, with weight (value - cut) ** power; too small a piece is no patch."""
+    from stratafold.operators.components import largest_piece
+
+    cut = pixels.filter("tissue").groupBy("image").agg(F.percentile(value, share).alias("cut"))
+    above = pixels.withColumn("_v", value).filter("tissue").join(cut, "image").filter(F.col("_v") > F.col("cut"))
+    piece = largest_piece(above, tile)
+    enough = piece.groupBy("image").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("image")
+    return above.join(piece.join(enough, "image"), ["image", "y", "x"]).withColumn("weight", F.pow(F.col("_v") - F.col("cut"), F.lit(power))).drop("_v")
