@@ -91,10 +91,12 @@ def largest_piece(mask: DataFrame, tile: int = TILE) -> DataFrame:
     return keep_pieces(pieces, best)
 
 
-def pieces_touching(mask: DataFrame, seeds: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pieces that contain a seed pixel; an image whose seeds touch nothing keeps its largest piece."""
+def pieces_touching(mask: DataFrame, seeds: DataFrame, fall_back: bool = True, tile: int = TILE) -> DataFrame:
+    """Pieces that contain a seed pixel; with ``fall_back`` an image whose seeds touch nothing keeps its largest piece."""
     pieces = components(mask, tile)
     hit = pieces.join(seeds.select("image", "y", "x").distinct(), ["image", "y", "x"]).select("image", "component").distinct()
+    if not fall_back:
+        return keep_pieces(pieces, hit)
     best = pieces.groupBy("image", "component").agg(F.count("*").alias("n")).groupBy("image").agg(
         F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("component"))
     return keep_pieces(pieces, hit.unionByName(best.join(hit.select("image"), "image", "left_anti")))

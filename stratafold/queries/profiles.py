@@ -11,6 +11,11 @@ from stratafold.registry import query
 
 C = F.col
 
+def depth_sql(profile: str, centre: int) -> str:
+    """Dips, sides and candidates of a profile CTE or view; ends inside a WITH list."""
+    return DEPTH.replace("profile", profile).replace("32", str(centre))
+
+
 DEPTH = """
 WITH d AS (SELECT a.*, (SELECT max(value) FROM profile b WHERE b.image = a.image AND b.bin BETWEEN a.bin - 10 AND a.bin - 1) AS l, (SELECT max(value) FROM profile b WHERE b.image = a.image AND b.bin BETWEEN a.bin + 1 AND a.bin + 10) AS h FROM profile a),
 depth AS (SELECT image, bin, position, value, CASE WHEN l IS NOT NULL AND h IS NOT NULL AND least(l, h) > 0 THEN 1 - value / least(l, h) END AS depth FROM d),
