@@ -137,8 +137,9 @@ def closing(spark, folder):
 
 def pieces(name: str, mask: str) -> str:
     """Recursive CTE: every pixel of ``mask`` (a query of image, y, x) with the first pixel of its piece in raster order."""
-    return (f"{name}_m AS ({mask}), {name}_c AS (SELECT image, y, x, y * 1048576 + x AS root FROM {name}_m UNION SELECT n.image, n.y, n.x, c.root FROM {name}_c c JOIN {name}_m n ON n.image = c.image "
-            f"AND ((n.y = c.y AND n.x IN (c.x - 1, c.x + 1)) OR (n.x = c.x AND n.y IN (c.y - 1, c.y + 1)))), {name} AS (SELECT image, y, x, min(root) AS component FROM {name}_c GROUP BY 1, 2, 3)")
+    return (f"{name}_m AS ({mask}), {name}(image, y, x, component) USING KEY (image, y, x) AS (SELECT image, y, x, y * 1048576 + x FROM {name}_m UNION "
+            f"SELECT n.image, n.y, n.x, min(c.component) FROM {name} c, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) nb(dy, dx), recurring.{name} n "
+            f"WHERE n.image = c.image AND n.y = c.y + nb.dy AND n.x = c.x + nb.dx AND c.component < n.component GROUP BY 1, 2, 3)")
 
 
 MASK = "SELECT image, y, x FROM pixels WHERE green >= 0.01::DOUBLE"
