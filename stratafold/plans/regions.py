@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stratafold.constants import CANVAS_UM
 from stratafold.operators import components as cc
 from stratafold.operators import raster as ra
+from stratafold.plans.filling import painted
+from stratafold.session import cut_lineage
 
 PIXEL = ["image", "y", "x"]
 
@@ -248,7 +250,8 @@ def fill_between(framed: DataFrame, bright: Column, low_um: float, high_um: floa
     marked = flagged(table0, barrier if thin is None else barrier.unionByName(thin), "_barrier")
     if thin is not None:
         marked = flagged(marked, thin, "_strip")
-    cells = rays.ray_cells(marked, low_um, high_um)
+    kept = ["image", "y", "x", "green", "along", "across", "_dark", "_barrier", *(["_strip"] if thin is not None else [])]
+    cells = cut_lineage(rays.ray_cells(marked.select(*kept), low_um, high_um))
     table = rays.ray_table(cells, ~F.col("_dark"), F.col("green"), F.col("_barrier"))
     border = rays.first_wide_gap(table, 1).withColumn("wall", F.col("stop"))
     blind = ~F.col("found")
@@ -281,8 +284,7 @@ def fill_between(framed: DataFrame, bright: Column, low_um: float, high_um: floa
         border = bo.dome(border)
     if bends:
         border = bo.round_bends(border, bends)
-    from stratafold.plans.filling import painted
-
+    border = cut_lineage(border)
     region = painted(cells, border).select(*PIXEL)
     if joined:
         region = cc.reachable(region, table0.filter("_dark"), cells.filter("step = 0"), height, width)
@@ -305,7 +307,7 @@ def first_region_rule(framed: DataFrame, height: int, width: int, dark_level: fl
     """The shipped rule of the first region: end window from the profile, then the fill with every stage it uses."""
     plain, _ = fill_between(framed, F.col("green") >= dark_level, -half_um, half_um, reach, height, width, bridge=False)
     window = end_window(framed, plain, 10, half_um, half_um, half_um)
-    inside = framed.join(window, "image").filter(F.col("along").between(F.col("low"), F.col("high"))).drop("low", "high")
+    inside = cut_lineage(framed.join(window, "image").filter(F.col("along").between(F.col("low"), F.col("high"))).drop("low", "high"))
     return fill_between(
         inside.withColumn("_cue", F.col("green") < dark_level + 0.02), F.col("green") >= dark_level, -half_um, half_um, reach, height, width, strips={"_cue": 4.0},
         grow=True, median=5, faithful=True, extend=3, extend_order=2, tips=83.0, lift=10, joined=True)
@@ -316,23 +318,22 @@ def second_region_rule(framed: DataFrame, height: int, width: int, dark_level: f
     along the outermost dark path, dips filled, and reduced to one reachable piece."""
     from stratafold.operators import borders as bo
     from stratafold.operators import rays
-    from stratafold.plans.filling import painted
 
     turned = framed.withColumn("across", -F.col("across"))
     region, border = fill_between(
         turned.withColumn("_cue", F.col("green") < dark_level + 0.02), F.col("green") >= dark_level, -half_um, half_um, reach, height, width,
         strips={"_cue": 4.0}, grow=True, median=5, faithful=True, tips=83.0, lift=10)
     cells = rays.ray_cells(turned, -half_um, half_um)
-    table = rays.ray_table(cells, F.col("green") >= dark_level, F.col("green"))
+    table = cut_lineage(rays.ray_table(cells, F.col("green") >= dark_level, F.col("green")))
     walls = border.select("image", "ray", "stop", "width", "found").withColumn("wall", F.col("stop"))
     line = bo.straighten(walls, 1)
     line = line.withColumn("stop", F.when(F.col("found"), F.least("stop", F.col("wall").cast("double"))).otherwise(F.col("stop")))
     inner = bo.wall_is_interior(walls, table, 12, 0.4).select("image", "ray", (F.col("found") & ~F.col("interior")).alias("past"))
-    line = bo.taper_ends(line.join(inner, ["image", "ray"]), 2, 12, 4)
+    line = cut_lineage(bo.taper_ends(line.join(inner, ["image", "ray"]), 2, 12, 4))
     scored = table.withColumn("score", -F.col("mean")).withColumn("usable", F.col("seen") & (F.col("step") >= 2))
     path = bo.best_path(bo.outermost_floor(scored, 0.9, 12), 2)
     line = bo.pull_in(bo.wall_is_interior(line, table, 12, 0.4), path)
-    line = bo.fill_dips(line, 12, table, 0.5)
+    line = cut_lineage(bo.fill_dips(line, 12, table, 0.5))
     filled = painted(cells, line).select(*PIXEL)
     joined = cc.reachable(filled, turned.filter(F.col("green") < dark_level), cells.filter("step = 0"), height, width)
     return cc.largest_piece(joined), line

@@ -17,8 +17,8 @@ def depth_sql(profile: str, centre: int) -> str:
 
 
 DEPTH = """
-WITH d AS (SELECT a.*, (SELECT max(value) FROM profile b WHERE b.image = a.image AND b.bin BETWEEN a.bin - 10 AND a.bin - 1) AS l, (SELECT max(value) FROM profile b WHERE b.image = a.image AND b.bin BETWEEN a.bin + 1 AND a.bin + 10) AS h FROM profile a),
-depth AS (SELECT image, bin, position, value, CASE WHEN l IS NOT NULL AND h IS NOT NULL AND least(l, h) > 0 THEN 1 - value / least(l, h) END AS depth FROM d),
+WITH dd AS (SELECT a.*, (SELECT max(value) FROM profile b WHERE b.image = a.image AND b.bin BETWEEN a.bin - 10 AND a.bin - 1) AS l, (SELECT max(value) FROM profile b WHERE b.image = a.image AND b.bin BETWEEN a.bin + 1 AND a.bin + 10) AS h FROM profile a),
+depth AS (SELECT image, bin, position, value, CASE WHEN l IS NOT NULL AND h IS NOT NULL AND least(l, h) > 0 THEN 1 - value / least(l, h) END AS depth FROM dd),
 sides AS (SELECT d.*, s.side, abs(d.bin - 32) AS ord FROM depth d, (VALUES (-1), (1)) s(side) WHERE (s.side = -1 AND d.bin <= 32) OR (s.side = 1 AND d.bin >= 32)),
 inside AS (SELECT * FROM sides a WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sides g WHERE g.image = a.image AND g.side = a.side AND g.value IS NULL AND g.ord < a.ord
    AND EXISTS (SELECT 1 FROM sides t WHERE t.image = a.image AND t.side = a.side AND t.value IS NOT NULL AND t.ord < g.ord))),
@@ -126,10 +126,10 @@ def dip_candidates(spark, folder):
 
 def _ends_sql(floor: str) -> str:
     return f""", lo AS (SELECT * FROM c WHERE side = -1 AND depth IS NOT NULL {floor}), hi AS (SELECT * FROM c WHERE side = 1 AND depth IS NOT NULL {floor}),
-e AS (SELECT image, any_value(edge) FILTER (side = -1) AS le, any_value(edge) FILTER (side = 1) AS he FROM c GROUP BY image),
+ee AS (SELECT image, any_value(edge) FILTER (side = -1) AS le, any_value(edge) FILTER (side = 1) AS he FROM c GROUP BY image),
 pr AS (SELECT lo.image, arg_max(lo.position, (round(lo.depth + hi.depth, 12), -lo.ord, -hi.ord)) AS low, arg_max(hi.position, (round(lo.depth + hi.depth, 12), -lo.ord, -hi.ord)) AS high FROM lo JOIN hi ON hi.image = lo.image AND hi.position - lo.position >= 400 GROUP BY lo.image),
-n AS (SELECT e.*, (SELECT count(*) FROM lo WHERE lo.image = e.image) AS nl, (SELECT count(*) FROM hi WHERE hi.image = e.image) AS nh,
-  (SELECT arg_max(position, (depth, -ord)) FROM hi WHERE hi.image = e.image AND position - le >= 400) AS oh, (SELECT arg_max(position, (depth, -ord)) FROM lo WHERE lo.image = e.image AND he - position >= 400) AS ol FROM e)"""
+n AS (SELECT ee.*, (SELECT count(*) FROM lo WHERE lo.image = ee.image) AS nl, (SELECT count(*) FROM hi WHERE hi.image = ee.image) AS nh,
+  (SELECT arg_max(position, (depth, -ord)) FROM hi WHERE hi.image = ee.image AND position - le >= 400) AS oh, (SELECT arg_max(position, (depth, -ord)) FROM lo WHERE lo.image = ee.image AND he - position >= 400) AS ol FROM ee)"""
 
 
 PAIRED = _ends_sql("AND depth >= 0.04") + """, ends AS (SELECT n.image, CASE WHEN nl = 0 AND nh > 0 THEN le WHEN nh = 0 AND nl > 0 THEN coalesce(ol, le) ELSE coalesce(low, le) END AS low,
