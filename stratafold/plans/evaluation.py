@@ -71,3 +71,12 @@ def sweep_summary(swept: DataFrame, baseline: str) -> DataFrame:
 def least_confident(cells: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     """The model's own rows at or below their section's cut."""
     return cells.join(cuts, key).filter((F.col("source") == "model") & (F.col("probability") <= F.col("cut")))
+
+
+def grade(masks: DataFrame, truth: Column, rules: dict) -> DataFrame:
+    """Every rule graded by the same counts; a rule is a function that adds a boolean ``inside`` column."""
+    out = None
+    for name, rule in rules.items():
+        made = rule(masks).groupBy("image").agg(F.lit(name).alias("rule"), F.count_if(truth & F.col("inside")).alias("both"), F.count_if("inside").alias("found"))
+        out = made if out is None else out.unionByName(made)
+    return out
