@@ -23,7 +23,7 @@ def in_skipped_folder(path: Column) -> Column:
 
 
 def folder_of(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    return F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def image_files(listing: DataFrame) -> DataFrame:
@@ -49,21 +49,18 @@ def duplicate_images(listing: DataFrame) -> DataFrame:
 
 def sidecar_files(listing: DataFrame) -> DataFrame:
     """``(folder, stem, kind, modified)`` of every sidecar table, read back from its name."""
-    kind = F.lit(None).cast("string")
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    stem = F.lit(None).cast("string")
-    for word, suffix in SIDECAR_SUFFIXES.items():
-        hit = name.endswith(suffix)
-        kind = F.when(hit, word).otherwise(kind)
-        stem = F.when(hit, name.substr(F.lit(1), F.length(name) - len(suffix))).otherwise(stem)
-    return listing.select(folder_of(F.col("path")).alias("folder"), stem.alias("stem"), kind.alias("kind"), "modified").filter(
-        "kind IS NOT NULL")
+    kinds = F.create_map(*[F.lit(v) for word, suffix in SIDECAR_SUFFIXES.items() for v in (suffix, word)])
+    pattern = "^(.+?)(" + "|".join(suffix.replace(".", "[.]") for suffix in SIDECAR_SUFFIXES.values()) + ")$"
+    tables = listing.filter(F.col("path").endswith(".csv")).withColumn("_name", F.substring_index("path", "/", -1)).withColumn(
+        "_suffix", F.regexp_extract("_name", pattern, 2)).filter("_suffix <> ''")
+    stem = F.substr("_name", F.lit(1), F.length("_name") - F.length("_suffix"))
+    return tables.select(folder_of(F.col("path")).alias("folder"), stem.alias("stem"), F.element_at(kinds, F.col("_suffix")).alias("kind"), "modified")
 
 
 def section_table(listing: DataFrame) -> DataFrame:
     """Every section with the three existence flags, its status and whether its counts are older than its outlines.
 
-    Images and sidecars meet in one aggregate on (folder, stem) - one shuffle, no join.
+    Sidecars count when they lie beside the image. Images and sidecars meet in one aggregate on (folder, stem) - one shuffle, no join.
     """
     images = resolve_images(listing).select(folder_of(F.col("path")).alias("folder"), "stem", F.lit("image").alias("kind"), "path", "modified")
     both = images.unionByName(sidecar_files(listing), allowMissingColumns=True)
