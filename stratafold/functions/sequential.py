@@ -132,3 +132,19 @@ def annulus_means(pdf: pd.DataFrame, tile: int, halo: int, zones: tuple) -> pd.D
         made = np.fft.irfft2(spectrum * np.fft.rfft2(ring / ring.sum(), (size, size)), (size, size))
         out[name] = made[oy + reach, ox + reach]
     return pd.DataFrame(out)
+
+
+def hull_corners(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Corners of the upper hull of one border, in one pass over its rays; points on a chord are not corners."""
+    pdf = pdf.sort_values("ray")
+    rays, values = pdf["ray"].to_numpy("int64"), pdf["v"].to_numpy("float64")
+    kept: list[int] = []
+    for i in range(len(rays)):
+        while len(kept) > 1:
+            a, b = kept[-2], kept[-1]
+            rise = (values[b] - values[a]) * (rays[i] - rays[b]) - (values[i] - values[b]) * (rays[b] - rays[a])
+            if rise > 0:
+                break
+            kept.pop()
+        kept.append(i)
+    return pd.DataFrame({"image": pdf["image"].iloc[kept], "ray": rays[kept], "corner": True})

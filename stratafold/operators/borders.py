@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.constants import ACROSS_BIN_UM, ALONG_BIN_UM
-from stratafold.functions.sequential import extended, path_through
+from stratafold.functions.sequential import extended, hull_corners, path_through
 
 def section():
     return Window.partitionBy("image")
@@ -82,17 +82,9 @@ def wall_median(border: DataFrame, half: int) -> DataFrame:
 
 
 def hull_vertices(border: DataFrame, value: str = "stop") -> DataFrame:
-    """Vertices of the upper hull of the points ``(ray, value)``: every slope from the left exceeds every slope to the right.
-
-    One pass over ray pairs of a section, which are bounded by the square of its few hundred rays.
-    """
+    """Corners of the upper hull of the points ``(ray, value)``. A group is one border of at most a few hundred rays."""
     points = border.select("image", "ray", F.col(value).cast("double").alias("v"))
-    other = points.select("image", F.col("ray").alias("_r"), F.col("v").alias("_v"))
-    slope = (F.col("v") - F.col("_v")) / F.nullif((ray() - F.col("_r")).cast("double"), F.lit(0.0))
-    faced = points.join(other, "image").filter("ray <> _r").groupBy("image", "ray", "v").agg(
-        F.min(F.when(F.col("_r") < ray(), slope)).alias("_left"), F.max(F.when(F.col("_r") > ray(), slope)).alias("_right"))
-    corner = F.col("_left").isNull() | F.col("_right").isNull() | (F.col("_left") > F.col("_right"))
-    return faced.filter(corner).select("image", "ray", F.lit(True).alias("corner"))
+    return points.groupBy("image").applyInPandas(hull_corners, "image long, ray long, corner boolean")
 
 
 def dome(border: DataFrame, cap: int = 0, balance: bool = False) -> DataFrame:

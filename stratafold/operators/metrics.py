@@ -26,15 +26,20 @@ def overlap(masks: DataFrame, predicted: Column, truth: Column, *keys: str) -> D
         known(ratio(F.col("both"), F.col("t"))).alias("recall"), known(F.col("p") / F.col("t") - 1).alias("area_error"))
 
 
+def weighted_count(condition: Column, weight: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
+
+
 def cell_shares(cells: DataFrame, drawn: Column, other: Column, inside: dict[str, Column], *keys: str) -> DataFrame:
     """Per key and rung: cells drawn in the region, kept by the rung, taken from the other region, unlabelled, claimed.
 
-    All rungs are counted in the same pass and unpivoted afterwards.
+    ``cells`` has one row per pixel with ``n`` cells on it. All rungs are counted in the same pass and unpivoted afterwards.
     """
-    parts = [F.count_if(drawn).alias("cells")]
+    n = F.col("n")
+    parts = [weighted_count(drawn, n).alias("cells")]
     for rung, claim in inside.items():
-        parts.append(F.struct(F.lit(rung).alias("rung"), F.count_if(drawn & claim).alias("kept"), F.count_if(claim & other).alias("other"),
-                              F.count_if(claim & ~drawn & ~other).alias("unlabelled"), F.count_if(claim).alias("claimed")).alias(f"_{rung}"))
+        parts.append(F.struct(F.lit(rung).alias("rung"), weighted_count(drawn & claim, n).alias("kept"), weighted_count(claim & other, n).alias("other"),
+                              weighted_count(claim & ~drawn & ~other, n).alias("unlabelled"), weighted_count(claim, n).alias("claimed")).alias(f"_{rung}"))
     made = cells.groupBy(*keys).agg(*parts).filter("cells > 0")
     return made.select(*keys, "cells", F.inline(F.array(*[F.col(f"_{rung}") for rung in inside])))
 

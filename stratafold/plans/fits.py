@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.functions.ordered import median_without_own
+from stratafold.functions.ordered import exact_percentiles, median_without_own
 from stratafold.operators.frames import BIN_UM, projections
 
 SIDE_MIN_PX = 20
@@ -48,6 +48,13 @@ def fold_medians(measured: DataFrame, group: str, item: str, names: list[str]) -
     return medians.groupBy(group).agg(*[F.max(F.when(F.col("measure") == n, F.col("median"))).alias(n) for n in names])
 
 
+def fitted_constants(measured: DataFrame, names: list[str]) -> DataFrame:
+    """The median of each measured number over all birds, as one row."""
+    stacked = measured.select(F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])))
+    medians = exact_percentiles(stacked, ["measure"], "value", {"median": 0.5})
+    return medians.agg(*[F.max(F.when(F.col("measure") == n, F.col("median"))).alias(n) for n in names])
+
+
 def direction_extents(framed: DataFrame, mask: Column, directions: int = 16, share: float | None = None) -> DataFrame:
     """Array of the mask's reach along each fanned direction, all directions in one pass.
 

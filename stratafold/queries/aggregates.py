@@ -166,7 +166,7 @@ WITH c AS (SELECT k % 10 AS image, y * 50 // 480 AS y, x * 64 // 480 AS x FROM c
 def _cells_on_canvas(spark, folder):
     """Cells with the pixel they fall on; cells are counted per pixel before the join, so the pixel table meets distinct pixels."""
     c = fx.cells(spark, folder).select((C("k") % 10).alias("image"), F.floor(C("y") * 50 / 480).alias("y"), F.floor(C("x") * 64 / 480).alias("x"))
-    return c.join(fx.framed(spark, folder), ["image", "y", "x"])
+    return c.groupBy("image", "y", "x").agg(F.count("*").alias("n")).join(fx.framed(spark, folder), ["image", "y", "x"])
 
 
 @query("cells_kept_a17", "cells framed", CELLS_ON_CANVAS + """
@@ -193,7 +193,8 @@ SELECT a.image, round(coalesce(kept, 0) / greatest(coalesce(cells, 0), 1), 6) AS
 def density_proxy(spark, folder):
     found = C("tissue") & (C("across") > 0)
     areas = fx.framed(spark, folder).groupBy("image").agg(F.count_if(found).alias("area"), F.count_if(C("lab") == 1).alias("drawn"))
-    n = _cells_on_canvas(spark, folder).groupBy("image").agg(F.count_if(C("lab") == 1).alias("cells"), F.count_if((C("lab") == 1) & found).alias("kept"))
+    n = _cells_on_canvas(spark, folder).groupBy("image").agg(
+        metrics.weighted_count(C("lab") == 1, C("n")).alias("cells"), metrics.weighted_count((C("lab") == 1) & found, C("n")).alias("kept"))
     j = areas.join(n, "image", "left").fillna(0, ["cells", "kept"])
     return j.select("image", *metrics.density_proxy(C("kept"), C("cells"), C("area"), C("drawn"))).select("image", r("share", "share"), r("area_ratio", "area_ratio"), r("density", "density"))
 
@@ -246,6 +247,17 @@ def region_measures(spark, folder):
     return _measured(spark, folder).select("image", *[r(n, n, 4) for n in NUMBERS])
 
 
+@query("fitted_constants_s29", "framed", MEASURED + "SELECT " + ", ".join(f"round(quantile_cont({n}, 0.5), 4) AS {n}" for n in NUMBERS) + " FROM m")
+def fitted_constants(spark, folder):
+    """One row of constants over all birds, stored in the shared folder and read back as later jobs do."""
+    from stratafold.session import shared_path
+    from stratafold.sources.sinks import write_whole
+
+    path = shared_path(spark, "constants")
+    write_whole(fits.fitted_constants(_measured(spark, folder), list(NUMBERS)), path)
+    return spark.read.parquet(path).select(*[r(n, n, 4) for n in NUMBERS])
+
+
 @query("fold_medians_a22", "framed", MEASURED + ", folds AS (SELECT DISTINCT bird FROM m) SELECT folds.bird, " + ", ".join(
     f"round(quantile_cont({n}, 0.5), 4) AS {n}" for n in NUMBERS) + " FROM folds JOIN m ON m.bird <> folds.bird GROUP BY folds.bird")
 def fold_medians(spark, folder):

@@ -246,13 +246,13 @@ def work_set(spark, folder):
 
 
 @query("cut_segment_g15", "outlines outline_edges", """
-WITH c AS (SELECT section_id, avg(y) AS cy, avg(x) AS cx FROM outlines GROUP BY 1), v AS (SELECT e.*, (y1 - cy) * 0.6::DOUBLE + (x1 - cx) * 0.8::DOUBLE - 3.5::DOUBLE AS h, (y2 - cy) * 0.6::DOUBLE + (x2 - cx) * 0.8::DOUBLE - 3.5::DOUBLE AS t FROM outline_edges e JOIN c ON c.section_id = e.section_id),
+WITH c AS (SELECT section_id, avg(y) AS cy, avg(x) AS cx FROM outlines GROUP BY 1), v AS (SELECT e.*, (y1 - cy) * 0.4535961214255773::DOUBLE + (x1 - cx) * 0.8912073600614354::DOUBLE - 3.5::DOUBLE AS h, (y2 - cy) * 0.4535961214255773::DOUBLE + (x2 - cx) * 0.8912073600614354::DOUBLE - 3.5::DOUBLE AS t FROM outline_edges e JOIN c ON c.section_id = e.section_id),
 p AS (SELECT section_id, y1 + h / nullif(h - t, 0) * (y2 - y1) AS py, x1 + h / nullif(h - t, 0) * (x2 - x1) AS px FROM v WHERE (h <= 0) <> (t <= 0))
-SELECT section_id, round(arg_min(py, px * 0.6::DOUBLE - py * 0.8::DOUBLE), 4) AS y1, round(arg_min(px, px * 0.6::DOUBLE - py * 0.8::DOUBLE), 4) AS x1, round(arg_max(py, px * 0.6::DOUBLE - py * 0.8::DOUBLE), 4) AS y2, round(arg_max(px, px * 0.6::DOUBLE - py * 0.8::DOUBLE), 4) AS x2, count(*) AS crossings FROM p GROUP BY section_id HAVING count(*) >= 2""")
+SELECT section_id, round(arg_min(py, px * 0.4535961214255773::DOUBLE - py * 0.8912073600614354::DOUBLE), 4) AS y1, round(arg_min(px, px * 0.4535961214255773::DOUBLE - py * 0.8912073600614354::DOUBLE), 4) AS x1, round(arg_max(py, px * 0.4535961214255773::DOUBLE - py * 0.8912073600614354::DOUBLE), 4) AS y2, round(arg_max(px, px * 0.4535961214255773::DOUBLE - py * 0.8912073600614354::DOUBLE), 4) AS x2, count(*) AS crossings FROM p GROUP BY section_id HAVING count(*) >= 2""")
 def cut_segment(spark, folder):
     ring = fx.outlines(spark, folder)
     axis = ring.groupBy("section_id").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx")).select(
-        "section_id", "cy", "cx", F.lit(0.6).alias("ay"), F.lit(0.8).alias("ax"), F.lit(3.5).alias("midpoint"))
+        "section_id", "cy", "cx", F.lit(0.4535961214255773).alias("ay"), F.lit(0.8912073600614354).alias("ax"), F.lit(3.5).alias("midpoint"))
     return polygons.cut_segment(polygons.edges(ring, ["section_id"]), axis, "section_id").select("section_id", *[r(n, n, 4) for n in ("y1", "x1", "y2", "x2")], "crossings")
 
 

@@ -6,6 +6,7 @@ from stratafold import fixtures as fx
 from stratafold.functions.scalars import density, region_rank, scale_from_metadata
 from stratafold.operators import matching, polygons, tables
 from stratafold.registry import query
+from stratafold.session import shared_path
 from stratafold.sources import catalog, readers, sinks
 
 IMAGES = """
@@ -204,6 +205,26 @@ run AS (SELECT section_id AS image, region, count(*) AS detected, max(logged_at)
 """
 
 
+@query("whole_write_s16", "section_areas", "SELECT section_id, region, tissue_px FROM section_areas")
+def whole_write(spark, folder):
+    """Written twice through the staging name; what is read back is one complete table."""
+    path = shared_path(spark, "areas")
+    rows = fx.section_areas(spark, folder).select("section_id", "region", "tissue_px")
+    sinks.write_whole(rows.filter("region = 'CMM'"), path)
+    sinks.write_whole(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("previous_generation_s17", "section_areas", "SELECT section_id, region, tissue_px FROM section_areas WHERE region = 'CMM'")
+def previous_generation(spark, folder):
+    """The table that was about to be replaced is kept, one generation deep."""
+    path = shared_path(spark, "areas")
+    rows = fx.section_areas(spark, folder).select("section_id", "region", "tissue_px")
+    for kept in ("dNCM", "CMM", "vNCM"):
+        sinks.write_whole(rows.filter(F.col("region") == kept), path, keep_previous=True)
+    return spark.read.parquet(f"{path}.previous")
+
+
 @query("summary_upsert_s18", "section_cells", RUN_SQL + """
 SELECT image, region, detected, classified, tissue_px, CAST(NULL AS TIMESTAMP) AS logged_at, 'kept' AS origin FROM ex WHERE image NOT IN (SELECT image FROM run)
 UNION ALL SELECT image, region, detected, NULL, NULL, logged_at, 'run' FROM run""")
@@ -219,7 +240,7 @@ def upsert_counts(spark, folder):
 
 @query("run_history_s18", "section_cells", RUN_SQL + """SELECT image, region, detected, logged_at, TIMESTAMP '2024-05-01 10:00:00' AS counted_at FROM run""")
 def run_history(spark, folder):
-    return sinks.stamped(_run(spark, folder), F.to_timestamp(F.lit("2024-05-01 10:00:00")).cast("timestamp"))
+    return sinks.stamped(_run(spark, folder), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))
 
 
 @query("area_rows_s19", "section_areas", """SELECT section_id, region, area_mm2, tissue_px,
@@ -255,7 +276,7 @@ diff AS (SELECT * FROM known UNION ALL SELECT stem, y, x, region, CASE WHEN regi
 SELECT TIMESTAMP '2024-05-01 10:00:00' AS logged_at, change AS action, stem, y, x, region, round(probability, 6) AS probability FROM diff WHERE change IN ('added', 'removed')""")
 def edit_log(spark, folder):
     d = _diff(spark, folder)
-    log = sinks.edit_rows(d.filter("change = 'added'"), d.filter("change = 'removed'"), F.to_timestamp(F.lit("2024-05-01 10:00:00")))
+    log = sinks.edit_rows(d.filter("change = 'added'"), d.filter("change = 'removed'"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))
     return log.withColumn("probability", F.round("probability", 6))
 
 
