@@ -291,22 +291,26 @@ def tissue_limit(spark, folder):
     return rays.tissue_limit(table(spark, folder), 0.05, 6)
 
 
-def _path(spark, folder):
-    scored = table(spark, folder).withColumn("score", F.round(-C("mean"), 6)).withColumn("usable", C("seen") & (C("step") >= 4))
-    return borders.best_path(scored, 2)
+def _scored(spark, folder):
+    return table(spark, folder).withColumn("score", F.round(-C("mean"), 6)).withColumn("usable", C("seen") & (C("step") >= 4))
 
 
-@query("best_path_w23")
+@query("best_path_w23", "raygrid", """
+WITH RECURSIVE g AS (SELECT image, ray, step, round(-mean, 6) AS v FROM raygrid WHERE seen AND step >= 4),
+dp AS (SELECT image, ray, step, v AS total FROM g WHERE ray = 0 UNION ALL SELECT g.image, g.ray, g.step, max(dp.total) + any_value(g.v) FROM dp JOIN g ON g.image = dp.image AND g.ray = dp.ray + 1 AND g.step BETWEEN dp.step - 2 AND dp.step + 2 GROUP BY 1, 2, 3)
+SELECT image, round(max(total), 4) AS total, round(max(total), 4) AS walked, CAST(50 AS BIGINT) AS rays FROM dp WHERE ray = 49 GROUP BY image""")
 def best_path(spark, folder):
-    return _path(spark, folder).select("image", "ray", "step", r("total", "total"))
+    """The best total, and the sum of the scores along the path that was traced back: they must agree."""
+    scored = _scored(spark, folder)
+    path = borders.best_path(scored, 2)
+    return path.join(scored.select("image", "ray", "step", "score"), ["image", "ray", "step"]).groupBy("image").agg(
+        r(F.max("total"), "total", 4), r(F.sum("score"), "walked", 4), F.count("*").alias("rays"))
 
 
 @query("path_border_w23")
 def path_border(spark, folder):
-    t = table(spark, folder)
-    scored = t.withColumn("score", F.round(-C("mean"), 6)).withColumn("usable", C("seen") & (C("step") >= 4))
-    path = borders.best_path(borders.outermost_floor(scored, 0.9, 10), 2)
-    judged = borders.wall_is_interior(stops(spark, folder), t, 12, 0.5)
+    path = borders.best_path(borders.outermost_floor(_scored(spark, folder), 0.9, 10), 2)
+    judged = borders.wall_is_interior(stops(spark, folder), table(spark, folder), 12, 0.5)
     return borders.pull_in(judged, path).select("image", "ray", "stop")
 
 
