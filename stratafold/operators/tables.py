@@ -9,24 +9,22 @@ from stratafold.constants import REGION_NAMES, STALE_MARK
 from stratafold.functions.scalars import bird_of, density, newer, region_rank, status
 
 
-def region_scaffold() -> Column:
-    """The fixed region list as an array to explode: one row per region without a join."""
-    return F.explode(F.array(*[F.lit(name) for name in REGION_NAMES]))
-
-
 def numbers_table(sections: DataFrame, cells: DataFrame, areas: DataFrame) -> DataFrame:
     """One row per section and region: count, area, density, stale. Uncounted sections have null counts, counted ones zeros.
 
     ``sections(section_id, stem, has_*, regions_mtime)``, ``cells(section_id, region, logged_at)``, ``areas(section_id, region,
-    area_mm2)``. Everything meets on section_id: cells are aggregated per (section, region) with map-side combine and pivoted
-    into one row per section, so the wide tables share one partitioning.
+    area_mm2)``. The region list is fixed, so counts and areas are one array per section, made by a single aggregate with
+    map-side combine; everything meets on section_id and the regions are exploded at the end, after the joins.
     """
-    tallies = cells.groupBy("section_id", "region").agg(F.count("*").alias("n"), F.max("logged_at").alias("logged_at")).groupBy("section_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("region", "n"))).alias("by_region"), F.max("logged_at").alias("counts_mtime"))
-    sizes = areas.groupBy("section_id").agg(F.map_from_entries(F.collect_list(F.struct("region", "area_mm2"))).alias("area_by_region"))
-    joined = sections.join(tallies, "section_id", "left").join(sizes, "section_id", "left").withColumn("region", region_scaffold())
-    cells_now = F.when(F.col("has_counts"), F.coalesce(F.try_element_at("by_region", "region"), F.lit(0)))
-    area = F.try_element_at("area_by_region", "region")
+    def per_region(value):
+        return F.array(*[value(F.col("region") == name) for name in REGION_NAMES])
+
+    tallies = cells.groupBy("section_id").agg(per_region(F.count_if).alias("counts"), F.max("logged_at").alias("counts_mtime"))
+    sizes = areas.groupBy("section_id").agg(per_region(lambda mine: F.max(F.when(mine, F.col("area_mm2")))).alias("sizes"))
+    regions = F.array(*[F.lit(name) for name in REGION_NAMES])
+    joined = sections.join(tallies, "section_id", "left").join(sizes, "section_id", "left").select("*", F.posexplode(regions).alias("pos", "region"))
+    cells_now = F.when(F.col("has_counts"), F.coalesce(F.get("counts", "pos"), F.lit(0)))
+    area = F.get("sizes", "pos")
     return joined.select(
         "section_id", "stem", bird_of(F.col("stem")).alias("bird"), "region",
         status(F.col("has_regions"), F.col("has_dorsal"), F.col("has_counts")).alias("status"), cells_now.alias("cells"), area.alias("area_mm2"),
