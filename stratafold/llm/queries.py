@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import packing, token_files
+from stratafold.llm import mixing, packing, sharding, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -36,3 +36,57 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), packing.Limits(tokens=1024, segments=64, loss_tokens=1024), end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
                          "sequence_tokens", "padded_to")
+
+
+@query("op2_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    whole = "NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
+    vector = F.expr(f"CASE WHEN {whole} THEN transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) END")
+    return topk.top_k(table(spark, folder, "embeddings"), "vec_id", vector, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op3_sharding")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    shards = sharding.write_shards(docs, shared_path(spark, "shards"), shards=8, seed=7)
+    text = F.coalesce("text", F.lit(""))
+    return shards.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_mixing", """
+WITH d AS (
+  SELECT doc_id, source, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS z,
+         [3, 1, 2][CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY source),
+l AS (
+  SELECT *, sum(z) OVER () * 1.5 AS t, sum(w) OVER () AS tw,
+         coalesce(sum(2 * z) OVER (ORDER BY z / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cz,
+         coalesce(sum(w) OVER (ORDER BY z / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cw FROM s),
+c AS (SELECT *, 2 * z * (tw - cw) <= w * (t - cz) AS capped FROM l),
+g AS (
+  SELECT source, z, CASE WHEN capped THEN 2.0 * z ELSE
+         w * (t - coalesce(sum(2 * z) FILTER (capped) OVER (), 0)) / (tw - coalesce(sum(w) FILTER (capped) OVER (), 0)) END AS target FROM c),
+q AS (SELECT source, z, CAST(target AS DOUBLE) AS target, CAST(floor(target) AS BIGINT) AS f FROM g),
+r AS (
+  SELECT d.doc_id, d.size, q.z, q.target, CASE WHEN q.z = 0 THEN 0 ELSE q.f // q.z END AS passes, CASE WHEN q.z = 0 THEN 0 ELSE q.f % q.z END AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target,
+       CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    mix = mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), weights=[3, 1, 2], share=1.5, most=2, seed=11)
+    return mix.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
