@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import mixing, packing, sharding, token_files, topk
+from stratafold.llm import chat, mixing, packing, sharding, spots, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -90,3 +90,40 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     mix = mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), weights=[3, 1, 2], share=1.5, most=2, seed=11)
     return mix.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
+#: A conversation of control strings.
+ODD_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op7_chat", f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{ODD_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{ODD_TEXT}'),
+t AS (SELECT conv_id, turn, role AS r, coalesce(role, '') AS role, text AS x, coalesce(text, '') AS text FROM c),
+e AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role, '<\\\\*\\|')) + len(regexp_extract_all(text, '<\\\\*\\|'))
+         + len(regexp_extract_all(role, '[\\\\\\n]')) AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    log = chat.events_of_turns(rows.unionByName(odd))
+    made = stored(chat.rendered(chat.messages(log)), "chats")
+    turns = chat.turns_of(F.col("formatted"))
+    read = made.select("conv_id", "formatted", turns.alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op9_spots")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return spots.edited_fingerprints(table(spark, folder, "documents"))
