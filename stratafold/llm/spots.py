@@ -1,8 +1,9 @@
 """Document fingerprints by spot signatures, in DataFrame functions only.
 
-A spot is a common word followed by a chain of content words: the two content words after it, where the first stands right behind
-it. A document's fingerprint is the set of its spots' hashes, written in order. A text without spots uses its single words, one
-without words its own hash, so equal texts always have equal fingerprints. Sets are likened by Jaccard; with a least likeness, sets
+A spot is an anchor followed by a chain of content words: the two content words after it, where the first stands right behind it.
+Anchors are common words, and the places where a text, a line, a sentence or a cell of a table begins, so lists and short texts
+have spots too. A document's fingerprint is the set of its spots' hashes, written in order. A text without content words uses its
+own hash; equal texts always have equal fingerprints. Sets are likened by Jaccard; with a least likeness, sets
 are put into classes of length in such a way that alike sets are in the same class or the next one, and all others are pruned.
 
 Nulls: a null text is empty; a null ``doc_id`` comes last. Rows that repeat id and text share one place in the order of documents.
@@ -27,17 +28,22 @@ COMMON = tuple(
 )
 
 
+#: Stands for the beginning of a text, line, sentence or cell.
+STOP = "\u00a7"
+
+
 def with_spots(df: DataFrame, text: str, name: str, common: tuple[str, ...] = COMMON) -> DataFrame:
     """Adds ``name``: the sorted set of the spots' hashes of the text column."""
     words, chain = f"_w_{name}", f"_c_{name}"
-    df = df.withColumn(words, F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    # a content word with the common word right before it, null where there is none
-    marked = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.when(F.get(words, i - 1).isin(*common), F.get(words, i - 1)).alias("a")))
-    df = df.withColumn(chain, F.filter(marked, lambda m: ~m["w"].isin("", *common)))
+    stopped = F.regexp_replace(F.lower(F.concat(F.lit("."), F.coalesce(text, F.lit("")))), r"[\n|.!?;:]+", f" {STOP} ")
+    df = df.withColumn(words, F.split(stopped, rf"[^\p{{L}}\p{{N}}{STOP}]+"))
+    # a content word with the anchor right before it, null where there is none
+    anchors = (STOP, *common)
+    marked = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.when(F.get(words, i - 1).isin(*anchors), F.get(words, i - 1)).alias("a")))
+    df = df.withColumn(chain, F.filter(marked, lambda m: ~m["w"].isin("", *anchors)))
     spots = F.transform(chain, lambda m, i: F.when(m["a"].isNotNull(), F.hash(m["a"], m["w"], F.get(chain, i + 1)["w"])))
     df = df.withColumn(name, F.array_compact(spots))
-    single = F.transform(words, lambda w: F.hash(w))
-    found = F.when(F.size(name) > 0, F.col(name)).when(F.exists(words, lambda w: w != ""), single).otherwise(F.array(F.hash(F.coalesce(text, F.lit("")))))
+    found = F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.hash(F.coalesce(text, F.lit("")))))
     return df.withColumn(name, F.sort_array(F.array_distinct(found))).drop(words, chain)
 
 
