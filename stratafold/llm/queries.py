@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import chat, mixing, packing, sharding, spots, token_files, topk
+from stratafold.llm import chat, mixing, packing, quality, sharding, spots, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -127,3 +127,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_spots")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return spots.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = quality.judged(docs, table(spark, folder, "labels"), seed=3)
+    return found.select("doc_id", F.col("_quality_weight").alias("weight"), F.col("_quality_grams").alias("n_grams"),
+                        F.col("_quality_key").alias("gumbel_key"), F.col("_quality_kept").alias("kept"))
