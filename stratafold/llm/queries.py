@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import chat, mixing, packing, quality, sharding, spots, token_files, topk
+from stratafold.llm import chat, mixing, near, packing, quality, sharding, spots, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -135,3 +135,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.judged(docs, table(spark, folder, "labels"), seed=3)
     return found.select("doc_id", F.col("_quality_weight").alias("weight"), F.col("_quality_grams").alias("n_grams"),
                         F.col("_quality_key").alias("gumbel_key"), F.col("_quality_kept").alias("kept"))
+
+
+@query("op6_near")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"), n=4, percent=80)
