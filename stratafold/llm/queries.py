@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import chat, mixing, near, packing, quality, sharding, spots, token_files, topk
+from stratafold.llm import chat, mixing, near, packing, quality, sharding, spots, suffix, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -140,3 +140,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"), n=4, percent=80)
+
+
+@query("op4_suffix")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = suffix.without_earlier(docs, span=50)
+    return found.select("doc_id", F.col("_dedup_bytes").alias("n_bytes"), F.col("_dedup_removed").alias("n_removed"), F.col("_dedup_spans").alias("n_spans"),
+                        F.sha2("_dedup_kept", 256).alias("kept_sha256"))
