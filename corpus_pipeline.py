@@ -1,18 +1,65 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents are judged, freed of near-duplicates and of repeated passages, mixed and packed.
+
+Each stage takes all documents that its predecessor kept, with the columns of ``documents``; the last one gives packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratafold.llm import packing
+from stratafold.llm import mixing, near, packing, quality, suffix
 from stratafold.llm.common import stored, table
 
+#: Words that near-duplicates' shingles have, and their similarity in percent.
+SHINGLE, SIMILAR = 5, 80
+#: Bytes of a passage that is kept only where it occurs first.
+PASSAGE = 50
+#: Weights of the sources in order of their names, the share of all words that the mix takes, and how often a document goes in at most.
+WEIGHTS, SHARE, REPEATS = [3, 1, 2], 1.5, 2
+LIMITS = packing.Limits(tokens=1024, segments=64, loss_tokens=1024)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.judged(docs, table(spark, sf_dir, "labels"), seed=3).filter("_quality_kept").select(*docs.columns)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    groups = near.near_duplicates(docs, n=SHINGLE, percent=SIMILAR)
+    dropped = groups.filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur in a document with a smaller id; documents of which nothing is left go."""
+    found = suffix.without_earlier(docs, span=PASSAGE, whole_characters=True).filter("_dedup_removed = 0 OR _dedup_removed < _dedup_bytes")
+    text = F.when(F.col("text").isNotNull(), F.col("_dedup_kept").cast("string"))
+    made = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row for each time that a document goes in, the last one of a source cut to fit."""
+    mix = mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), weights=WEIGHTS, share=SHARE, most=REPEATS, seed=11)
+    return mixing.repeated(mix, docs.columns)
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.Limits(tokens=2048, segments=64, loss_tokens=2048), end_id=0)
+    """Pieces of the documents' tokens with their place in the sequences."""
+    return packing.pack(docs, LIMITS, end_id=0)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", good),
+    ("MinHash near-dedup", unlike),
+    ("suffix-array dedup", without_passages),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 

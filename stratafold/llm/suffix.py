@@ -188,8 +188,11 @@ def _earlier_strings(span: int):
     return find
 
 
-def without_earlier(docs: DataFrame, span: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` with ``_dedup_bytes``, ``_dedup_removed``, ``_dedup_spans`` and ``_dedup_kept``, the bytes that remain."""
+def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` with ``_dedup_bytes``, ``_dedup_removed``, ``_dedup_spans`` and ``_dedup_kept``, the bytes that remain.
+
+    With ``whole_characters`` a character goes only if all its bytes do, so what remains is text.
+    """
     spark, columns = docs.sparkSession, docs.columns
     buckets = parts_for(docs, "text", chunk_bytes)
     doc_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
@@ -286,6 +289,9 @@ def without_earlier(docs: DataFrame, span: int = 50, chunk_bytes: int = CHUNK_BY
             np.add.at(mark, first[mine] + windows[at, 0], 1)
             np.add.at(mark, first[mine] + windows[at, 1] + span, -1)
         gone = np.cumsum(mark[:-1]) > 0
+        if whole_characters and len(data):
+            lead = np.flatnonzero(((data & 0xC0) != 0x80) | np.isin(np.arange(len(data)), limits[:-1]))
+            gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[limits[:-1][limits[:-1] < len(data)]] = gone[limits[:-1][limits[:-1] < len(data)]]
