@@ -59,7 +59,7 @@ class _Writer:
         self.tokens += len(ids)
         self.documents += 1
         if self.held_ids >= BATCH_ROWS * self.length:
-            self._flush(self.held_ids // self.length)
+            self._flush(self.held_ids // (BATCH_ROWS * self.length) * BATCH_ROWS)
 
     def _flush(self, rows: int) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
