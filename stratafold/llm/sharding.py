@@ -6,8 +6,8 @@ writes it. The permuted buckets, in order of their number, are one random order
 ``p mod shards`` at slot ``p div shards``, so the shards' counts are at most one apart and slots have no gaps. The number of
 records in the buckets before travels with each bucket as a row of its own, so no join is needed.
 
-A record that is repeated so often that it would fill a bucket is scattered by its row number too; its repeats are alike, so it
-does not matter which one lands where. Nulls hash like any value; a null text has no bytes. An empty table gives no rows. Extra
+A record that is repeated so often that it would fill a bucket is counted instead, and its repeats are numbered and scattered by
+their number too. So a record's bucket depends on nothing but the table, the seed and the size of the buckets. Nulls hash like any value; a null text has no bytes. An empty table gives no rows. Extra
 columns are carried along; only names that begin with ``_shuffle`` are taken.
 """
 
@@ -43,9 +43,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, bucket_byte
     keys = hashed.select("_shuffle_key")
     # at most buckets / HOT_SHARE rows: each stands for that share of a bucket's records
     most = F.lit(max(1, int(docs.count() / buckets * HOT_SHARE)))
-    hot = keys.groupBy("_shuffle_key").count().filter(F.col("count") > most).select("_shuffle_key", F.lit(True).alias("_shuffle_hot"))
-    salted = hashed.withColumn("_shuffle_row", F.monotonically_increasing_id()).join(F.broadcast(hot), "_shuffle_key", "left").withColumn(
-        "_shuffle_row", F.when(F.col("_shuffle_hot"), F.col("_shuffle_row")).otherwise(0))
+    hot = keys.groupBy("_shuffle_key").count().filter(F.col("count") > most).select("_shuffle_key")
+    cold = hashed.join(F.broadcast(hot), "_shuffle_key", "left_anti").withColumn("_shuffle_row", F.lit(0))
+    counted = hashed.join(F.broadcast(hot), "_shuffle_key", "left_semi").groupBy(*named, "_shuffle_key").agg(F.count("*").cast("int").alias("_shuffle_row"))
+    salted = cold.unionByName(counted.withColumn("_shuffle_row", F.explode(F.sequence(F.lit(1), "_shuffle_row"))))
     placed = salted.withColumn("_shuffle_bucket", F.pmod(F.xxhash64(F.lit(seed), "_shuffle_key", "_shuffle_row"), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("_shuffle_bucket").count()
     before = Window.orderBy("_shuffle_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket of many MB
