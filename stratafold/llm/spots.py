@@ -6,7 +6,7 @@ have spots too. A document's fingerprint is the set of its spots' hashes, writte
 own hash; equal texts always have equal fingerprints. Sets are likened by Jaccard; with a least likeness, sets
 are put into classes of length in such a way that alike sets are in the same class or the next one, and all others are pruned.
 
-Nulls: a null text is empty; a null ``doc_id`` comes last. Rows that repeat id and text share one place in the order of documents.
+Nulls: a null text is empty; a null ``doc_id`` comes last, as the smallest long does, which is read as null. Rows that repeat id and text share one place in the order of documents.
 An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -92,7 +92,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
+    none = F.lit(-(1 << 63))
+    # both joins read these very columns, so their one shuffle serves both
+    rows = docs.select(F.coalesce(doc_id, none).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
     keys = rows.groupBy("_id", "_h").agg(F.floor(F.max(F.length("text")) / 3).cast("int").alias("_third"))
     ring = next_in_order(keys).toDF("_to", "_to_h", "_third", "_id", "_h")
     ahead = with_spots(rows.join(ring, ["_id", "_h"]), "text", "_next_spots")
@@ -104,6 +106,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), length - F.floor(length / 3).cast("int")), F.col("_n.head")))
     both = with_spots(with_spots(both, "text", "spots"), "edited", "edited_spots")
     return both.select(
-        "doc_id", length.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.nullif(F.col("_id"), none).alias("doc_id"), length.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("_n.spots")).alias("near_next"))
