@@ -7,9 +7,9 @@ band key are candidates:
 
 1. each class with the smallest class of its bucket (a star, so a bucket of m classes gives m - 1 pairs, not all);
 2. once the links found so far are joined into components, the classes of a bucket that lie in different components, in tiles of
-   bounded size. Pairs inside a component need no look, they cannot change the result.
+   bounded size. Pairs inside a component need no look, they cannot change the result, and the others stay inside their task.
 
-A candidate goes on if its sizes and its sketches allow the similarity, and is then confirmed by intersecting the two sets. A pair
+A candidate goes on if its sizes and its sketches allow the similarity, and is then confirmed by intersecting the two full sets. A pair
 at 0.8 shares no band key with a probability of 3 in a million; a pair at 0.8 is refused by its sketches beyond six standard
 deviations. No bucket, partner or candidate is capped.
 
@@ -139,35 +139,88 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFr
     return rows.join(roots.toDF(column, name), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs ``a, b`` of different components within a bucket, compared in tiles of about ``TILE`` classes."""
+def _different(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a tile pair, of different components, whose sizes and sketches allow the similarity."""
+    rep, root, size, t = (group[c].to_numpy() for c in ("rep", "root", "n_shingles", "t"))
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+    own = group["low"][0].as_py() == group["high"][0].as_py()
+    found = []
+    for at in range(0, len(rep), 256):
+        rows = slice(at, at + 256)
+        z = np.bitwise_count(sketch[rows, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int32)
+        low, high = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
+        right = (z <= most_different(percent)) & (100 * low >= percent * high) & (root[rows, None] != root[None, :]) & (rep[rows, None] < rep[None, :])
+        if not own:
+            right &= t[rows, None] != t[None, :]
+        x, y = np.nonzero(right)
+        found.append(np.stack([at + x, y]))
+    return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _common(member: np.ndarray, shingle: np.ndarray, members: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of rows ``x`` and ``y``, from bitmaps over the shingles that several rows have."""
+    _, number, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    several = count > 1
+    column = (np.cumsum(several) - 1)[number]
+    kept = several[number]
+    member, column = member[kept], column[kept]
+    total = np.zeros(len(x), np.int64)
+    for first in range(0, int(several.sum()), 1 << 16):
+        here = (column >= first) & (column < first + (1 << 16))
+        bit = column[here] - first
+        words = int(bit.max(initial=0)) // 64 + 1
+        bits = np.zeros((members, words), np.uint64)
+        np.bitwise_or.at(bits, (member[here], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        step = max(1, (1 << 20) // words)
+        for at in range(0, len(x), step):
+            total[at:at + step] += np.bitwise_count(bits[x[at:at + step]] & bits[y[at:at + step]]).sum(1, dtype=np.int64)
+    return total
+
+
+def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` between components that meet in a bucket, in tiles of about ``TILE`` classes.
+
+    Pairs stay inside a task. The first pass over sketches gives the classes that have a possible partner in another component; the
+    second has their full sets, and gives as few links between components as join what its confirmed pairs join.
+    """
     placed = _rooted(members, roots, "rep", "root")
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select(
         "key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     rows = placed.join(split, "key").join(classes.select("rep", "n_shingles", "sketch"), "rep")
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     rows = rows.withColumn("t", tile).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("t", "u").alias("low"), F.greatest("t", "u").alias("high"), "t", "rep", "root", "n_shingles", "sketch")
-    most = most_different(percent)
-
-    def compare(group: pa.Table) -> pa.Table:
-        rep, root, size, t = (group[c].to_numpy() for c in ("rep", "root", "n_shingles", "t"))
-        sketch = group["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-        own = group["low"][0].as_py() == group["high"][0].as_py()
-        found = []
-        for at in range(0, len(rep), 256):
-            rows = slice(at, at + 256)
-            z = np.bitwise_count(sketch[rows, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int32)
-            low, high = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
-            right = (z <= most) & (100 * low >= percent * high) & (root[rows, None] != root[None, :]) & (rep[rows, None] < rep[None, :])
-            if not own:
-                right &= t[rows, None] != t[None, :]
-            x, y = np.nonzero(right)
-            found.append(np.stack([rep[at + x], rep[y]]))
-        a, b = np.concatenate(found, 1)
-        return pa.table({"a": a, "b": b})
-
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    columns = ["key", "low", "high", "t", "rep", "root", "n_shingles", "sketch"]
+    rows = rows.select("key", F.least("t", "u").alias("low"), F.greatest("t", "u").alias("high"), *columns[3:])
+
+    def partnered(group: pa.Table) -> pa.Table:
+        x, y = _different(group, percent)
+        return group.select(columns).take(pa.array(np.union1d(x, y)))
+
+    def confirmed(group: pa.Table) -> pa.Table:
+        x, y = _different(group, percent)
+        root, size = group["root"].to_numpy(), group["n_shingles"].to_numpy()
+        lists = group["shingles"].combine_chunks()
+        member = np.repeat(np.arange(group.num_rows), np.diff(lists.offsets.to_numpy()))
+        common = _common(member, lists.flatten().to_numpy(zero_copy_only=False), group.num_rows, x, y)
+        linked = 100 * common >= percent * (size[x] + size[y] - common)
+        pairs = np.unique(np.sort(np.stack([root[x[linked]], root[y[linked]]], 1), axis=1), axis=0)
+        parent: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while (up := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent[up]
+            return i
+
+        out = []
+        for a, b in pairs.tolist():
+            if (p := top(a)) != (q := top(b)):
+                parent[max(p, q)] = min(p, q)
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    kinds = "key long, low int, high int, t int, rep long, root long, n_shingles long, sketch array<long>"
+    some = rows.groupBy("key", "low", "high").applyInArrow(partnered, kinds).join(sets.toDF("rep", "shingles"), "rep")
+    return some.groupBy("key", "low", "high").applyInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -188,8 +241,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rest = _rooted(_rooted(possible, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").join(best, ["a", "b"], "left_anti")
     links = stored(links.unionByName(_confirmed(rest, sets, percent)), "links")
     roots = stored(_roots(links), "roots")
-    across = _across(members, roots, classes, percent).join(possible.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(_confirmed(across, sets, percent), "links")
+    more = stored(_across(members, roots, classes, sets, percent), "links")
     if not more.isEmpty():
         roots = stored(_roots(links.unionByName(more)), "roots")
     rep = classes.select("n_shingles", "d1", "d2", F.col("rep"))
