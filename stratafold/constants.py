@@ -39,18 +39,12 @@ SIDECAR_SUFFIXES = {
 
 MINUTES_EACH = 40
 MATCH_RADIUS = 15
-BOUNDARY_MARGIN = 20
-MIN_DISTANCE = 12
-PATCH_CONTEXT_HALF_WIDTH = 40
 CANVAS = 480
 CANVAS_UM = 8.0
 REFERENCE_PIXEL_SIZE_UM = 0.3088427408547889
 CANDIDATES_PER_MEGAPIXEL = 350
-FLOOR_PERCENTILE = 0.80
-MARGINAL_FRACTION = 0.2
 HAND_PROBABILITY = 1.0
 MAX_WEIGHT_SWING_DEG = 45.0
-BAND_WIDTH_UM = 550.0
 ALONG_BIN_UM = 16.0
 ACROSS_BIN_UM = 8.0
 NEGATIVES_PER_POSITIVE = 20

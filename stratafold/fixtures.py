@@ -240,3 +240,9 @@ def profile(spark, folder):
     missing = (x < F.col("image") % 5) | (x > 62 - F.col("image") % 4) | ((F.col("image") % 2 == 1) & (x == 52))
     mean = pixels(spark, folder).groupBy("image", F.col("x").alias("bin")).agg(F.round(F.avg("green") + F.lit(0.3), 6).alias("mean"))
     return mean.select("image", "bin", ((x - 32) * 16).cast("double").alias("position"), F.when(~missing, F.col("mean")).alias("value"))
+
+
+def cells_on_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells, dealt to as many images as there are: ``k`` modulo their number, which is one row."""
+    images = framed(spark, folder).agg((F.max("image") + 1).alias("_images"))
+    return cells(spark, folder).join(F.broadcast(images)).withColumn("image", F.col("k") % F.col("_images")).drop("_images")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 
 import numpy as np
@@ -39,27 +40,24 @@ def extended(pdf: pd.DataFrame, min_rays: int, order: int) -> pd.DataFrame:
 
 
 def path_through(pdf: pd.DataFrame, slope: int) -> pd.DataFrame:
-    """The highest-scoring path through one section's score grid, moving at most ``slope`` steps per ray."""
-    rays, width = int(pdf["ray"].max()) + 1, int(pdf["step"].max()) + 1
-    grid = np.full((rays, width), -np.inf)
-    use = pdf["usable"].to_numpy(bool)
-    grid[pdf["ray"].to_numpy()[use], pdf["step"].to_numpy()[use]] = pdf["score"].to_numpy()[use]
-    total, came = grid[0].copy(), np.zeros((rays, width), int)
-    columns = np.arange(width)
-    moves = np.arange(-slope, slope + 1)
-    for ray in range(1, rays):
-        source = columns[None, :] - moves[:, None]
-        value = np.where((source >= 0) & (source < width), total[np.clip(source, 0, width - 1)], -np.inf)
-        pick = np.argmax(value, axis=0)
-        best = value[pick, columns]
-        came[ray] = np.clip(columns - moves[pick], 0, width - 1)
-        total = np.where(np.isfinite(best), best, 0.0) + grid[ray]
-    at = int(np.argmax(total))
-    steps = [at]
-    for ray in range(rays - 1, 0, -1):
-        at = int(came[ray, at])
-        steps.append(at)
-    return pd.DataFrame({"image": pdf["image"].iloc[0], "ray": np.arange(rays), "step": steps[::-1], "total": float(total.max())})
+    """The highest-scoring path through one section's score grid, moving at most ``slope`` steps per ray.
+
+    By definition: the best sum that ends in a cell is the cell's own score plus the best sum among the ``2 * slope + 1`` cells
+    around it on the ray before; of equal sums the outermost counts. Unusable cells have no sum. Where no cell around has one,
+    the path begins anew and stays on its step. ``total`` is the largest sum on the last ray.
+    """
+    own = pdf[pdf["usable"].astype(bool)].pivot(index="ray", columns="step", values="score").reindex(
+        index=range(int(pdf["ray"].max()) + 1), columns=range(int(pdf["step"].max()) + 1)).fillna(-np.inf).to_numpy("float64")
+    ends, moves = own[0], []
+    for scores in own[1:]:
+        around = np.lib.stride_tricks.sliding_window_view(np.pad(ends, slope, constant_values=-np.inf), 2 * slope + 1)
+        best = around.max(axis=1)
+        outermost = 2 * slope - np.argmax(around[:, ::-1] == best[:, None], axis=1)
+        anew = np.isneginf(best)
+        moves.append(np.where(anew, 0, outermost - slope))
+        ends = np.where(anew, 0.0, best) + scores
+    walk = itertools.accumulate(reversed(moves), lambda step, move: step + int(move[step]), initial=int(np.argmax(ends)))
+    return pd.DataFrame({"image": pdf["image"].iloc[0], "ray": np.arange(len(own)), "step": list(walk)[::-1], "total": float(ends.max())})
 
 
 def column_distances(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -25,9 +25,14 @@ def along_ray(lo: int | None = None, hi: int | None = None):
     return w if lo is None else w.rowsBetween(lo, hi)
 
 
-def ray_cells(framed: DataFrame, low_um: float, high_um: float) -> DataFrame:
-    """Pixels in front of the line and inside the along window, with their ray and step."""
-    inside = framed.filter((F.col("across") >= 0) & F.col("along").between(low_um, high_um))
+def ray_cells(framed: DataFrame, low_um: float, high_um: float | None) -> DataFrame:
+    """Pixels in front of the line and inside the along window, with their ray and step.
+
+    Without ``high_um`` there is no window: rays are numbered from ``low_um`` both ways.
+    """
+    inside = framed.filter(F.col("across") >= 0)
+    if high_um is not None:
+        inside = inside.filter(F.col("along").between(low_um, high_um))
     return inside.withColumn("ray", F.rint((F.col("along") - low_um) / ALONG_BIN_UM).cast("long")).withColumn(
         "step", F.rint(F.col("across") / ACROSS_BIN_UM).cast("long"))
 

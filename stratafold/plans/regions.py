@@ -174,7 +174,7 @@ def stopped_at_first_gap(framed: DataFrame, window: Column, gap: Column, share:
     """Window pixels with no gap pixel nearer to the line on the same ray; largest piece, small holes filled."""
     from stratafold.operators.rays import before_barrier, ray_cells
 
-    cells = ray_cells(framed.filter(window), -3000.0, 3000.0)
+    cells = ray_cells(framed.filter(window), -3000.0, None)
     blocked = before_barrier(cells.groupBy("image", "ray", "step").agg(F.bool_or(gap).alias("_gap")), F.col("_gap")).filter("kept")
     kept = cells.join(blocked.select("image", "ray", "step"), ["image", "ray", "step"], "left_semi")
     return cc.fill_holes(cc.largest_piece(kept), framed, height, width, share)

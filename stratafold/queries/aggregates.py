@@ -159,13 +159,13 @@ def mask_overlap(spark, folder):
 
 
 CELLS_ON_CANVAS = """
-WITH c AS (SELECT k % 10 AS image, y * 50 // 480 AS y, x * 64 // 480 AS x FROM cells), j AS (SELECT f.* FROM c JOIN framed f ON f.image = c.image AND f.y = c.y AND f.x = c.x)
+WITH c AS (SELECT k % (SELECT max(image) + 1 FROM framed) AS image, y * 50 // 480 AS y, x * 64 // 480 AS x FROM cells), j AS (SELECT f.* FROM c JOIN framed f ON f.image = c.image AND f.y = c.y AND f.x = c.x)
 """
 
 
 def _cells_on_canvas(spark, folder):
     """Cells with the pixel they fall on; cells are counted per pixel before the join, so the pixel table meets distinct pixels."""
-    c = fx.cells(spark, folder).select((C("k") % 10).alias("image"), F.floor(C("y") * 50 / 480).alias("y"), F.floor(C("x") * 64 / 480).alias("x"))
+    c = fx.cells_on_images(spark, folder).select("image", F.floor(C("y") * 50 / 480).alias("y"), F.floor(C("x") * 64 / 480).alias("x"))
     return c.groupBy("image", "y", "x").agg(F.count("*").alias("n")).join(fx.framed(spark, folder), ["image", "y", "x"])
 
 

@@ -223,7 +223,7 @@ def shifted_trapezoid(spark, folder):
     return rg.trapezoid(f, rg.shifted_to(f, k, 1, target), 1).select("image", "y", "x")
 
 
-@query("solid_offsets_g13", "framed", DIRECTIONS + """, folds AS (SELECT DISTINCT bird FROM e), s AS (SELECT folds.bird, k, CASE WHEN var_pop(reach) > 1e-9 THEN least(greatest(regr_slope(o, reach), 0), 1.5::DOUBLE) ELSE 0 END AS slope, avg(o) AS my, avg(reach) AS mx FROM folds JOIN e ON e.bird <> folds.bird GROUP BY 1, 2),
+@query("solid_offsets_g13", "framed", DIRECTIONS + """, folds AS (SELECT DISTINCT bird FROM e), s AS (SELECT folds.bird, k, CASE WHEN var_pop(reach - centre) > 1e-9 THEN least(greatest(regr_slope(o - centre, reach - centre), 0), 1.5::DOUBLE) ELSE 0 END AS slope, avg(o - centre) AS my, avg(reach - centre) AS mx FROM folds JOIN e ON e.bird <> folds.bird GROUP BY 1, 2),
 q AS (SELECT e.image, e.k, e.centre, slope * (reach - centre) + my - slope * mx AS rad, o - centre AS net FROM e JOIN s ON s.bird = e.bird AND s.k = e.k)
 SELECT image, k, round(centre + greatest(rad + least(greatest(net - rad, -50), 50), 60), 3) AS offset_um FROM q""")
 def solid_offsets(spark, folder):
@@ -231,17 +231,19 @@ def solid_offsets(spark, folder):
     mine = fits.direction_extents(f, C("lab") == 1).select("image", "bird", F.posexplode(F.arrays_zip("offsets", "centre")).alias("k", "z")).select(
         "image", "bird", "k", C("z.offsets").alias("offset"), C("z.centre").alias("centre"))
     reach = fits.direction_extents(f, C("tissue")).select("image", "bird", F.posexplode("offsets").alias("k", "reach"))
-    prior = fits.reach_prior(mine.join(reach.select("image", "k", "reach"), ["image", "k"]), "bird")
+    about = mine.join(reach.select("image", "k", "reach"), ["image", "k"]).select(
+        "bird", "k", (C("reach") - C("centre")).alias("reach"), (C("offset") - C("centre")).alias("offset"))
+    prior = fits.reach_prior(about, "bird")
     net = mine.select("image", "k", (C("offset") - C("centre")).alias("radius"))
     made = rg.solid_offsets(mine.select("image", "k", "centre"), reach, prior, net, 50.0, 60.0)
     return made.select("image", C("k").cast("long").alias("k"), r("offset", "offset_um", 3))
 
 
 @query("work_set_g14", "framed cells", """
-WITH f AS (SELECT image, count(*) AS pixels, count(*) FILTER (tissue) AS tissue_px, count(*) FILTER (lab > 0) AS labelled FROM framed GROUP BY image), c AS (SELECT k % 10 AS image, count(*) AS cells FROM cells GROUP BY 1)
+WITH f AS (SELECT image, count(*) AS pixels, count(*) FILTER (tissue) AS tissue_px, count(*) FILTER (lab > 0) AS labelled FROM framed GROUP BY image), c AS (SELECT k % (SELECT max(image) + 1 FROM framed) AS image, count(*) AS cells FROM cells GROUP BY 1)
 SELECT f.image, pixels, tissue_px, labelled, coalesce(cells, 0) AS cells, CASE WHEN f.image % 3 = 2 THEN 'the band could not be placed' END AS reason FROM f LEFT JOIN c ON c.image = f.image""")
 def work_set(spark, folder):
-    cells = fx.cells(spark, folder).select((C("k") % 10).alias("image"))
+    cells = fx.cells_on_images(spark, folder).select("image")
     return rg.work_set(ft(spark, folder), bands(spark, folder).filter("image % 3 <> 2"), cells)
 
 

@@ -66,6 +66,46 @@ def polygon_reader(spark, folder):
         "region", "vertex", F.col("y1").alias("y"), F.col("x1").alias("x"), F.col("y2").alias("next_y"), F.col("x2").alias("next_x"))
 
 
+def _written(frames, path):
+    """Sidecar files, one per stem, each frame with a header of its own; read from all of them."""
+    for i, frame in enumerate(frames):
+        order = [c for c in frame.columns if c.startswith("_")]
+        rows = frame.repartition("stem").sortWithinPartitions("stem", *order).drop(*order)
+        rows.write.partitionBy("stem").option("header", True).csv(f"{path}/{i}")
+    return f"{path}/*/stem=*", F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "/stem=([^/]*)/", 1)
+
+
+@query("polygon_files_s5", "verts", """
+SELECT 'B' || CAST(region // 10 AS VARCHAR) AS stem, CAST(region AS VARCHAR) AS region,
+       row_number() OVER (PARTITION BY region // 10 ORDER BY region, vertex) - 1 AS vertex, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x,
+       CASE WHEN region // 10 % 2 = 0 AND vertex % 3 <> 0 THEN 'hand' ELSE 'model' END AS source FROM verts""")
+def polygon_files(spark, folder):
+    """Region files with and without a source, under two names for the coordinates; the file's order is the vertex order."""
+    v = fx.verts(spark, folder).select(
+        F.concat(F.lit("B"), F.floor(F.col("region") / 10).cast("string")).alias("stem"), F.floor(F.col("region") / 10) % 2 == 0, "region", "vertex", "y", "x").toDF(
+        "stem", "even", "region", "vertex", "y", "x")
+    named = v.select("stem", "even", F.col("region").alias("_region"), F.col("vertex").alias("_vertex"), "region", F.col("y").alias("axis-0"), F.col("x").alias("axis-1"))
+    with_source = named.filter("even").drop("even").withColumn("source", F.when(F.col("_vertex") % 3 == 0, "model").otherwise("hand"))
+    plain = named.filter("NOT even").select("stem", "_region", "_vertex", F.col("axis-1").alias("x"), F.col("axis-0").alias("y"), "region")
+    path, stem = _written([with_source, plain], shared_path(spark, "polygon-files"))
+    read = readers.good_rows(readers.read_table(spark, "regions", path, stem))
+    return readers.with_source(read).select("stem", "region", "vertex", "y", "x", "source")
+
+
+@query("count_files_s9", "cells", """
+SELECT stem, region, CASE WHEN k % 2 = 0 THEN source ELSE 'model' END AS source, count(*) AS n, CAST(sum(y) AS BIGINT) AS ys, CAST(sum(x) AS BIGINT) AS xs,
+       round(sum(probability), 4) AS p FROM cells GROUP BY 1, 2, 3""")
+def count_files(spark, folder):
+    """Count files of five columns, and older ones of four whose coordinates are written as 5.0; a missing source means the model."""
+    c = fx.cells(spark, folder)
+    new = c.filter("k % 2 = 0").select("stem", F.col("y").alias("axis-0"), F.col("x").alias("axis-1"), "region", "probability", "source")
+    old = c.filter("k % 2 = 1").select("stem", F.col("y").cast("double").alias("axis-0"), F.col("x").cast("double").alias("axis-1"), "region", "probability")
+    path, stem = _written([new, old], shared_path(spark, "count-files"))
+    read = readers.with_source(readers.good_rows(readers.read_table(spark, "counts", path, stem)))
+    return read.groupBy("stem", "region", "source").agg(
+        F.count("*").alias("n"), F.sum("y").alias("ys"), F.sum("x").alias("xs"), F.round(F.sum("probability"), 4).alias("p"))
+
+
 @query("label_corpus_s6", "edges", """
 WITH a AS (SELECT region // 2 AS section, region % 2 AS part, abs(sum(y1 * x2 - x1 * y2)) / 2.0 AS area FROM edges
            WHERE region % 7 <> 0 GROUP BY region HAVING count(*) >= 3)

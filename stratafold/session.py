@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``; survives the loss of executors.
 
-    Only where neither the setting nor a checkpoint directory is present (tests on one machine) a temporary
-    folder is used.
+    Only where neither the setting nor a checkpoint directory is present, and all runs in one process (tests), a temporary folder is
+    used; a cluster without the setting is refused, since its executors would not share such a folder.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -39,7 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint directory in use, set up from the session's setting when there is none yet."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 

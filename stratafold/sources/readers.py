@@ -17,17 +17,62 @@ SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """A sidecar table with the stem taken from its name; rows that cannot be parsed are dropped, no file means no rows."""
+#: Names under which a column is found in a file's header, best first.
+ALIASES = {"y": ("image-axis-0", "axis-0", "y"), "x": ("image-axis-1", "axis-1", "x")}
+#: Columns that a file may leave out; the row's place in its file stands for the vertex number.
+OPTIONAL = {"source", "vertex", "seq", "tissue_px", "label"}
+_FIELD = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _fields(line: Column) -> Column:
+    return F.transform(F.split(line, _FIELD, -1), lambda f: F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"')))
+
+
+def read_table(spark: SparkSession, kind: str, path: str, stem: Column | None = None) -> DataFrame:
+    """A sidecar table with the stem of its file's name, the row's place ``row`` in the file, and what is wrong with it in ``problem``.
+
+    Every file is read by its own header: columns in any order, with their other names, and without those that are optional. A
+    file is the table beside one image, so it is one row until it is split. No row is dropped: a field that cannot be read is null
+    and named in ``problem``, which is null for a good row; ``good_rows`` refuses the others. No file, or an empty one, means no rows.
+    """
     schema = T.StructType.fromDDL(SCHEMAS[kind])
+    made = T.StructType([T.StructField("stem", T.StringType()), T.StructField("row", T.LongType()), *schema.fields, T.StructField("problem", T.StringType())])
     try:
-        raw = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+        files = spark.read.option("wholetext", True).text(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], T.StructType([T.StructField("stem", T.StringType()), *schema.fields]))
-    name = F.regexp_extract(F.url_decode(F.input_file_name()), "([^/]+)$", 1)
-    return raw.select(F.regexp_extract(name, r"^(.*?) [^/]*\.csv$", 1).alias("stem"), *schema.fieldNames())
+        return spark.createDataFrame([], made)
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "([^/]+)$", 1)
+    own = F.regexp_extract(name, r"^(.*?) [^/]*\.csv$", 1) if stem is None else stem
+    files = files.select(own.alias("stem"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r|\n").alias("lines"))
+    files = files.withColumn("header", F.transform(_fields(F.get("lines", F.lit(0))), lambda c: F.trim(c)))
+    rows = files.select("stem", "header", F.posexplode(F.slice("lines", 2, 1 << 30)).alias("_place", "line")).filter(F.trim("line") != "")
+    rows = rows.withColumn("fields", _fields(F.col("line"))).withColumn("row", F.col("_place").cast("long"))
+    columns, problems = [], [F.when(F.size("fields") != F.size("header"), F.concat(F.size("fields").cast("string"), F.lit(" fields under "), F.size("header").cast("string"), F.lit(" names")))]
+    for field in schema.fields:
+        names = ALIASES.get(field.name, (field.name,))
+        at = F.coalesce(*[F.nullif(F.array_position("header", n), F.lit(0)) for n in names])
+        raw = F.nullif(F.trim(F.get("fields", (at - 1).cast("int"))), F.lit(""))
+        value = raw.try_cast(field.dataType)
+        if isinstance(field.dataType, (T.LongType, T.IntegerType)):  # 5.0 is a whole number too
+            number = raw.try_cast("double")
+            value = F.coalesce(value, F.when(number == F.rint(number), number.cast(field.dataType)))
+        if field.name in ("vertex", "seq"):
+            value = F.when(at.isNull(), F.col("row")).otherwise(value)
+        columns.append(value.alias(field.name))
+        problems.append(F.when(raw.isNotNull() & value.isNull(), F.lit(f"{field.name} cannot be read")))
+        if field.name not in OPTIONAL:
+            problems.append(F.when(at.isNull(), F.lit(f"no column {field.name}")))
+    problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
+    return rows.select("stem", "row", *columns, problem.alias("problem"))
+
+
+def good_rows(read: DataFrame) -> DataFrame:
+    """The rows of a table that was read, failing on the first that has a problem."""
+    text = F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(" beside "), F.col("stem"), F.lit(": "), F.col("problem"))
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(text).cast("string")).otherwise(F.col("stem"))
+    return read.withColumn("stem", checked).drop("problem")
 
 
 def with_source(cells: DataFrame) -> DataFrame:
@@ -45,19 +90,13 @@ def coordinates(table: DataFrame) -> DataFrame:
     raise ValueError(f"no coordinates among {table.columns}")
 
 
-def nested_polygons(vertices: DataFrame, *keys: str) -> DataFrame:
-    """One row per polygon; vertex order is the explicit ``vertex`` column. Only for polygons that fit in a row."""
-    return vertices.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("vertex", "y", "x"))), lambda v: F.struct(v.y.alias("y"), v.x.alias("x"))).alias("ring"))
-
-
 def first_point(points: DataFrame, *keys: str) -> DataFrame:
     """The first click of each group."""
     return points.groupBy(*keys).agg(F.min_by(F.struct("y", "x"), "seq").alias("p")).select(*keys, "p.y", "p.x")
 
 
 def first_two_points(points: DataFrame, *keys: str) -> DataFrame:
-    """The first two clicks as one row; groups with fewer are absent. ``min(.., k)`` keeps two values per group, not the group."""
+    """The first two clicks as one row; groups with fewer are absent. Two mergeable aggregates, so no group is gathered."""
     first = points.groupBy(*keys).agg(F.min_by(F.struct("seq", "y", "x"), "seq").alias("a"))
     rest = points.join(first, list(keys)).filter(F.col("seq") > F.col("a.seq"))
     return rest.groupBy(*keys).agg(F.first("a").alias("a"), F.min_by(F.struct("y", "x"), "seq").alias("b")).select(
@@ -75,14 +114,15 @@ def prefer(primary: DataFrame, secondary: DataFrame, key: str, labels: tuple[str
 
 
 def raster_green(raw: DataFrame, limit: float | Column = 255.0) -> DataFrame:
-    """Channel 1 of a pixel table ``(.., c, v)`` scaled to 0-1; one-channel images keep channel 0.
+    """Channel 1 of a pixel table ``(.., c, v)`` scaled to 0-1; one-channel images keep channel 0, two channels are an error.
 
     The number of channels is a property of the image, so it is an aggregate joined back on the image key.
     """
     top = raw.groupBy("image").agg(F.max("c").alias("top"))
     scale = limit if isinstance(limit, Column) else F.lit(float(limit))
-    return raw.join(top, "image").filter((F.col("top") >= 2) & (F.col("c") == 1) | (F.col("top") == 0) & (F.col("c") == 0)).select(
-        "image", "y", "x", (F.col("v") / scale).alias("green"))
+    refused = F.raise_error(F.concat(F.lit("image "), F.col("image").cast("string"), F.lit(" has two channels; one or at least three are needed")))
+    return raw.join(top, "image").filter(F.col("c") == F.least("top", F.lit(1))).select(
+        "image", "y", "x", F.when(F.col("top") == 1, refused.cast("double")).otherwise(F.col("v") / scale).alias("green"))
 
 
 def label_outlines(vertices: DataFrame) -> DataFrame:

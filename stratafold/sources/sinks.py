@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions.scalars import density, region_rank
@@ -22,13 +22,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_whole(df: DataFrame, path: str, keep_previous: bool = False, partition_by: tuple[str, ...] = ()) -> None:
-    """Write beside the target, then rename: a reader sees the old table or the new one, never half of one.
+    """Write beside the target, then rename: no reader sees half a table; between the two renames there is none for a moment.
 
-    With ``keep_previous`` the table about to be replaced stays as ``<path>.previous``, one generation deep.
+    With ``keep_previous`` the table about to be replaced stays as ``<path>.previous``, one generation deep. A plain write leaves
+    the generation that an earlier write kept as it is.
     """
     spark = df.sparkSession
     fs, path_of = _fs(spark, path)
-    staging, previous = f"{path}.partial", f"{path}.previous"
+    staging, previous = f"{path}.partial", f"{path}.previous" if keep_previous else f"{path}.replaced"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging)
     if fs.exists(path_of(path)):
@@ -178,9 +179,3 @@ def remember(spark: SparkSession, path: str, folder: str, stems: DataFrame) -> N
     if exists(spark, path):
         fresh = spark.read.parquet(path).filter(F.col("folder") != folder).unionByName(fresh)
     write_whole(fresh, path)
-
-
-def latest_by(table: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row per key; keys are small groups (one image and region)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return table.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

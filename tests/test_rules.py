@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
@@ -212,3 +213,71 @@ def test_edit_diff_keeps_both_rows_of_a_shared_pixel(spark):
     regions = spark.createDataFrame([("s", 9, 9, "vNCM")], "stem string, y long, x long, region string")
     got = sorted((r.y, r.change) for r in matching.edit_diff(original, layer, regions).collect())
     assert got == [(1, "kept"), (1, "kept"), (5, "removed"), (9, "added"), (20, "outside")]
+
+
+def test_tables_are_read_by_their_own_headers(spark, tmp_path):
+    from stratafold.sources import readers
+
+    (tmp_path / "B1_LH_2 counted cells.csv").write_text("axis-0,axis-1,region,probability\n5.0,7,CMM,0.5\n6,8,\"a, b\",\n")
+    (tmp_path / "B2 counted cells.csv").write_text("source,region,x,y,probability\r\nhand,dNCM,1,2,0.25\r\n,vNCM,3,oops,1\r\nhand,vNCM\r\n")
+    (tmp_path / "B3 counted cells.csv").write_text("")
+    got = {(r.stem, r.row): r for r in readers.read_table(spark, "counts", str(tmp_path)).collect()}
+    assert len(got) == 5
+    first = got["B1_LH_2", 0]
+    assert (first.y, first.x, first.region, first.probability, first.source, first.problem) == (5, 7, "CMM", 0.5, None, None)
+    assert (got["B1_LH_2", 1].region, got["B1_LH_2", 1].probability) == ("a, b", None)
+    assert (got["B2", 0].y, got["B2", 0].x, got["B2", 0].source) == (2, 1, "hand")
+    assert got["B2", 1].problem == "y cannot be read" and got["B2", 1].x == 3
+    assert "2 fields under 5 names" in got["B2", 2].problem
+    with pytest.raises(Exception, match="y cannot be read"):
+        readers.good_rows(readers.read_table(spark, "counts", str(tmp_path))).collect()
+    assert readers.read_table(spark, "counts", str(tmp_path / "none")).count() == 0
+
+
+def test_vertices_keep_the_order_of_the_file(spark, tmp_path):
+    from stratafold.sources import readers
+
+    (tmp_path / "B1 regions.csv").write_text("region,axis-0,axis-1\nCMM,3,1\nCMM,1,1\nCMM,2,9\n")
+    got = readers.read_table(spark, "regions", str(tmp_path)).orderBy("vertex").collect()
+    assert [(r.vertex, r.y, r.x, r.problem) for r in got] == [(0, 3.0, 1.0, None), (1, 1.0, 1.0, None), (2, 2.0, 9.0, None)]
+
+
+def test_images_of_two_channels_are_refused(spark):
+    from stratafold.sources import readers
+
+    raw = spark.createDataFrame([(1, 0, 0, c, 10) for c in range(2)] + [(2, 0, 0, c, 51 * c) for c in range(3)] + [(3, 0, 0, 0, 255)], "image long, y long, x long, c int, v long")
+    assert sorted((r.image, r.green) for r in readers.raster_green(raw.filter("image > 1")).collect()) == [(2, 0.2), (3, 1.0)]
+    with pytest.raises(Exception, match="two channels"):
+        readers.raster_green(raw).collect()
+
+
+def test_a_plain_write_leaves_the_kept_generation(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n, keep in ((1, True), (2, True), (3, False)):
+        sinks.write_whole(spark.range(n), path, keep_previous=keep)
+    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(f"{path}.previous").count() == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from stratafold import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+
+
+def test_a_path_begins_anew_behind_rays_without_usable_cells():
+    rows = [(0, r, s, float(s == r), r != 2) for r in range(5) for s in range(5)]
+    got = path_through(pd.DataFrame(rows, columns=["image", "ray", "step", "score", "usable"]), 1)
+    assert got["total"].iloc[0] == 2.0 and got["step"].tolist()[3:] == [3, 4]
+    flat = path_through(pd.DataFrame([(0, r, s, 0.0, True) for r in range(3) for s in range(4)], columns=["image", "ray", "step", "score", "usable"]), 1)
+    assert flat["step"].tolist() == [2, 1, 0]
