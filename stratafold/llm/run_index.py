@@ -18,32 +18,26 @@ class RunIndex:
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) for s in strings], np.int64)
         data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-        ends = np.cumsum(sizes + 1) - 1
-        self.text = data.astype(np.int64) + 1
+        ends = (np.cumsum(sizes + 1) - 1).astype(np.int32)  # fewer than two billion bytes
+        self.text = data.astype(np.int16) + 1
         self.text[ends] = 0  # a separator, smaller than any byte
         n = len(self.text)
-        self.string = np.repeat(np.arange(len(strings)), sizes + 1)
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
         self.end = ends[self.string]
-        place = np.arange(n)
+        place = np.arange(n, dtype=np.int32)
         packed = np.zeros(n, np.uint64)
         for i in range(DEPTHS[0]):
             packed = (packed << np.uint64(9)) | self.text[np.minimum(place + i, self.end)].astype(np.uint64)
         self.ranks = []
-        order = np.argsort(packed, kind="stable")
-        rank = self._ranked(packed, order)
+        rank = self._ranked(packed)
         for depth in DEPTHS:
             self.ranks.append(rank)
-            packed = (rank.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(place + depth, self.end)].astype(np.uint64)
-            order = np.argsort(packed, kind="stable")
-            rank = self._ranked(packed, order)
-        while rank[order[-1]] + 1 < n - len(strings) + 1:  # strings longer than twice the largest depth
+            rank = self._deeper(rank, place, depth)
+        while int(sizes.max(initial=0)) > 2 * depth:
             depth = 2 * depth
-            packed = (rank.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(place + depth, self.end)].astype(np.uint64)
-            order = np.argsort(packed, kind="stable")
-            new = self._ranked(packed, order)
-            if (new == rank).all():
-                break
-            rank = new
+            rank = self._deeper(rank, place, depth)
+        # equal strings to the end stay in the order of the text
+        order = np.argsort((rank.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)).astype(np.int32)
         self.order = order
         before = np.where(order > 0, self.text[order - 1], 0)
         first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
@@ -62,12 +56,17 @@ class RunIndex:
         self.n = n
 
     @staticmethod
-    def _ranked(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    def _ranked(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
         sorted_keys = keys[order]
-        rank = np.empty(len(keys), np.int64)
+        rank = np.empty(len(keys), np.int32)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])])
         return rank
 
+    def _deeper(self, rank: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+        """Ranks by twice the depth."""
+        return self._ranked((rank.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(place + depth, self.end)].astype(np.uint64))
+
     def shared(self, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
         """Bytes that the strings have in common from the text places ``a`` and ``b`` on, up to ``cap``."""
         size = np.zeros(len(a), np.int64)
@@ -85,8 +84,8 @@ class RunIndex:
         """For all patterns in a row: where each begins, and per byte the match's length, at most ``cap``, and its row."""
         sizes = np.array([len(p) for p in patterns], np.int64)
         starts = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
-        lengths, rows = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        data = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int16) + 1
+        lengths, rows = np.zeros(len(data), np.int32), np.zeros(len(data), np.int32)
         row, at, size = (np.zeros(len(patterns), np.int64) for _ in range(3))
         at += self.order[0]
         for step in range(int(sizes.max(initial=0))):

@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur in an earlier document, by run-length indexes of what is repeated.
 
-A string of ``span`` bytes always has the same anchor: of its 16-byte substrings the one with the least hash, the first on ties.
+A string of ``span`` bytes always has the same anchor: of its 20-byte substrings the one with the least hash, the first on ties.
 The strings of a document that share an anchor lie in a row; together they are a piece of the text, and each string belongs to one
 piece only. So two documents share a string only if they share its anchor, and pieces are dealt to buckets by their anchor's hash.
 Documents lie in chunks of bounded size, by their id, in a bucketed table, so that their texts are shuffled once. What goes between
@@ -33,22 +33,32 @@ from stratafold.llm.run_index import RunIndex
 from stratafold.llm.words import slices
 from stratafold.session import shared_path
 
-ANCHOR = 16
+ANCHOR = 20
 CHUNK_BYTES = 8 << 20
+#: Indexes per bucket of anchors, so that an index stays small beside a chunk.
+INDEXES = 4
 _PLACE_BITS = 28
 _LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+#: Text bytes of which pieces are made at once, so that the arrays stay in a processor's cache.
+SLICE = 1 << 16
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
+    if len(_POWERS.get(base, ())) <= n:
+        _POWERS[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * SLICE), base, np.uint64)]), dtype=np.uint64)
+    return _POWERS[base][: n + 1]
 
 
 def _slice_pieces(data: np.ndarray, limits: np.ndarray, span: int):
     n = len(data)
     if n < span:
         return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-    powers, inverse = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+    powers, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
     kmers = mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
     low = np.uint64((1 << _PLACE_BITS) - 1)
@@ -77,7 +87,7 @@ def _slice_pieces(data: np.ndarray, limits: np.ndarray, span: int):
 def pieces(data: np.ndarray, limits: np.ndarray, span: int):
     """Per piece: text number, first and last start of its strings, hash of its anchor, hash of its bytes."""
     found = []
-    for a, b in slices(limits):
+    for a, b in slices(limits, SLICE):
         doc, first, stop, anchor, text = _slice_pieces(data[limits[a]:limits[b]], limits[a:b + 1] - limits[a], span)
         found.append((doc + a, first + limits[a], stop + limits[a], anchor, text))
     if not found:
@@ -247,7 +257,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
         mine = np.flatnonzero(_within(piece, asked))
         names, owner, at = _least(piece[mine], _ids(chunk)[doc[mine]])
         at = mine[at]
-        bucket = _bucket(anchor[at], buckets)
+        bucket = _bucket(anchor[at], INDEXES * buckets)
         order = np.argsort(bucket, kind="stable")
         at, names, owner, bucket = at[order], names[order], owner[order], bucket[order]
         size = (stop[at] + span - first[at]).astype(np.int32)
