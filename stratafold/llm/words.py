@@ -9,7 +9,7 @@ import numpy as np
 from stratafold.llm.common import mixed
 
 #: Bytes handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def slices(limits: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
