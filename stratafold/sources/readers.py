@@ -38,7 +38,7 @@ def read_table(spark: SparkSession, kind: str, path: str, stem: Column | None =
     schema = T.StructType.fromDDL(SCHEMAS[kind])
     made = T.StructType([T.StructField("stem", T.StringType()), T.StructField("row", T.LongType()), *schema.fields, T.StructField("problem", T.StringType())])
     try:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
