@@ -11,7 +11,9 @@ import re
 import numpy as np
 
 #: Pieces that a worker process remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: New pieces that are encoded in one text.
+LINES = 400
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
 _RUN = re.compile(r"\s ")
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -35,29 +37,27 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without line ends that end, and but for one space begin, in no white space, by one call over their lines."""
-        ids = np.array(self.library.encode("\n".join(pieces), add_special_tokens=False).ids, self.kind)
-        ends = np.flatnonzero(ids == self.line_end)
-        data, width = ids.tobytes(), self.kind.itemsize
-        starts = np.concatenate([[0], ends + 1]) * width
-        return [data[a:b] for a, b in zip(starts.tolist(), [*(ends * width).tolist(), len(data)], strict=True)]
+        """Ids of pieces without line ends that end, and but for one space begin, in no white space, a few hundred lines at once."""
+        texts = ["\n".join(pieces[at:at + LINES]) for at in range(0, len(pieces), LINES)]
+        out, width = [], self.kind.itemsize
+        for made in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(made.ids, self.kind)
+            ends = np.flatnonzero(ids == self.line_end)
+            data = ids.tobytes()
+            starts = [0, *((ends + 1) * width).tolist()]
+            out += [data[a:b] for a, b in zip(starts, [*(ends * width).tolist(), len(data)], strict=True)]
+        return out
 
     def _known(self, memory: dict[str, bytes], pieces: set[str], before: str) -> dict[str, bytes]:
-        """``memory``, or a copy for this call with what it has no room for."""
+        """``memory`` with the pieces; once it is full, what this call needs of it and what is new, which is then forgotten."""
         new = list(pieces.difference(memory))
         if not new:
             return memory
-        if len(memory) + len(new) > REMEMBERED:
-            kept = memory.copy() if len(memory) < REMEMBERED // 2 else {p: memory[p] for p in pieces if p in memory}
-            memory.clear()
-            memory.update(kept if len(kept) + len(new) <= REMEMBERED else {})
-            known = {**kept}
-        else:
-            known = memory
+        known = memory if len(memory) + len(new) <= REMEMBERED else {p: memory[p] for p in pieces if p in memory}
         lines, other = [], []
         for p in new:
             (other if not p or "\n" in p or p[0].isspace() or p[-1].isspace() else lines).append(p)
-        for part, encode in [(lines[at:at + 256], self._joined) for at in range(0, len(lines), 256)] + [(other, self._library)]:
+        for part, encode in ((lines, self._joined), (other, self._library)):
             known.update(zip(part, encode([before + p for p in part]), strict=True))
         return known
 
