@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stratafold.llm.tokens import default_vocabulary, encoder
 
 #: Items that compete for places at once; the figures of a block stay in a processor's cache.
-BLOCK_ITEMS = 2048
+BLOCK_ITEMS = 1024
 #: Tokens of a block at most, but for its last example.
 BLOCK_TOKENS = 4 << 20
 
@@ -54,31 +54,36 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[tuple[in
             if left == head:
                 break
     full = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-    left = (tokens - at).astype(np.int64)
-    load = np.stack([left, np.ones_like(left), np.minimum(loss, left)], 1).astype(float)
-    waiting = left > 0
-    while waiting.any():
+    item = np.flatnonzero(at < tokens)  # the examples that wait, with their load in each dimension
+    left = (tokens - at)[item]
+    load = np.stack([left, np.ones_like(left), np.minimum(loss[item], left)]).astype(float)
+    share = load / full[:, None]
+    while len(item):
         room, offset = full.copy(), 0
-        while True:
-            fits = waiting & (load <= room).all(1)
-            if fits.any():
-                i = int(np.argmax(np.where(fits, (load / full) @ (room / full), -1.0)))
-                take = int(left[i])
+        while len(item):
+            fits = (load[0] <= room[0]) & (load[2] <= room[2]) & (room[1] >= 1)
+            worth = np.where(fits, (room / full) @ share, -1.0)
+            j = int(worth.argmax())
+            if worth[j] >= 0:
+                take = int(load[0, j])
             else:
                 gap = int(min(room[0], room[2]))
-                if not (limits.cut_from and gap >= limits.cut_from and room[1] >= 1 and waiting.any()):
+                if not (limits.cut_from and gap >= limits.cut_from and room[1] >= 1):
                     break
-                i = int(np.argmax(np.where(waiting, left, -1)))
-                take = min(gap, int(left[i]))
-            bears = min(take, max(0, int(load[i, 2]) - (int(left[i]) - take)))
+                j = int(load[0].argmax())
+                take = min(gap, int(load[0, j]))
+            i, rest = int(item[j]), int(load[0, j]) - take
             pieces.append((i, int(at[i]), take, sequence, offset))
-            room -= (take, 1, bears)
+            room -= (take, 1, min(take, max(0, int(load[2, j]) - rest)))
             offset += take
             at[i] += take
-            left[i] -= take
-            load[i, 0], load[i, 2] = left[i], min(load[i, 2], left[i])
-            waiting[i] = left[i] > 0
-            if room[0] == 0 or not waiting.any():
+            if rest:
+                load[0, j], load[2, j] = rest, min(load[2, j], rest)
+                share[:, j] = load[:, j] / full
+            else:  # the last one takes its place
+                item[j], load[:, j], share[:, j] = item[-1], load[:, -1], share[:, -1]
+                item, load, share = item[:-1], load[:, :-1], share[:, :-1]
+            if room[0] == 0:
                 break
         sequence += 1
     return pieces

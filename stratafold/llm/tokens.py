@@ -1,6 +1,7 @@
 """Encoding of whole texts with a public tokenizer, one encoding per different word.
 
-The byte-level tokenizer cuts a text before every run of white space, and each cut piece is encoded on its own. So a text's ids
+The byte-level tokenizer cuts a text before every run of white space and around every line end that stands alone, and each cut piece
+is encoded on its own. So a text's ids
 are its pieces' ids in a row, and each worker process needs the library only for pieces that it has not met yet.
 """
 
@@ -15,7 +16,7 @@ REMEMBERED = 400_000
 #: New pieces that are encoded in one text.
 LINES = 400
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
-_RUN = re.compile(r"\s ")
+_RUN = re.compile(r"\s[ \n]")
 _PIECE = re.compile(r"\s*\S+|\s+")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -54,35 +55,34 @@ class Encoder:
         if not new:
             return memory
         known = memory if len(memory) + len(new) <= REMEMBERED else {p: memory[p] for p in pieces if p in memory}
-        lines, other = [], []
-        for p in new:
-            (other if not p or "\n" in p or p[0].isspace() or p[-1].isspace() else lines).append(p)
+        lines = [p for p in new if p and "\n" not in p and p == p.strip()]
+        other = list(set(new).difference(lines)) if len(lines) < len(new) else []
         for part, encode in ((lines, self._joined), (other, self._library)):
             known.update(zip(part, encode([before + p for p in part]), strict=True))
         return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        heads, rests, generic, direct = [], {}, {}, []
+        """Texts whose spaces and line ends stand alone are cut at these; others at every run of white space."""
+        heads, words, simple, generic, direct = {""}, set(), {}, {}, []
         for i, text in enumerate(texts):
             text = text or ""
             if _ODD.search(text):
                 direct.append(i)
-                heads.append("")
             elif _RUN.search(text):
                 generic[i] = _PIECE.findall(text)
-                heads.append("")
+                heads.update(generic[i])
             else:
-                head, *rest = text.split(" ")
-                heads.append(head)
-                rests[i] = rest
-        alone = self._known(self.alone, {"", *heads}.union(*generic.values()), "")
-        spaced = self._known(self.spaced, set().union(*rests.values()), " ")
-        whole = dict(zip(direct, self._library([texts[i] for i in direct]), strict=True)) if direct else {}
-        return [
-            whole[i] if i in whole else b"".join(map(alone.__getitem__, generic[i])) if i in generic
-            else alone[heads[i]] + b"".join(map(spaced.__getitem__, rests[i]))
-            for i in range(len(texts))
-        ]
+                simple[i] = [line.split(" ") for line in text.split("\n")]
+                for line in simple[i]:
+                    heads.add(line[0])
+                    words.update(line[1:])
+        alone, spaced = self._known(self.alone, heads, ""), self._known(self.spaced, words, " ")
+        end = np.array([self.line_end], self.kind).tobytes()
+        out = dict(zip(direct, self._library([texts[i] for i in direct]), strict=True)) if direct else {}
+        out |= {i: b"".join(map(alone.__getitem__, pieces)) for i, pieces in generic.items()}
+        get = spaced.__getitem__
+        out |= {i: end.join([alone[line[0]] + b"".join(map(get, line[1:])) for line in lines]) for i, lines in simple.items()}
+        return [out[i] for i in range(len(texts))]
 
 
 def encoder(path: str) -> Encoder:
