@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from stratafold.operators.frames import ACROSS_HIGH_UM, ACROSS_LOW_UM, ALONG_LIMIT_UM, BIN_UM, bin_index, in_atlas
 
 
-def with_bins(framed: DataFrame, bin_um: float = BIN_UM) -> DataFrame:
-    return framed.withColumn("bin", bin_index(F.col("along"), F.col("across"), bin_um)).filter(in_atlas(F.col("along"), F.col("across")))
+def with_bins(framed: DataFrame, bin_um: float = BIN_UM, keep_outside: bool = False) -> DataFrame:
+    """Pixels with their grid bin. Pixels off the grid cast no vote; with ``keep_outside`` they stay, without a bin."""
+    inside = in_atlas(F.col("along"), F.col("across"))
+    binned = framed.withColumn("bin", F.when(inside, bin_index(F.col("along"), F.col("across"), bin_um)))
+    return binned if keep_outside else binned.filter(inside)
 
 
 def votes(binned: DataFrame, hit: Column) -> DataFrame:

@@ -156,14 +156,14 @@ def resample_lookup(spark, folder):
 
 
 @query("paint_bins_j10", "framed", """
-WITH f AS (SELECT *, least(greatest(CAST(floor((along + 3000) / 100) AS BIGINT), 0), 59) * 70 + least(greatest(CAST(floor((across + 4000) / 100) AS BIGINT), 0), 69) AS bin FROM framed),
-v AS (SELECT bin, avg(CASE WHEN lab = 1 THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS voters FROM f WHERE tissue GROUP BY bin)
+WITH f AS (SELECT *, CASE WHEN abs(along) < 3000 AND abs(across + 500) < 3500 THEN least(greatest(CAST(floor((along + 3000) / 100) AS BIGINT), 0), 59) * 70 + least(greatest(CAST(floor((across + 4000) / 100) AS BIGINT), 0), 69) END AS bin FROM framed),
+v AS (SELECT bin, avg(CASE WHEN lab = 1 THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS voters FROM f WHERE tissue AND bin IS NOT NULL GROUP BY bin)
 SELECT f.image, f.y, f.x, coalesce(v.share >= 0.5::DOUBLE AND v.voters >= 20, false) AS painted FROM f LEFT JOIN v ON v.bin = f.bin""")
 def paint_bins(spark, folder):
     from stratafold.plans.atlas import paint, votes, with_bins
 
-    f = with_bins(fx.framed(spark, folder))
-    return paint(f, votes(f.filter("tissue"), C("lab") == 1), 0.5, 20).select("image", "y", "x", "painted")
+    f = with_bins(fx.framed(spark, folder), keep_outside=True)
+    return paint(f, votes(f.filter("tissue AND bin IS NOT NULL"), C("lab") == 1), 0.5, 20).select("image", "y", "x", "painted")
 
 
 @query("mask_algebra_j12", "framed", """
