@@ -148,3 +148,39 @@ def test_matching_statistics_match_brute_force():
                     m += 1
                 at = index.order[rows_[s + i]]
                 assert lengths[s + i] == m and bytes((index.text[at:at + m] - 1).astype(np.uint8)) == p[i:i + m]
+
+
+def test_links_between_components_are_found_in_tiles(spark, monkeypatch):
+    """The second step alone, from no links at all, in tiles of a few classes: it must join what brute force joins."""
+    monkeypatch.setattr(near, "TILE", 3)
+    texts = dict(enumerate(chains(1) + chains(2) + [chains(1)[3], ""]))
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    signed = near.signatures(docs, 4).filter("n_shingles > 0")
+    classes = signed.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).cache()
+    members = classes.select("rep", F.explode("bands").alias("key"))
+    members = members.join(members.groupBy("key").count().filter("count > 1").select("key"), "key").cache()
+    sets = near._sets(docs, members.select(F.col("rep").alias("id")).distinct(), 4)
+    none = spark.createDataFrame([], "id long, root long")
+    links = [(r["a"], r["b"]) for r in near._across(members, none, classes, sets, 80).collect()]
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {k: r for k, (_, r) in components(texts, 4, 80).items()}
+    reps = {r["rep"] for r in classes.collect()}
+    assert {k: find(k) for k in reps} == {k: want[k] for k in reps}
+    assert len(links) < 200
+
+
+def test_common_counts_of_rows():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, 100)) for _ in range(20)]
+    x, y = np.triu_indices(20, 1)
+    got = near._common(np.repeat(np.arange(20), [len(s) for s in sets]), np.concatenate(sets), 20, x, y)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
