@@ -49,11 +49,11 @@ class RunIndex:
         self.smaller = np.concatenate([[0], np.cumsum(counts)])
         by_byte = np.argsort(self.run_byte, kind="stable")
         summed = np.cumsum(length[by_byte]) - length[by_byte]
-        self.of_byte = [by_byte[self.run_byte[by_byte] == c] for c in range(258)]
+        self.by_byte = by_byte
+        self.byte_and_first = self._at(self.run_byte[by_byte], first[by_byte])  # ascending
         self.rank_before = np.zeros(len(first), np.int64)  # rows with the run's byte in earlier runs
         base = np.concatenate([[0], np.cumsum(np.bincount(self.run_byte, length, 258).astype(np.int64))])
         self.rank_before[by_byte] = summed - base[self.run_byte[by_byte]]
-        self.n = n
 
     @staticmethod
     def _ranked(keys: np.ndarray) -> np.ndarray:
@@ -95,24 +95,30 @@ class RunIndex:
             here = np.searchsorted(self.run_first, row[live], "right") - 1
             stays = self.run_byte[here] == byte
             self._follow(live[stays], here[stays], row, at, size, cap)
-            for c in np.unique(byte[~stays]):
-                own = live[~stays][byte[~stays] == c]
-                runs = self.of_byte[c]
-                if not len(runs):
-                    row[own], at[own], size[own] = 0, self.order[0], 0
-                    continue
-                below = np.searchsorted(self.run_first[runs], row[own])  # the next run of the byte; the one before is above
-                up, down = runs[np.maximum(below - 1, 0)], runs[np.minimum(below, len(runs) - 1)]
-                high = np.where(below > 0, self.shared(at[own], self.at_last[up], cap), -1)
-                low = np.where(below < len(runs), self.shared(at[own], self.at_first[down], cap), -1)
-                take = high >= low
-                size[own] = np.minimum(size[own], np.maximum(high, low))
-                row[own] = np.where(take, self.run_last[up], self.run_first[down])
-                at[own] = np.where(take, self.at_last[up], self.at_first[down])
-                self._follow(own, np.where(take, up, down), row, at, size, cap)
+            if not stays.all():
+                self._jump(live[~stays], byte[~stays], row, at, size, cap)
             lengths[place], rows[place] = size[live], row[live]
         return starts, lengths, rows
 
+    def _at(self, byte: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return byte.astype(np.int64) * (len(self.text) + 1) + row
+
+    def _jump(self, who, byte, row, at, size, cap) -> None:
+        """To the nearest run of the byte, above or below, whose end shares more with the match; then one step from there."""
+        below = np.searchsorted(self.byte_and_first, self._at(byte, row[who]))
+        up, down = self.by_byte[np.maximum(below - 1, 0)], self.by_byte[np.minimum(below, len(self.by_byte) - 1)]
+        has_up, has_down = (below > 0) & (self.run_byte[up] == byte), (below < len(self.by_byte)) & (self.run_byte[down] == byte)
+        high = np.where(has_up, self.shared(at[who], self.at_last[up], cap), -1)
+        low = np.where(has_down, self.shared(at[who], self.at_first[down], cap), -1)
+        some = has_up | has_down
+        lost = who[~some]
+        row[lost], at[lost], size[lost] = 0, self.order[0], 0
+        who, take, up, down = who[some], (high >= low)[some], up[some], down[some]
+        size[who] = np.minimum(size[who], np.maximum(high, low)[some])
+        row[who] = np.where(take, self.run_last[up], self.run_first[down])
+        at[who] = np.where(take, self.at_last[up], self.at_first[down])
+        self._follow(who, np.where(take, up, down), row, at, size, cap)
+
     def _follow(self, who, run, row, at, size, cap) -> None:
         """One step of the transform from rows that lie in the given runs."""
         row[who] = self.smaller[self.run_byte[run]] + self.rank_before[run] + row[who] - self.run_first[run]
