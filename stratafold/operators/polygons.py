@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.functions.ordered import next_in_ring
+from stratafold.functions.ordered import next_in_ring, running_totals
 
 
 def edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,6 +59,33 @@ def points_in(points: DataFrame, spans: DataFrame, scope: list[str]) -> DataFram
     return points.join(spans, [*scope, "y"]).filter((F.col("x") >= F.col("x_from")) & (F.col("x") < F.col("x_to"))).drop("x_from", "x_to")
 
 
+def counts_in(weights: DataFrame, spans: DataFrame, scope: list[str], key: str, weight: str = "n") -> DataFrame:
+    """Summed weight of the whole-pixel points inside each polygon ``key``, without pairing points with polygons.
+
+    A span's weight is the running total of its row at its end less that at its beginning, so points and span ends are put into
+    one order and summed once. ``weights(scope.., y, x, weight)``; the result is ``(key, weight)``, polygons without points left out.
+    """
+    ends = [spans.select(*scope, "y", F.col(c).cast("long").alias("x"), F.col(key).alias("_key"), F.lit(s).alias("_sign")) for c, s in (("x_from", -1), ("x_to", 1))]
+    marks = ends[0].unionByName(ends[1]).withColumn("_n", F.lit(0).cast("long")).withColumn("_point", F.lit(0))
+    points = weights.select(*scope, "y", F.col("x").cast("long").alias("x"), F.col(weight).cast("long").alias("_n")).withColumn("_point", F.lit(1))
+    rows = marks.unionByName(points, allowMissingColumns=True)  # a boundary comes before the points of its column
+    summed = running_totals(rows, [*scope, "y"], [F.col("x"), F.col("_point"), F.col("_key"), F.col("_sign")], {"_total": F.col("_n")})
+    return summed.filter("_point = 0").groupBy(F.col("_key").alias(key)).agg(F.sum(F.col("_sign") * F.col("_total")).alias(weight)).filter(F.col(weight) > 0)
+
+
+def covered(points: DataFrame, spans: DataFrame, scope: list[str], name: str = "covered") -> DataFrame:
+    """Distinct whole-pixel points with whether any span covers them, from changes of the cover along each row.
+
+    Changes are summed per column first, so the window over a row holds at most a row of points and of changes.
+    """
+    changes = [spans.select(*scope, "y", F.col(c).cast("long").alias("x"), F.lit(s).alias("_change")) for c, s in (("x_from", 1), ("x_to", -1))]
+    rows = changes[0].unionByName(changes[1]).unionByName(
+        points.select(*scope, "y", F.col("x").cast("long").alias("x"), F.lit(0).alias("_change"), F.lit(True).alias("_point")), allowMissingColumns=True)
+    summed = rows.groupBy(*scope, "y", "x").agg(F.sum("_change").alias("_change"), F.bool_or("_point").alias("_point"))
+    along = Window.partitionBy(*scope, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return summed.withColumn(name, F.sum("_change").over(along) > 0).filter("_point").select(*scope, "y", "x", name)
+
+
 def covered_pixels(spans: DataFrame) -> DataFrame:
     """Spans as pixels."""
     return spans.withColumn("x", F.explode(F.sequence("x_from", F.col("x_to") - 1))).drop("x_from", "x_to")

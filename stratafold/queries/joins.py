@@ -31,7 +31,7 @@ SELECT i.region, count(*) AS cells FROM inside_pairs i JOIN cells c ON c.k = i.k
 def cells_per_polygon(spark, folder):
     """A cell in two outlines counts in both: cells are tallied per pixel first, then summed over the outlines."""
     weight = fx.cells(spark, folder).groupBy("k", "y", "x").agg(F.count("*").alias("n"))
-    return polygons.points_in(weight, _spans(spark, folder), ["k"]).groupBy("region").agg(F.sum("n").alias("cells"))
+    return polygons.counts_in(weight, _spans(spark, folder), ["k"], "region").withColumnRenamed("n", "cells")
 
 
 @query("first_region_j2", "inside_pairs", "SELECT k, y, x, min(region) AS region, count(*) - 1 AS shared FROM inside_pairs GROUP BY k, y, x")

@@ -199,8 +199,7 @@ SELECT p.k, p.y, p.x, h.k IS NOT NULL AS excluded FROM points p LEFT JOIN hit h
 def exclusion_mask(spark, folder):
     points = fx.cells(spark, folder).select("k", "y", "x").distinct()
     spans = polygons.row_spans(polygons.edges(fx.verts(spark, folder), ["k", "region"]), ["k", "region"], 480, 480)
-    hit = polygons.points_in(points, spans, ["k"]).select("k", "y", "x").distinct().withColumn("_hit", F.lit(True))
-    return points.join(hit, ["k", "y", "x"], "left").select("k", "y", "x", F.coalesce("_hit", F.lit(False)).alias("excluded"))
+    return polygons.covered(points, spans, ["k"], "excluded")
 
 
 @query("reviewed_area_s15", "outlines outline_edges", """
