@@ -98,14 +98,14 @@ def edge_lengths(edge_rows: DataFrame) -> DataFrame:
 def longest_edge(edge_rows: DataFrame, keys: list[str], ratio_required: float = 2.0) -> DataFrame:
     """Direction of the longest edge and how clearly it leads; ``clear`` is false when the runner-up is too long.
 
-    The two longest are found by two mergeable aggregates, so a polygon is never ordered as a whole.
+    The three longest of each polygon are ranked, which Spark cuts to three before the shuffle; the third only says that there are
+    three edges at all. So the edges are made once.
     """
-    sized = edge_lengths(edge_rows)
-    rank = F.struct(F.col("length"), (-F.col("vertex")).alias("first"))
-    best = sized.groupBy(*keys).agg(F.max_by(F.struct("vertex", "length", "y1", "x1", "y2", "x2"), rank).alias("b"), F.count("*").alias("vertices"))
-    second = sized.join(best.select(*keys, F.col("b.vertex").alias("_top")), keys).filter("vertex <> _top").groupBy(*keys).agg(
-        F.max("length").alias("runner_up"))
-    joined = best.join(second, keys).filter("vertices >= 3")
+    ranked = Window.partitionBy(*keys).orderBy(F.col("length").desc(), "vertex")
+    top = edge_lengths(edge_rows).withColumn("_n", F.row_number().over(ranked)).filter("_n <= 3")
+    joined = top.groupBy(*keys).agg(
+        F.max(F.when(F.col("_n") == 1, F.struct("vertex", "length", "y1", "x1", "y2", "x2"))).alias("b"),
+        F.max(F.when(F.col("_n") == 2, F.col("length"))).alias("runner_up"), F.count("*").alias("edges")).filter("edges = 3")
     length = F.col("b.length")
     return joined.select(
         *keys, ((F.col("b.y2") - F.col("b.y1")) / F.nullif(length, F.lit(0.0))).alias("dir_y"),

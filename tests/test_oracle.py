@@ -7,7 +7,6 @@ import __spark_entry__ as entry
 import check
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"first_region_rule_g10", "second_region_rule_g11"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def connection():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries())))
 def test_query_matches_its_sql(spark, connection, name):
     status, rows, _, _, note = check.compare(spark, connection, FOLDER, name)
     assert status in ("ok", "rows"), note
