@@ -61,3 +61,20 @@ def grid(frame: DataFrame, key: str, rows: int, columns: int) -> DataFrame:
     """Every cell of a regular grid per key."""
     return frame.select(key).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn(
         "column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+
+
+def canonical_cell(along: Column, across: Column, high_um: float, half_um: float, cell_um: float) -> tuple[Column, Column]:
+    """Row and column of the canonical frame whose cell holds a pixel; rows run down from the far border."""
+    row = F.rint((F.lit(high_um) - across) / cell_um - 0.5).cast("long")
+    return row, F.rint((along + half_um) / cell_um - 0.5).cast("long")
+
+
+def unwarp(mask: DataFrame, framed: DataFrame, high_um: float, half_um: float, cell_um: float) -> DataFrame:
+    """A mask ``(image, row, column)`` of the canonical frame on the section's pixels, as ``inside``.
+
+    Each pixel asks for its own cell, so a frame coarser than the section leaves no holes; pixels off the frame are outside.
+    """
+    row, column = canonical_cell(F.col("along"), F.col("across"), high_um, half_um, cell_um)
+    cells = mask.select("image", F.col("row").cast("long").alias("_row"), F.col("column").cast("long").alias("_column")).distinct().withColumn("_in", F.lit(True))
+    found = framed.withColumn("_row", row).withColumn("_column", column).join(cells, ["image", "_row", "_column"], "left")
+    return found.withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_row", "_column", "_in")

@@ -155,6 +155,18 @@ def resample_lookup(spark, folder):
     return found.select("image", C("row").cast("long").alias("row"), C("column").cast("long").alias("col"), C("green").alias("value"))
 
 
+@query("unwarp_mask_j9", "framed", """
+WITH m AS (SELECT i.image, r.i AS row, c.i AS col FROM (SELECT DISTINCT image FROM framed) i, range(0, 24) r(i), range(0, 20) c(i) WHERE (r.i * 7 + c.i * 3 + i.image) % 5 < 2)
+SELECT f.image, f.y, f.x, m.image IS NOT NULL AS inside FROM framed f LEFT JOIN m ON m.image = f.image
+  AND m.row = CAST(round_even((240 - f.across) / 20.0::DOUBLE - 0.5::DOUBLE, 0) AS BIGINT) AND m.col = CAST(round_even((f.along + 200) / 20.0::DOUBLE - 0.5::DOUBLE, 0) AS BIGINT)""")
+def unwarp_mask(spark, folder):
+    from stratafold.operators import frames
+
+    f = fx.framed(spark, folder)
+    mask = frames.grid(f, "image", 24, 20).filter((C("row") * 7 + C("column") * 3 + C("image")) % 5 < 2)
+    return frames.unwarp(mask, f, 240.0, 200.0, 20.0).select("image", "y", "x", "inside")
+
+
 @query("paint_bins_j10", "framed", """
 WITH f AS (SELECT *, CASE WHEN abs(along) < 3000 AND abs(across + 500) < 3500 THEN least(greatest(CAST(floor((along + 3000) / 100) AS BIGINT), 0), 59) * 70 + least(greatest(CAST(floor((across + 4000) / 100) AS BIGINT), 0), 69) END AS bin FROM framed),
 v AS (SELECT bin, avg(CASE WHEN lab = 1 THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS voters FROM f WHERE tissue AND bin IS NOT NULL GROUP BY bin)
