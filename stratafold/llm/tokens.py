@@ -15,6 +15,8 @@ import numpy as np
 REMEMBERED = 400_000
 #: New pieces that are encoded in one text.
 LINES = 400
+#: Texts that the library is given at once, and characters whose pieces are held at once.
+TEXTS, CHARACTERS = 16, 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
 _RUN = re.compile(r"\s[ \n]")
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -41,7 +43,7 @@ class Encoder:
         """Ids of pieces without line ends that end, and but for one space begin, in no white space, a few hundred lines at once."""
         texts = ["\n".join(pieces[at:at + LINES]) for at in range(0, len(pieces), LINES)]
         out, width = [], self.kind.itemsize
-        for made in self.library.encode_batch_fast(texts, add_special_tokens=False):
+        for made in (e for at in range(0, len(texts), TEXTS) for e in self.library.encode_batch_fast(texts[at:at + TEXTS], add_special_tokens=False)):
             ids = np.array(made.ids, self.kind)
             ends = np.flatnonzero(ids == self.line_end)
             data = ids.tobytes()
@@ -62,6 +64,16 @@ class Encoder:
         return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        out, part, size = [], [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text or "")
+            if size >= CHARACTERS:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         """Texts whose spaces and line ends stand alone are cut at these; others at every run of white space."""
         heads, words, simple, generic, direct = {""}, set(), {}, {}, []
         for i, text in enumerate(texts):
