@@ -80,6 +80,15 @@ def reach_prior(training: DataFrame, group: str) -> DataFrame:
     return rest.withColumn("slope", slope).select(group, "k", "slope", (F.col("sy") / F.col("n") - F.col("slope") * F.col("sx") / F.col("n")).alias("intercept"))
 
 
+def median_radii(training: DataFrame, group: str) -> DataFrame:
+    """The prior without the tissue's reach: slope 0 and, as intercept, the median radius of the other groups per direction.
+
+    ``training(group, image, k, radius)``, with radii about the centre that they will be added back to.
+    """
+    found = median_without_own(training, ["k"], group, "radius", "image")
+    return found.select(group, "k", F.lit(0.0).alias("slope"), F.col("median").alias("intercept"))
+
+
 def leash(prior: Column, target: Column, um: float) -> Column:
     """The prior, allowed to move at most ``um`` towards a target."""
     return prior + F.least(F.greatest(target - prior, F.lit(-um)), F.lit(um))

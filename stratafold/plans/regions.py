@@ -222,7 +222,7 @@ def solid_offsets(centre: DataFrame, reach: DataFrame, prior: DataFrame, net: Da
 
     rows = centre.join(reach, ["image", "k"]).join(prior, ["bird", "k"]).join(net, ["image", "k"], "left")
     radius = F.col("slope") * (F.col("reach") - F.col("centre")) + F.col("intercept")
-    leashed = F.coalesce(leash(radius, F.col("radius"), leash_um), radius)
+    leashed = F.when(F.col("radius").isNotNull(), leash(radius, F.col("radius"), leash_um)).otherwise(radius)  # least() passes over nulls
     return rows.select("image", "k", (F.col("centre") + F.greatest(leashed, F.lit(floor_um))).alias("offset"))
 
 

@@ -239,6 +239,21 @@ def solid_offsets(spark, folder):
     return made.select("image", C("k").cast("long").alias("k"), r("offset", "offset_um", 3))
 
 
+@query("median_offsets_g13", "framed", DIRECTIONS + """, folds AS (SELECT DISTINCT bird FROM e),
+s AS (SELECT folds.bird, k, quantile_cont(o - centre, 0.5) AS med FROM folds JOIN e ON e.bird <> folds.bird WHERE o IS NOT NULL GROUP BY 1, 2)
+SELECT e.image, e.k, round(centre + greatest(med, 60), 3) AS offset_um FROM e JOIN s ON s.bird = e.bird AND s.k = e.k WHERE e.o IS NOT NULL""")
+def median_offsets(spark, folder):
+    """The collapse-proof polygon from the median radius of the other birds, without a second mask."""
+    f = ft(spark, folder)
+    mine = fits.direction_extents(f, C("lab") == 1).select("image", "bird", F.posexplode(F.arrays_zip("offsets", "centre")).alias("k", "z")).select(
+        "image", "bird", "k", C("z.offsets").alias("offset"), C("z.centre").alias("centre"))
+    prior = fits.median_radii(mine.select("bird", "image", "k", (C("offset") - C("centre")).alias("radius")), "bird")
+    reach = mine.select("image", "k", "bird", C("offset").alias("reach"))  # has no weight at slope 0
+    none = mine.select("image", "k", F.lit(None).cast("double").alias("radius"))
+    made = rg.solid_offsets(mine.select("image", "k", "centre"), reach, prior, none, 50.0, 60.0)
+    return made.select("image", C("k").cast("long").alias("k"), r("offset", "offset_um", 3))
+
+
 @query("work_set_g14", "framed cells", """
 WITH f AS (SELECT image, count(*) AS pixels, count(*) FILTER (tissue) AS tissue_px, count(*) FILTER (lab > 0) AS labelled FROM framed GROUP BY image), c AS (SELECT k % (SELECT max(image) + 1 FROM framed) AS image, count(*) AS cells FROM cells GROUP BY 1)
 SELECT f.image, pixels, tissue_px, labelled, coalesce(cells, 0) AS cells, CASE WHEN f.image % 3 = 2 THEN 'the band could not be placed' END AS reason FROM f LEFT JOIN c ON c.image = f.image""")
