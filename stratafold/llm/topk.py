@@ -97,7 +97,11 @@ def top_k(rows: DataFrame, vec_id: str, vector: Column, is_query: Column, k: int
         "id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, v -> v IS NULL)")
     asked = clean.filter("is_query").select("id", "vector")
     queries = _blocks(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)), "id"), QUERY_BLOCK)
-    pairs = _blocks(clean.select("id", "vector"), BLOCK).join(queries.toDF("qd", "query_ids", "queries"), F.col("d") == F.col("qd"))
+    # every block of vectors is in one lane, every block of queries in all, so pairs are dealt over as many tasks as there are lanes
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = _blocks(clean.select("id", "vector"), BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    asking = queries.toDF("d", "query_ids", "queries").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    pairs = vectors.join(asking, ["d", "lane"])
 
     def search(batches):
         for batch in batches:
