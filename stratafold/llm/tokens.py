@@ -18,7 +18,7 @@ LINES = 400
 #: Texts that the library is given at once, and characters whose pieces are held at once.
 TEXTS, CHARACTERS = 16, 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
-_RUN = re.compile(r"\s[ \n]")
+_RUN = re.compile(r"\s[ \n]|\n\s")  # a line end may be one token with any white space behind it
 _PIECE = re.compile(r"\s*\S+|\s+")
 _ENCODERS: dict[str, Encoder] = {}
 

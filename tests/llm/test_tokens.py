@@ -24,6 +24,12 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(code.encode([text])[0], code.kind).tolist() == ids_of(text, 0).tolist()[:-1]
 
 
+@pytest.mark.parametrize("text", ["a\n\u00a0\u00a0x", "intro\n\u00a0\u00a0- item one\n\u00a0\u00a0- item two", "end\n\u00a0", "a\n\t\tb", "a\n\u3000\n\u2003b", "a \u00a0\u00a0b\nc"])
+def test_line_ends_before_white_space_give_the_ids_of_the_whole_text(text):
+    code = encoder(default_vocabulary())
+    assert np.frombuffer(code.encode([text])[0], code.kind).tolist() == ids_of(text, 0).tolist()[:-1]
+
+
 def test_files_hold_every_text_in_order(spark):
     some = rows()
     files = stored(token_files.write_token_files(frame(spark, some), shared_path(spark, "t"), end_id=2, length=64), "m")
