@@ -67,10 +67,10 @@ def polygon_reader(spark, folder):
 
 
 def _written(frames, path):
-    """Sidecar files, one per stem, each frame with a header of its own; read from all of them."""
+    """Sidecar files, each frame with a header of its own; one per stem where rows have an order, else as the rows lie; read from all."""
     for i, frame in enumerate(frames):
         order = [c for c in frame.columns if c.startswith("_")]
-        rows = frame.repartition("stem").sortWithinPartitions("stem", *order).drop(*order)
+        rows = frame.repartition("stem").sortWithinPartitions("stem", *order).drop(*order) if order else frame
         rows.write.partitionBy("stem").option("header", True).csv(f"{path}/{i}")
     return f"{path}/*/stem=*", F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "/stem=([^/]*)/", 1)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafold.session import cut_lineage
+
 SCHEMAS = {
     "regions": "region STRING, vertex BIGINT, y DOUBLE, x DOUBLE, source STRING",
     "counts": "y BIGINT, x BIGINT, region STRING, probability DOUBLE, source STRING",
@@ -28,27 +30,43 @@ def _fields(line: Column) -> Column:
     return F.transform(F.split(line, _FIELD, -1), lambda f: F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
+def _numbered(files: DataFrame, stem: Column) -> DataFrame:
+    """``stem, line``, the line's place ``_place`` in its file and the file's first line as ``header``.
+
+    A task reads blocks of files and numbers its lines as they come. The split into blocks is checkpointed, so that the blocks'
+    totals, one row each, hold for the lines that they are joined to. No key has more lines than a block.
+    """
+    block = ["stem", "_file", "_block"]
+    lines = cut_lineage(files.select(
+        stem.alias("stem"), F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
+    blocks = lines.groupBy(*block).agg(F.min("_at").alias("_from"), F.count("*").alias("_lines"), F.min_by("line", "_at").alias("_first"))
+    order = Window.partitionBy("stem", "_file").orderBy("_block")
+    before = F.coalesce(F.sum("_lines").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("stem").alias("_stem"), "_file", "_block", (before - F.col("_from")).alias("_shift"), F.first("_first").over(order).alias("_head"))
+    blocks = blocks.withColumn("header", F.transform(_fields(F.regexp_replace("_head", "^\ufeff", "")), lambda c: F.trim(c)))
+    return lines.join(blocks, ["_file", "_block"]).filter(F.col("stem").eqNullSafe(F.col("_stem"))).select("stem", "line", (F.col("_at") + F.col("_shift")).alias("_place"), "header")
+
+
 def read_table(spark: SparkSession, kind: str, path: str, stem: Column | None = None) -> DataFrame:
     """A sidecar table with the stem of its file's name, the row's place ``row`` in the file, and what is wrong with it in ``problem``.
 
-    Every file is read by its own header: columns in any order, with their other names, and without those that are optional. A
-    file is the table beside one image, so it is one row until it is split. No row is dropped: a field that cannot be read is null
-    and named in ``problem``, which is null for a good row; ``good_rows`` refuses the others. No file, or an empty one, means no rows.
+    Every file is read by its own header: columns in any order, with their other names, and without those that are optional. Files are
+    read line by line, a large one by many tasks. No row is dropped: a field that cannot be read is null and named in ``problem``,
+    which is null for a good row; ``good_rows`` refuses the others. No file, or an empty one, means no rows.
     """
     schema = T.StructType.fromDDL(SCHEMAS[kind])
     made = T.StructType([T.StructField("stem", T.StringType()), T.StructField("row", T.LongType()), *schema.fields, T.StructField("problem", T.StringType())])
     try:
-        files = spark.read.text(path, wholetext=True)
+        files = spark.read.text(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], made)
     name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "([^/]+)$", 1)
     own = F.regexp_extract(name, r"^(.*?) [^/]*\.csv$", 1) if stem is None else stem
-    files = files.select(own.alias("stem"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r|\n").alias("lines"))
-    files = files.withColumn("header", F.transform(_fields(F.get("lines", F.lit(0))), lambda c: F.trim(c)))
-    rows = files.select("stem", "header", F.posexplode(F.slice("lines", 2, 1 << 30)).alias("_place", "line")).filter(F.trim("line") != "")
-    rows = rows.withColumn("fields", _fields(F.col("line"))).withColumn("row", F.col("_place").cast("long"))
+    rows = _numbered(files, own).filter((F.col("_place") > 0) & (F.trim("line") != ""))
+    rows = rows.withColumn("fields", _fields(F.col("line"))).withColumn("row", F.col("_place") - 1)
     columns, problems = [], [F.when(F.size("fields") != F.size("header"), F.concat(F.size("fields").cast("string"), F.lit(" fields under "), F.size("header").cast("string"), F.lit(" names")))]
     for field in schema.fields:
         names = ALIASES.get(field.name, (field.name,))

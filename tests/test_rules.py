@@ -234,6 +234,26 @@ def test_tables_are_read_by_their_own_headers(spark, tmp_path):
     assert readers.read_table(spark, "counts", str(tmp_path / "none")).count() == 0
 
 
+def test_a_large_table_is_read_by_many_tasks(spark, tmp_path):
+    from stratafold.sources import readers
+
+    for stem, end, n in (("B1", "\n", 3000), ("B2", "\r\n", 500), ("B3", "\r", 3)):
+        lines = ["\ufeffregion,probability,x,y", *("" if i % 50 == 7 else f"CMM,0.5,{i},{2 * i}" for i in range(n))]
+        (tmp_path / f"{stem} counted cells.csv").write_bytes(end.join(lines).encode())
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = readers.read_table(spark, "counts", str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len({r.task for r in got if r.stem == "B1"}) > 1
+    want = sorted((stem, i, i, 2 * i, None) for stem, n in (("B1", 3000), ("B2", 500), ("B3", 3)) for i in range(n) if i % 50 != 7)
+    assert sorted((r.stem, r.row, r.x, r.y, r.problem) for r in got) == want
+
+
 def test_vertices_keep_the_order_of_the_file(spark, tmp_path):
     from stratafold.sources import readers
 
