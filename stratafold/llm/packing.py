@@ -92,7 +92,7 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[tuple[in
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
 
-def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str | None = None, end_id: int = 0, prompt_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str | None = None, end_id: int = 0, prompt_tokens: str | None = None, plain_specials: bool = False) -> DataFrame:
     """One row per piece: its ids as little-endian unsigned 32-bit numbers and its place.
 
     ``prompt_tokens`` names a column with the number of leading tokens that bear no loss; without it all do.
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str | None = No
     schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (x.split() for x in PIECES.split(", "))])
 
     def task(batches):
-        code, part, made = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        code, part, made = encoder(vocabulary, plain_specials), TaskContext.get().partitionId(), 0
         held: list[tuple[int, np.ndarray, int]] = []
         size = 0
 

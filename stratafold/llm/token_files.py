@@ -89,7 +89,7 @@ class _Writer:
         self.out.close()
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 2, length: int = 2048) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 2, length: int = 2048, plain_specials: bool = False) -> DataFrame:
     """Writes the files when evaluated; one row per file. Store it before use, so that it is evaluated once.
 
     A file appears under its final name only when it is whole; a repeated task writes the same bytes again.
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     def write(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        code = encoder(vocabulary)
+        code = encoder(vocabulary, plain_specials)
         store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         final, made = f"{root}/part-{part:06d}.arrow", f"{root}/.part-{part:06d}-{attempt}"

@@ -20,17 +20,22 @@ TEXTS, CHARACTERS = 16, 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
 _RUN = re.compile(r"\s[ \n]|\n\s")  # a line end may be one token with any white space behind it
 _PIECE = re.compile(r"\s*\S+|\s+")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """``encode`` gives, per text, the ids as bytes of little-endian numbers of type ``kind``."""
+    """``encode`` gives, per text, the ids as bytes of little-endian numbers of type ``kind``.
 
-    def __init__(self, path: str):
+    A special token's name in a text is that token, as the library has it, or with ``plain_specials`` ordinary text.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain_specials
+        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.direct = re.compile("|".join([_ODD.pattern, *names]))
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.alone: dict[str, bytes] = {"": b""}
@@ -74,11 +79,11 @@ class Encoder:
         return out + self._encode(part)
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        """Texts whose spaces and line ends stand alone are cut at these; others at every run of white space."""
+        """Texts whose spaces and line ends stand alone are cut at these; others at every run of white space; added tokens need the whole."""
         heads, words, simple, generic, direct = {""}, set(), {}, {}, []
         for i, text in enumerate(texts):
             text = text or ""
-            if _ODD.search(text):
+            if self.direct.search(text):
                 direct.append(i)
             elif _RUN.search(text):
                 generic[i] = _PIECE.findall(text)
@@ -97,11 +102,12 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """The worker process's encoder for the file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, plain_specials
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, plain_specials)
+    return _ENCODERS[key]
 
 
 def default_vocabulary() -> str:

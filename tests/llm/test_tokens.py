@@ -30,6 +30,16 @@ def test_line_ends_before_white_space_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(code.encode([text])[0], code.kind).tolist() == ids_of(text, 0).tolist()[:-1]
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "a\n <|endoftext|>\n b", "<|endoftext|>", "x  <|endoftext|>  y"])
+def test_ids_are_those_of_the_library_as_it_comes(text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_vocabulary())
+    code, plain = encoder(default_vocabulary()), encoder(default_vocabulary(), plain_specials=True)
+    assert np.frombuffer(code.encode([text])[0], code.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 50256 not in np.frombuffer(plain.encode([text])[0], plain.kind)
+
+
 def test_files_hold_every_text_in_order(spark):
     some = rows()
     files = stored(token_files.write_token_files(frame(spark, some), shared_path(spark, "t"), end_id=2, length=64), "m")
