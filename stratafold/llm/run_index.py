@@ -128,11 +128,13 @@ class RunIndex:
     def intervals(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First rows of the ranges of rows that begin with the same ``size`` bytes, and whether the rows have so many at all.
 
-        Two overlapping comparisons at the largest depth cover up to twice that depth.
+        Comparisons at the largest depth that fits, the last one overlapping, cover any size; below the least depth, bytes do.
         """
         a, b = self.order[1:], self.order[:-1]
-        deep = self.ranks[-1]
-        later = size - DEPTHS[-1]
-        same = (deep[a] == deep[b]) & (deep[np.minimum(a + later, self.end[a])] == deep[np.minimum(b + later, self.end[b])])
+        depth, rank = max([(d, i) for i, d in enumerate(DEPTHS) if d <= size], default=(1, None))
+        keys = self.text if rank is None else self.ranks[rank]
+        same = np.ones(len(a), bool)
+        for later in [*range(0, size - depth, depth), size - depth]:
+            same &= keys[np.minimum(a + later, self.end[a])] == keys[np.minimum(b + later, self.end[b])]
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         return first, (self.end[self.order] - self.order >= size)[first]

@@ -184,3 +184,20 @@ def test_common_counts_of_rows():
     x, y = np.triu_indices(20, 1)
     got = near._common(np.repeat(np.arange(20), [len(s) for s in sets]), np.concatenate(sets), 20, x, y)
     assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 6, 7, 20, 47, 48, 50, 96, 97, 130])
+def test_ranges_of_rows_agree_with_slices_at_any_size(size):
+    random = np.random.default_rng(5)
+    whole = bytes(random.integers(97, 99, 200).astype(np.uint8))
+    varied = [whole[:k] + b"z" + whole[k + 1:] for k in (10, 30, 47, 60, 100, 120, 150)]
+    strings = [whole, whole[40:], *varied]
+    index = RunIndex(strings)
+    first, full = index.intervals(size)
+    joined = b"".join(s + b"\0" for s in strings)
+    heads = [joined[i:min(i + size, index.end[i])] for i in index.order]
+    limits = [*first.tolist(), len(heads)]
+    ranges = [heads[a:b] for a, b in zip(limits, limits[1:])]
+    whole_ranges = [r for r, ok in zip(ranges, full) if ok]
+    assert all(len(set(r)) == 1 and len(r[0]) == size for r in whole_ranges)
+    assert len({r[0] for r in whole_ranges}) == len(whole_ranges) == len({h for h in heads if len(h) == size})
