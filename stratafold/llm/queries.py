@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import chat, mixing, near, packing, quality, sharding, spots, suffix, token_files, topk
+from stratafold.llm import chat, mixing, near, packing, quality, repair, repair_sql, sharding, spots, suffix, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -148,3 +148,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix.without_earlier(docs, span=50)
     return found.select("doc_id", F.col("_dedup_bytes").alias("n_bytes"), F.col("_dedup_removed").alias("n_removed"), F.col("_dedup_spans").alias("n_spans"),
                         F.sha2("_dedup_kept", 256).alias("kept_sha256"))
+
+
+@query("op13_repair", repair_sql.statement())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return repair.repair(rows, repair.damaged(rows))
