@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import chat, mixing, near, packing, quality, repair, repair_sql, sharding, spots, suffix, token_files, topk
+from stratafold.llm import chat, collocations, mixing, near, packing, quality, repair, repair_sql, sharding, spots, suffix, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -150,6 +150,34 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("_dedup_kept", 256).alias("kept_sha256"))
 
 
+@query("op12_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT lang, ws, unnest([1, 2, 3, 4]) AS m FROM w),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(list_slice(ws, i, i + m - 1), ' '))) AS phrase FROM s),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND n >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.m, k.phrase, k.a, k.ws, l.n AS l, r.n AS r, CAST((CAST(2000000 AS HUGEINT) * k.a) // (l.n + r.n) AS BIGINT) AS score, k.k
+  FROM k JOIN f l ON l.lang = k.lang AND l.m = k.k AND l.phrase = array_to_string(k.ws[:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.m = k.m - k.k AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, ws, unnest(range(2, m)) AS size FROM c),
+j AS (SELECT lang, a, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(list_slice(ws, i, i + size - 1), ' '))) AS phrase FROM i),
+h AS (SELECT lang, phrase, max(a) AS around FROM j GROUP BY ALL),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE around IS NULL OR 100 * around < 80 * b.a)
+SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, total.n, o.score FROM o JOIN total ON total.lang = o.lang WHERE o.rank <= 2000
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
 @query("op13_repair", repair_sql.statement())
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations")
