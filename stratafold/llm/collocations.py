@@ -94,18 +94,18 @@ class Units:
     """The frequent units of a level as tasks know them: ranks of the most frequent, a bitmap of the others' keys."""
 
     keys: np.ndarray  # by rank
-    order: np.ndarray  # ranks in order of keys
+    ordered: np.ndarray
+    ranks: np.ndarray  # of the ordered keys
     bitmap: np.ndarray | None
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (ranks, or -1 - key) and which of the keys are units at all."""
         ids, known = -1 - keys, np.zeros(len(keys), bool)
         if len(self.keys) and len(keys):
-            at = np.searchsorted(self.keys[self.order], keys)
+            at = np.searchsorted(self.ordered, keys)
             at[at == len(self.keys)] = 0
-            rank = self.order[at]
-            known = self.keys[rank] == keys
-            ids[known] = rank[known]
+            known = self.ordered[at] == keys
+            ids[known] = self.ranks[at[known]]
         if self.bitmap is not None:
             slot = keys >> (63 - MAP_BITS)
             known |= (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
@@ -125,18 +125,19 @@ def units_of(frequent: DataFrame, heads: int = HEADS) -> Units:
         if total + row["count"] > heads:
             break
         total, least = total + row["count"], row["v"]
-    top = frequent.filter(level >= least).select("key", "n").toPandas() if least is not None else None
+    top = frequent.filter(level >= least).select("key", "n").toArrow().to_pandas() if least is not None else None
     keys = np.zeros(0, np.int64) if top is None else top.sort_values(["n", "key"], ascending=[False, True])["key"].to_numpy(np.int64)
     bitmap = None
     rest = frequent if least is None else frequent.filter(level < least)
     if total < sum(r["count"] for r in rows):
         slot = F.shiftright("key", 63 - MAP_BITS)
         words = rest.select(F.shiftright(slot, 5).alias("w"), F.expr(f"shiftleft(1L, cast(shiftright(key, {63 - MAP_BITS}) & 31 as int))").alias("b"))
-        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2^19 rows at most
+        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()  # 2^19 rows at most
         whole = np.zeros(1 << (MAP_BITS - 5), "<u4")
         whole[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
         bitmap = whole.view(np.uint8)
-    return Units(keys, np.argsort(keys), bitmap)
+    ranks = np.argsort(keys)
+    return Units(keys, keys[ranks], ranks, bitmap)
 
 
 def counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import chat, collocations, mixing, near, packing, quality, repair, repair_sql, sharding, spots, suffix, token_files, topk
+from stratafold.llm import chat, collocations, jaccard_join, mixing, near, packing, quality, repair, repair_sql, sharding, spots, suffix, token_files, topk
 from stratafold.llm.common import stored, table
 from stratafold.session import shared_path
 
@@ -150,6 +150,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("_dedup_kept", 256).alias("kept_sha256"))
 
 
+@query("op11_jaccard_join")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents"), n=3, percent=90)
+
+
 @query("op12_collocations", r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
