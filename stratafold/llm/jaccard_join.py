@@ -9,8 +9,8 @@ the rows and list entries that scanning reads, both summed from all sets of the
 Equal sets are one class from the start. A list with m classes does not give m * m pairs:
 
 1. every class meets the least of its list; pairs whose sizes and parity bitmaps allow it are confirmed on their full sets;
-2. what the links join are components. Lists that still hold several components (one for each run of lists with the same members) are
-   scanned in tiles: classes of different components are compared inside the task, first by bitmap, then on full sets, and a task
+2. what the links join are components. Lists that still hold several components (one of those with the same members) are scanned, long
+   ones in tiles: classes of different components are compared inside the task, first by bitmap, then on full sets, and a task
    tells only links that join components. A component that holds most of a list is dealt apart and not compared with itself.
 
 The order of n-grams comes from a hashed table of their counts over all documents, of a fixed size; any order gives the same result, a
@@ -40,8 +40,8 @@ from stratafold.operators.components import star_roots
 
 #: Sizes up to which enumeration is weighed against scanning.
 SMALL = 64
-#: Words of 64 bits in a parity bitmap, classes of a tile.
-WORDS, TILE = 16, 2048
+#: Words of 64 bits in a parity bitmap, classes of a tile, of a list that is short, and entries of short lists that a task takes at a time.
+WORDS, TILE, SHORT, BIN = 16, 2048, 256, 1 << 15
 
 
 def needed(a, b, percent: int):
@@ -212,29 +212,40 @@ def _roots(links: DataFrame) -> DataFrame:
     return stored(star_roots(links.select(F.lit(0).alias("image"), "a", "b")).select(F.col("a").alias("rep"), F.col("b").alias("root")), "roots")
 
 
-def _apart(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a tile pair whose sizes and bitmaps allow a link, of different components and, of two tiles, one from each."""
-    root, size, side = (group[c].to_numpy() for c in ("root", "size", "side"))
-    bits = group["bitmap"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-    two = group["low"][0].as_py() != group["high"][0].as_py()
-    found = []
-    for at in range(0, len(root), 128):
-        rows = slice(at, at + 128)
-        may = root[rows, None] != root[None, :]
-        may &= (side[rows, None] < side[None, :]) if two else (np.arange(at, at + len(root[rows]))[:, None] < np.arange(len(root))[None, :])
-        x, y = np.nonzero(may)
-        x += at
-        low = np.minimum(size[x], size[y])
-        near = 100 * low >= percent * (size[x] + size[y] - low)
-        x, y = x[near], y[near]
-        apart = np.zeros(len(x), np.int64)
-        for w in range(WORDS):
-            apart += np.bitwise_count(bits[x, w] ^ bits[y, w])
-        right = apart <= _allowed(size[x], size[y], percent)
-        found.append(np.stack([x[right], y[right]]))
+def _apart(own: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one list (``own``) and different components whose sizes and bitmaps allow a link; with ``side``, of different sides
+    where a list has two. Rows in order of size meet only those behind them that are small enough."""
+    order = np.lexsort((size, own))
+    _, number = np.unique(own, return_inverse=True)
+    scale = int(size.max(initial=0)) * 100 // percent + 2
+    place = (number * scale + size)[order]
+    many = np.searchsorted(place, (number * scale + size * 100 // percent)[order], "right") - np.arange(len(order)) - 1
+    two = np.zeros(len(own), bool) if side is None else (np.bincount(number, side != side[order][np.searchsorted(number[order], number)]) > 0)[number]
+    ends, found, begin = np.cumsum(many), [], 0
+    while begin < len(order):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20), "right")))
+        n = many[begin:end]
+        x = np.repeat(np.arange(begin, end), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        x, y, begin = order[x], order[y], end
+        may = root[x] != root[y]
+        if side is not None:
+            may &= ~two[x] | (side[x] != side[y])
+        x, y = x[may], y[may]
+        allowed, apart = _allowed(size[x], size[y], percent), np.zeros(len(x), np.int64)
+        for part in (range(2), range(2, WORDS)):
+            for w in part:
+                apart += np.bitwise_count(bits[x, w] ^ bits[y, w])
+            near = apart <= allowed
+            x, y, allowed, apart = x[near], y[near], allowed[near], apart[near]
+        found.append(np.stack([x, y]))
     return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def _bits(group: pa.Table) -> np.ndarray:
+    return group["bitmap"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+
+
 def _scan(row: np.ndarray, gram: np.ndarray, rows: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Common n-grams of the sets of rows ``x`` and ``y``: each row scans the inverted lists of its n-grams and counts whom it meets."""
     order = np.argsort(gram, kind="stable")
@@ -253,32 +264,52 @@ def _scan(row: np.ndarray, gram: np.ndarray, rows: int, x: np.ndarray, y: np.nda
     return common
 
 
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows of lists of over ``SHORT`` classes in pairs of tiles, ``low`` and ``high``, with their ``side``; a component that holds most of a list
+    has tiles of its own, which are not paired with each other."""
+    most = rows.groupBy("gram", "root", "m").agg(F.count("*").alias("k")).filter(F.col("k") * 2 > F.col("m")).select("gram", F.col("root").alias("giant"), "k")
+    dealt = rows.join(most, "gram", "left").withColumn("own", F.coalesce(F.col("root") == F.col("giant"), F.lit(False)))
+    rest = F.greatest(F.ceil((F.col("m") - F.coalesce("k", F.lit(0))) / TILE).cast("int"), F.lit(1))
+    giants = F.ceil(F.col("k") / TILE).cast("int")
+    tile = F.when(F.col("own"), -1 - F.pmod(F.xxhash64("rep"), giants)).otherwise(F.pmod(F.xxhash64("rep"), rest)).cast("int")
+    behind = F.when(F.col("k").isNull() | F.col("own"), F.expr("cast(array() as array<int>)")).otherwise(F.sequence(-giants, F.lit(-1)))
+    paired = dealt.withColumn("side", tile).withColumn("other", F.explode(F.concat(F.sequence(F.lit(0), rest - 1), behind)))
+    return paired.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+
+
 def _across(entries: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Confirmed links between components that meet in a list, as few as join them."""
+    """Confirmed links between components that meet in a list, as few as join them.
+
+    Short lists with the same least class, which near copies have in common, are scanned together. What has a partner by its bitmap is
+    compared on full sets once per such bundle; a bundle with many of them goes list by list.
+    """
     placed = entries.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    lists = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    several = lists.filter("lo <> hi").groupBy("m", "who").agg(F.min("gram").alias("gram")).select("gram", "m")  # one of the lists with the same members
-    rows = stored(placed.join(several, "gram"), "lists")
-    most = rows.filter(F.col("m") > TILE).groupBy("gram", "root", "m").agg(F.count("*").alias("k")).filter(F.col("k") * 2 > F.col("m")).select(
-        "gram", F.col("root").alias("giant"), "k")
-    dealt = rows.join(most, "gram", "left").withColumn("own", F.coalesce(F.col("root") == F.col("giant"), F.lit(False)))
-    rest = F.ceil((F.col("m") - F.coalesce("k", F.lit(0))) / TILE).cast("int")
-    tile = F.when(F.col("own"), -1 - F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / TILE))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest(rest, F.lit(1)))).cast("int")
-    others = F.sequence(F.lit(0), F.greatest(rest, F.lit(1)) - 1)
-    giants = F.when(F.col("k").isNull() | F.col("own"), F.expr("array()").cast("array<int>")).otherwise(
-        F.sequence(-F.ceil(F.col("k") / TILE).cast("int"), F.lit(-1)))
-    pairs = dealt.withColumn("side", tile).withColumn("other", F.explode(F.concat(others.cast("array<int>"), giants)))
-    facts = classes.select("rep", "size", "bitmap")
-    rows = pairs.select("gram", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "root").join(facts, "rep")
-    columns = ["gram", "low", "high", "side", "rep", "root", "size", "bitmap"]
+    lists = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.min("rep").alias("pivot"),
+                                       F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    several = lists.filter("lo <> hi").groupBy("m", "who", "pivot").agg(F.min("gram").alias("gram")).select("gram", "m", "pivot")  # one of the lists with the same members
+    rows = stored(placed.join(several, "gram").select("gram", "m", "pivot", "rep", "root"), "lists")
+    short, none = rows.filter(F.col("m") <= SHORT), F.lit(0)
+    bins = max(1, short.count() // BIN)
+    together = short.select(F.pmod(F.xxhash64("pivot"), F.lit(bins)).alias("bin"), "pivot", F.col("gram").alias("own"), none.alias("side"), "rep", "root")
+    tiles = _tiles(rows.filter(F.col("m") > SHORT)).withColumn("own", F.xxhash64("gram", "low", "high"))
+    dealt = together.unionByName(tiles.select(F.col("own").alias("bin"), F.col("own").alias("pivot"), "own", "side", "rep", "root"))
+    dealt = dealt.join(classes.select("rep", "size", "bitmap"), "rep")
 
     def partnered(group: pa.Table) -> pa.Table:
-        x, y = _apart(group, percent)
-        return group.select(columns).take(pa.array(np.union1d(x, y)))
+        pivot, own, side, root, size = (group[c].to_numpy() for c in ("pivot", "own", "side", "root", "size"))
+        at = np.union1d(*_apart(own, size, root, _bits(group), percent, side))
+        rep = group["rep"].to_numpy()[at]
+        at, rep = at[np.argsort(rep, kind="stable")], np.sort(rep)
+        pairs = np.unique(np.stack([pivot[at], rep]), axis=1)
+        bundle, many = np.unique(pairs[0], return_counts=True)
+        large = np.isin(pivot[at], bundle[many > 2 * TILE])
+        unit = np.where(large, own[at], pivot[at])
+        _, once = np.unique(np.stack([unit, rep]), axis=1, return_index=True)
+        return group.select(["rep", "root", "size", "bitmap"]).take(pa.array(at[once])).add_column(0, "unit", pa.array(unit[once]))
 
     def linked(group: pa.Table) -> pa.Table:
-        x, y = _apart(group, percent)
         root, size = group["root"].to_numpy(), group["size"].to_numpy()
+        x, y = _apart(np.zeros(len(root), np.int64), size, root, _bits(group), percent)
         lists = group["grams"].combine_chunks()
         row = np.repeat(np.arange(group.num_rows), np.diff(lists.offsets.to_numpy()))
         common = _scan(row, lists.flatten().to_numpy(zero_copy_only=False), group.num_rows, x, y)
@@ -296,10 +327,9 @@ def _across(entries: DataFrame, roots: DataFrame, classes: DataFrame, docs: Data
                 out.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    kinds = "gram long, low int, high int, side int, rep long, root long, size long, bitmap array<long>"
-    some = stored(rows.groupBy("gram", "low", "high").applyInArrow(partnered, kinds), "partnered")
+    some = stored(dealt.groupBy("bin").applyInArrow(partnered, "unit long, rep long, root long, size long, bitmap array<long>"), "partnered")
     sets = full_sets(docs, some.select("rep").distinct(), classes, n)
-    return some.join(sets, "rep").groupBy("gram", "low", "high").applyInArrow(linked, "a long, b long").distinct()
+    return some.join(sets, "rep").groupBy("unit").applyInArrow(linked, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, limit: int | None = None) -> DataFrame:
