@@ -147,12 +147,7 @@ def mixed(docs: DataFrame, members: Column, size: Column, weights: list[float],
 
 
 def repeated(mix: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as documents: one row per whole pass, and the first words of the last pass as a row of its own."""
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    rest = F.col("taken") - whole * F.col("size")
-    # up to the end of the word number `rest`
-    pattern = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), rest.cast("string"), F.lit("}+"))
-    copies = F.when(whole > 0, F.array_repeat(F.col("text"), whole)).otherwise(F.array().cast("array<string>"))
-    cut = F.when(rest > 0, F.array(F.regexp_substr("text", pattern))).otherwise(F.array().cast("array<string>"))
-    made = mix.withColumn("_copy", F.explode(F.concat(copies, cut)))
-    return made.select(*[(F.col("_copy") if c == "text" else F.length("_copy").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in columns])
+    """The mix as whole documents, a row per pass; the one that a source's quota cuts goes in where half of it or more is taken."""
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    return mix.withColumn("_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in columns])

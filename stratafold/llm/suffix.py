@@ -298,14 +298,26 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
             at = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             np.add.at(mark, first[mine] + windows[at, 0], 1)
             np.add.at(mark, first[mine] + windows[at, 1] + span, -1)
-        gone = np.cumsum(mark[:-1]) > 0
-        if whole_characters and len(data):
-            lead = np.flatnonzero(((data & 0xC0) != 0x80) | np.isin(np.arange(len(data)), limits[:-1]))
-            gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
+        gone = np.cumsum(mark[:-1], dtype=np.int32, out=mark[:-1]) > 0
+        if whole_characters and len(data):  # a byte that stays keeps its character: of four bytes at most, so three steps either way
+            inner = (data[1:] & 0xC0) == 0x80
+            stays = ~gone
+            for _ in range(3):
+                stays[1:] |= stays[:-1] & inner
+            for _ in range(3):
+                stays[:-1] |= stays[1:] & inner
+            gone = ~stays
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[limits[:-1][limits[:-1] < len(data)]] = gone[limits[:-1][limits[:-1] < len(data)]]
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[limits])
+        filled = np.flatnonzero(limits[1:] > limits[:-1])
+
+        def total(x):
+            out = np.zeros(len(limits) - 1, np.int64)
+            if len(filled):
+                out[filled] = np.add.reduceat(x, limits[filled], dtype=np.int64)
+            return out
+
         taken = total(gone)
         kept_limits = np.concatenate([[0], np.cumsum(np.diff(limits) - taken)])
         kept = pa.Array.from_buffers(pa.large_binary(), len(limits) - 1, [None, pa.py_buffer(kept_limits.astype(np.int64).tobytes()), pa.py_buffer(data[~gone].tobytes())])

@@ -11,13 +11,15 @@ import re
 
 import numpy as np
 
-#: Pieces that a worker process remembers.
+#: Pieces after which a worker process begins a new memory; it keeps the one before, and takes from that what comes again.
 REMEMBERED = 400_000
 #: New pieces that are encoded in one text.
 LINES = 400
 #: Texts that the library is given at once, and characters whose pieces are held at once.
 TEXTS, CHARACTERS = 16, 1 << 20
-_ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
+_ODD = "\x1c\x1d\x1e\x1f"  # white space for Python only
+_RARE = "\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))  # all other white space but " " and line ends
+_ENDS = ".,;:!?"
 _RUN = re.compile(r"\s[ \n]|\n\s")  # a line end may be one token with any white space behind it
 _PIECE = re.compile(r"\s*\S+|\s+")
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -34,12 +36,12 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain_specials
-        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
-        self.direct = re.compile("|".join([_ODD.pattern, *names]))
+        self.direct = [*_ODD, *(t.content for t in self.library.get_added_tokens_decoder().values() if not (plain_specials and t.special))]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.alone: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
+        self.signs = dict(zip(_ENDS, self._library(list(_ENDS)), strict=True))
+        self.alone: list[dict[str, bytes]] = [{}, {}]  # the memory in use and the one before
+        self.spaced: list[dict[str, bytes]] = [{}, {}]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -56,17 +58,31 @@ class Encoder:
             out += [data[a:b] for a, b in zip(starts, [*(ends * width).tolist(), len(data)], strict=True)]
         return out
 
-    def _known(self, memory: dict[str, bytes], pieces: set[str], before: str) -> dict[str, bytes]:
-        """``memory`` with the pieces; once it is full, what this call needs of it and what is new, which is then forgotten."""
-        new = list(pieces.difference(memory))
-        if not new:
-            return memory
-        known = memory if len(memory) + len(new) <= REMEMBERED else {p: memory[p] for p in pieces if p in memory}
+    def _known(self, memory: list[dict[str, bytes]], pieces: set[str], before: str) -> dict[str, bytes]:
+        """The memory in use, with all of the pieces: from the one before where that has them, else encoded."""
+        if len(memory[0]) > REMEMBERED:
+            memory[:] = [{}, memory[0]]
+        now, earlier = memory
+        new = pieces.difference(now)
+        again = [p for p in new if p in earlier]
+        now.update((p, earlier[p]) for p in again)
+        new.difference_update(again)
+        ended = {p: p[:-1] for p in new if p[-1:] in _ENDS and len(p) > 1 and p[-2] < "\u0250" and p[-2].isalnum()}  # a sign behind a letter or digit is a piece of its own
+        new.difference_update(ended)
+        new.update(stem for stem in ended.values() if stem not in now)
         lines = [p for p in new if p and "\n" not in p and p == p.strip()]
-        other = list(set(new).difference(lines)) if len(lines) < len(new) else []
+        other = list(new.difference(lines)) if len(lines) < len(new) else []
         for part, encode in ((lines, self._joined), (other, self._library)):
-            known.update(zip(part, encode([before + p for p in part]), strict=True))
-        return known
+            now.update(zip(part, encode([before + p for p in part]), strict=True))
+        now.update((p, now[stem] + self.signs[p[-1]]) for p, stem in ended.items())
+        return now
+
+    def _alone(self, text: str) -> bool:
+        """Whether no white space of the text touches other white space in a way that can share a token."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return False
+        rare = _RARE[:4] if text.isascii() else _RARE
+        return not (any(c in text for c in rare) and _RUN.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, part, size = [], [], 0
@@ -83,9 +99,9 @@ class Encoder:
         heads, words, simple, generic, direct = {""}, set(), {}, {}, []
         for i, text in enumerate(texts):
             text = text or ""
-            if self.direct.search(text):
+            if any(name in text for name in self.direct):
                 direct.append(i)
-            elif _RUN.search(text):
+            elif not self._alone(text):
                 generic[i] = _PIECE.findall(text)
                 heads.update(generic[i])
             else:

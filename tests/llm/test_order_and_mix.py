@@ -97,8 +97,13 @@ def test_selection_matches_a_plain_walk(spark):
             want.append((doc_id, n, passes * n + more))
     assert sorted((r["doc_id"], r["size"], r["taken"]) for r in got.collect()) == sorted(want)
     again = mixing.repeated(got, ["doc_id", "text", "n_chars"]).withColumn("w", mixing.word_count(F.col("text")))
-    assert again.agg(F.sum("w")).first()[0] == sum(t for _, _, t in want)
-    assert again.filter("n_chars <> length(text)").count() == 0
+    # whole documents only: the one that the quota cuts goes in or not, whichever is nearer
+    times = {}
+    for doc_id, n, taken in want:
+        times[doc_id] = times.get(doc_id, 0) + (n and (2 * taken + n) // (2 * n))
+    counts = {r["doc_id"]: r["count"] for r in again.groupBy("doc_id").count().collect()}
+    assert counts == {k: t for k, t in times.items() if t}
+    assert {(r["doc_id"], r["text"]) for r in again.collect()} <= {(r[0], r[1]) for r in some}
 
 
 def test_overlapping_sources(spark):
