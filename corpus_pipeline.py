@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import mixing, near, packing, quality, suffix
+from stratafold.llm import mixing, packing, quality, stages
 from stratafold.llm.common import stored, table
 
 #: Words that near-duplicates' shingles have, and their similarity in percent.
@@ -27,23 +27,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    groups = near.near_duplicates(docs, n=SHINGLE, percent=SIMILAR)
-    dropped = groups.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return stages.one_of_each(docs, SHINGLE, SIMILAR)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur in a document with a smaller id; documents of which nothing is left go."""
-    found = suffix.without_earlier(docs, span=PASSAGE, whole_characters=True).filter("_dedup_removed = 0 OR _dedup_removed < _dedup_bytes")
-    text = F.when(F.col("text").isNotNull(), F.col("_dedup_kept").cast("string"))
-    made = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return stages.without_passages(docs, PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each time that a document goes in, the last one of a source cut to fit."""
+    """The mix of the sources: a row for each time that a document goes in, always whole."""
     mix = mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), weights=WEIGHTS, share=SHARE, most=REPEATS, seed=11)
     return mixing.repeated(mix, docs.columns)
 
