@@ -42,6 +42,8 @@ from stratafold.operators.components import star_roots
 SMALL = 64
 #: Words of 64 bits in a parity bitmap, classes of a tile, of a list that is short, and entries of short lists that a task takes at a time.
 WORDS, TILE, SHORT, BIN = 16, 2048, 256, 1 << 15
+#: Parts of a hot list, and keys that are sent to every task at most (16 bytes each).
+SALTS, FEW = 64, 1 << 20
 
 
 def needed(a, b, percent: int):
@@ -92,8 +94,9 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.ascontiguousarray(values).view(np.int64)))
 
 
-def rarity(docs: DataFrame, n: int) -> np.ndarray:
-    """How common the n-grams of each hash bucket are, on a scale of 256; between 2^16 and 2^22 buckets, as the texts are long."""
+def rarity(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """How common the n-grams of each hash bucket are, on a scale of 256, and the level from which lists may be hot; between 2^16 and 2^22
+    buckets, as the texts are long."""
     bits = int(np.clip(np.ceil(np.log2(parts_for(docs, task_bytes=2048) + 1)), 16, 22))
     shift = np.uint64(64 - bits)
 
@@ -110,15 +113,16 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
     found = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(level.alias("level")).toArrow()
     table = np.zeros(1 << bits, np.uint8)
     table[found["bucket"].to_numpy()] = found["level"].to_numpy()
-    return table
+    middle = int(np.median(table[table > 0])) if len(found) else 0
+    return table, max(6 * 17, middle + 12)  # 2^17 n-grams, and four times what most buckets have
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, key, size, d1, d2``, the parity ``bitmap``, the ``prefix`` by which a set is found in lists, and the whole of a ``small`` set."""
-    table = docs.sparkSession.sparkContext.broadcast(rarity(docs, n))
+    """``doc_id, key, size, d1, d2``, the parity ``bitmap``, the ``prefix`` by which a set is found in lists, the last ``hot`` of them in lists that may be long, and the whole of a ``small`` set."""
+    known = docs.sparkSession.sparkContext.broadcast(rarity(docs, n))
 
     def sign(batches):
-        common = table.value
+        common, hot = known.value
         shift = np.uint64(64 - int(np.log2(len(common))))
         for batch in batches:
             for a, b, doc, hashes in _sets(batch, n):
@@ -134,14 +138,16 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 order = np.lexsort(((common[hashes >> shift].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8)), doc))
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 length = np.where(size > 0, size - least_partner(size, percent) + 1, 0)
-                prefix = hashes[order][place < length[doc]]
+                chosen = order[place < length[doc]]
+                prefix = hashes[chosen]
+                hots = np.bincount(doc[chosen][common[prefix >> shift] >= hot], minlength=b - a).astype(np.int32)
                 little = (size <= SMALL)[doc]
                 yield pa.record_batch([
                     batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                    _lists(bitmap[has].reshape(-1), np.where(size > 0, WORDS, 0)), _lists(prefix, length), _lists(hashes[little], np.where(size <= SMALL, size, 0)),
-                ], names=["doc_id", "key", "size", "d1", "d2", "bitmap", "prefix", "small"])
+                    _lists(bitmap[has].reshape(-1), np.where(size > 0, WORDS, 0)), _lists(prefix, length), pa.array(hots), _lists(hashes[little], np.where(size <= SMALL, size, 0)),
+                ], names=["doc_id", "key", "size", "d1", "d2", "bitmap", "prefix", "hot", "small"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(sign, "doc_id long, key long, size long, d1 long, d2 long, bitmap array<long>, prefix array<long>, small array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(sign, "doc_id long, key long, size long, d1 long, d2 long, bitmap array<long>, prefix array<long>, hot int, small array<long>")
 
 
 def boundary(classes: DataFrame, percent: int) -> int:
@@ -191,7 +197,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """``rep, grams``: the sets of these classes, made again from one text of each."""
-    wanted = classes.select("rep", "key").join(reps, "rep")
+    wanted = stored(classes.select("rep", "key").join(reps, "rep"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted  # else the texts are shuffled
 
     def make(batches):
         for batch in batches:
@@ -202,6 +209,22 @@ def full_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, n: int) -> D
     return texts.select("rep", "text").mapInArrow(make, "rep long, grams array<long>")
 
 
+def _met(classes: DataFrame, limit: int) -> DataFrame:
+    """``gram, rep, size, p`` of the lists with two classes or more, one of them over ``limit``; ``p`` is the least class.
+
+    The entries are shuffled once: what is counted per part of a list is joined back to the parts where they lie. Hot lists have
+    ``SALTS`` parts, all others one.
+    """
+    at = classes.select("rep", "size", "hot", F.size("prefix").alias("many"), F.posexplode("prefix").alias("at", "gram"))
+    salt = F.coalesce(F.when(F.col("at") >= F.col("many") - F.col("hot"), 1 + F.pmod("rep", F.lit(SALTS))).cast("int"), F.lit(0))  # without nulls, or the two readers' plans differ
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = at.select("gram", salt.alias("salt"), "rep", "size").repartition(parts, "gram", "salt")
+    counted = entries.groupBy("gram", "salt").agg(F.min(F.struct("size", "rep")).alias("p"), F.max("size").alias("most"), F.count("*").alias("m")).filter("m > 1 OR salt > 0")
+    lists = counted.groupBy("gram").agg(F.min("p").alias("p"), F.max("most").alias("most"), F.sum("m").alias("m"), F.collect_set("salt").alias("salts")).filter(
+        (F.col("m") > 1) & (F.col("most") > limit))
+    return entries.join(lists.select("gram", "p", F.explode("salts").alias("salt")), ["gram", "salt"]).select("gram", "rep", "size", "p")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -337,15 +360,13 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, limit: int
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(named, n, percent), "signatures")
     own = signed.filter("size > 0")
-    alike = [F.first(c).alias(c) for c in ("bitmap", "prefix", "small")]
+    alike = [F.first(c).alias(c) for c in ("bitmap", "prefix", "hot", "small")]
     classes = stored(own.groupBy(F.col("d1").alias("rep"), "d2", "size").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), *alike), "classes")
     limit = boundary(classes, percent) if limit is None else min(limit, SMALL)
     small = stored(_small_links(classes, limit, percent), "links")
     # a small set is in lists only where a large one may be its partner
-    entries = classes.filter(F.col("size") >= least_partner(limit + 1, percent)).select("rep", "size", F.explode("prefix").alias("gram"))
-    lists = entries.groupBy("gram").agg(F.min(F.struct("size", "rep")).alias("p"), F.max("size").alias("most"), F.count("*").alias("m")).filter(
-        (F.col("m") > 1) & (F.col("most") > limit))
-    met = stored(entries.join(lists, "gram").select("gram", "rep", "size", "p"), "entries")
+    entries = _met(classes.filter(F.col("size") >= least_partner(limit + 1, percent)), limit)
+    met = stored(entries, "entries")
     stars = met.filter(F.col("rep") != F.col("p.rep")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
     possible = stored(_possible(stars.join(small, ["a", "b"], "left_anti"), classes, percent), "possible")
     sets = stored(full_sets(named, possible.select(F.col("a").alias("rep")).union(possible.select("b")).distinct(), classes, n), "sets")
