@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import mixed, parts_for, stored, utf8
+from stratafold.llm.common import mixed, stored, utf8
 from stratafold.llm.words import distinct, grams, lowered, slices, word_hashes
 from stratafold.operators.components import star_roots
 
@@ -44,6 +44,8 @@ SMALL = 64
 WORDS, TILE, SHORT, BIN = 16, 2048, 256, 1 << 15
 #: Parts of a hot list, and keys that are sent to every task at most (16 bytes each).
 SALTS, FEW = 64, 1 << 20
+#: Buckets of the table of counts, and the size of sets from which bitmaps grow with the set.
+BITS, LARGE = 19, 2000
 
 
 def needed(a, b, percent: int):
@@ -83,6 +85,11 @@ def subset_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(sizes), np.concatenate(out).view(np.int64)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
+def widths(size: np.ndarray) -> np.ndarray:
+    """Words of the bitmaps of sets of these sizes: doubled with the size from ``LARGE`` on, so that large sets do not fill them."""
+    return np.where(size > 0, WORDS << np.ceil(np.log2(np.maximum(size, LARGE) / LARGE)).astype(np.int64), 0)
+
+
 def _sets(batch: pa.RecordBatch, n: int):
     """Per slice of a batch: its rows' range, and text number and n-grams of their sets in order."""
     data, limits = utf8(batch["text"])
@@ -95,9 +102,8 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def rarity(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """How common the n-grams of each hash bucket are, on a scale of 256, and the level from which lists may be hot; between 2^16 and 2^22
-    buckets, as the texts are long."""
-    bits = int(np.clip(np.ceil(np.log2(parts_for(docs, task_bytes=2048) + 1)), 16, 22))
+    """How common the n-grams of each of ``2 ** BITS`` hash buckets are, on a scale of 256, and the level from which lists may be hot."""
+    bits = BITS
     shift = np.uint64(64 - bits)
 
     def count(batches):
@@ -128,13 +134,16 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for a, b, doc, hashes in _sets(batch, n):
                 size = np.bincount(doc, minlength=b - a)
                 has = np.flatnonzero(size)
-                digest, bitmap = np.zeros((2, b - a), np.uint64), np.zeros((b - a, WORDS), np.uint64)
+                digest, bitmap = np.zeros((2, b - a), np.uint64), np.zeros(0, np.uint64)
                 if len(has):
                     first = np.concatenate([[0], np.cumsum(size[has])[:-1]])
                     digest[0, has] = mixed(np.add.reduceat(hashes, first) + size[has].astype(np.uint64))
                     digest[1, has] = np.add.reduceat(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), first)
-                    bit = hashes & np.uint64(64 * WORDS - 1)
-                    np.bitwise_xor.at(bitmap.reshape(-1), doc * WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+                    bits_of = widths(size)
+                    at = np.cumsum(bits_of) - bits_of
+                    bit = hashes & (64 * bits_of[doc] - 1).astype(np.uint64)
+                    bitmap = np.zeros(int(bits_of.sum()), np.uint64)
+                    np.bitwise_xor.at(bitmap, at[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
                 order = np.lexsort(((common[hashes >> shift].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8)), doc))
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 length = np.where(size > 0, size - least_partner(size, percent) + 1, 0)
@@ -144,7 +153,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 little = (size <= SMALL)[doc]
                 yield pa.record_batch([
                     batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                    _lists(bitmap[has].reshape(-1), np.where(size > 0, WORDS, 0)), _lists(prefix, length), pa.array(hots), _lists(hashes[little], np.where(size <= SMALL, size, 0)),
+                    _lists(bitmap, widths(size)), _lists(prefix, length), pa.array(hots), _lists(hashes[little], np.where(size <= SMALL, size, 0)),
                 ], names=["doc_id", "key", "size", "d1", "d2", "bitmap", "prefix", "hot", "small"])
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(sign, "doc_id long, key long, size long, d1 long, d2 long, bitmap array<long>, prefix array<long>, hot int, small array<long>")
@@ -192,7 +201,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(facts.toDF("a", "an", "abits"), "a").join(facts.toDF("b", "bn", "bbits"), "b")
     apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     least = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
-    return both.filter(apart <= F.col("an") + F.col("bn") - 2 * least).select("a", "b")
+    unlike = (F.size("abits") == F.size("bbits")) & (apart > F.col("an") + F.col("bn") - 2 * least)  # of two widths: compared on full sets
+    return both.filter(~unlike).select("a", "b")
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -235,9 +245,11 @@ def _roots(links: DataFrame) -> DataFrame:
     return stored(star_roots(links.select(F.lit(0).alias("image"), "a", "b")).select(F.col("a").alias("rep"), F.col("b").alias("root")), "roots")
 
 
-def _apart(own: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _apart(own: np.ndarray, size: np.ndarray, root: np.ndarray, bits: tuple[np.ndarray, np.ndarray], percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one list (``own``) and different components whose sizes and bitmaps allow a link; with ``side``, of different sides
     where a list has two. Rows in order of size meet only those behind them that are small enough."""
+    words, at = bits
+    width = np.diff(np.append(at, len(words)))
     order = np.lexsort((size, own))
     _, number = np.unique(own, return_inverse=True)
     scale = int(size.max(initial=0)) * 100 // percent + 2
@@ -255,18 +267,23 @@ def _apart(own: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray
         if side is not None:
             may &= ~two[x] | (side[x] != side[y])
         x, y = x[may], y[may]
-        allowed, apart = _allowed(size[x], size[y], percent), np.zeros(len(x), np.int64)
-        for part in (range(2), range(2, WORDS)):
-            for w in part:
-                apart += np.bitwise_count(bits[x, w] ^ bits[y, w])
-            near = apart <= allowed
-            x, y, allowed, apart = x[near], y[near], allowed[near], apart[near]
+        for part in (range(2), range(2, WORDS), range(WORDS, 1 << 30)):
+            same = width[x] == width[y]  # others are compared on full sets
+            apart = np.zeros(len(x), np.int64)
+            for w in range(min(part.stop, int(width[x].max(initial=0)))):
+                here = same & (width[x] > w)
+                here = slice(None) if here.all() else np.flatnonzero(here)
+                apart[here] += np.bitwise_count(words[at[x[here]] + w] ^ words[at[y[here]] + w])
+            near = ~same | (apart <= _allowed(size[x], size[y], percent))
+            x, y = x[near], y[near]
         found.append(np.stack([x, y]))
     return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def _bits(group: pa.Table) -> np.ndarray:
-    return group["bitmap"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+def _bits(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All bitmaps' words in a row, and where each begins."""
+    lists = group["bitmap"].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()[:-1] - (lists.offsets[0].as_py() if len(lists) else 0)
 
 
 def _scan(row: np.ndarray, gram: np.ndarray, rows: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
