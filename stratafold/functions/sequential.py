@@ -12,33 +12,6 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def extended(pdf: pd.DataFrame, min_rays: int, order: int) -> pd.DataFrame:
-    """One section's border with every strip run continued along its own fit until it meets the wall."""
-    pdf = pdf.sort_values("ray").reset_index(drop=True)
-    stop, strip = pdf["stop"].to_numpy("int64"), pdf["on_strip"].to_numpy(bool)
-    out = stop.copy()
-    marks = np.flatnonzero(np.diff(np.r_[0, strip.astype(int), 0]))
-    for first, last in zip(marks[::2], marks[1::2] - 1):
-        if last - first + 1 < min_rays:
-            continue
-        span = np.arange(first, last + 1)
-        line = np.poly1d(np.polyfit(span, stop[span].astype(float), 1))
-        curve = np.poly1d(np.polyfit(span, stop[span].astype(float), min(order, last - first))) if order > 1 else line
-        for way, anchor in ((-1, first), (1, last)):
-            eases = way * curve.deriv()(anchor) * curve.deriv(2)(anchor) < 0
-            fit = curve if eases else line
-            ahead = np.arange(anchor + way, len(out) if way > 0 else -1, way)
-            if not len(ahead):
-                continue
-            value = fit(ahead)
-            moves = np.diff(np.r_[fit(anchor), value])
-            ends = (np.sign(moves[0]) * moves <= 0) | (value < 0) | (value >= out[ahead])
-            reach = int(np.argmax(ends)) if ends.any() else len(ahead)
-            free = ahead[:reach][~strip[ahead[:reach]]]
-            out[free] = np.rint(fit(free)).astype("int64")
-    return pdf.assign(stop=out)
-
-
 def path_through(pdf: pd.DataFrame, slope: int) -> pd.DataFrame:
     """The highest-scoring path through one section's score grid, moving at most ``slope`` steps per ray.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.constants import ACROSS_BIN_UM, ALONG_BIN_UM
-from stratafold.functions.sequential import extended, hull_corners, path_through
+from stratafold.functions.sequential import hull_corners, path_through
 
 def section():
     return Window.partitionBy("image")
@@ -158,18 +158,68 @@ def round_bends(border: DataFrame, floor: float, rays: int = 2, rounds: int = 20
     return out.withColumn("stop", F.rint(stop()).cast("long"))
 
 
-def extend_strips(border: DataFrame, min_rays: int = 3, order: int = 1) -> DataFrame:
-    """Continue strips of a border (rays with ``on_strip``) over rays that are not on one.
+def strip_ends(border: DataFrame, min_rays: int, order: int) -> DataFrame:
+    """``image, ends``: the two ends of every strip of ``min_rays`` rays or more, in order, each with the curve that continues it there.
 
-    Runs act on each other's results in ray order, so this is a function per section; a group is one border.
+    A strip is a run of neighbouring rays on a strip. Its curve is the least-squares line through its stops, or with ``order`` 2 the
+    parabola, at an end where that flattens ahead. Rays of a run are consecutive, so about their middle the odd sums vanish and the
+    coefficients are quotients of sums.
     """
-    columns = ["image", "ray", "stop", "width", "on_strip"]
-    table = border.select(*columns)
+    rays = F.col("ray").cast("double")
+    run = F.col("ray") - F.row_number().over(Window.partitionBy("image", "on_strip").orderBy("ray"))
+    sums = border.withColumn("_run", run).filter("on_strip").groupBy("image", "_run").agg(
+        F.count("*").cast("double").alias("n"), F.min("ray").cast("double").alias("first"), F.max("ray").cast("double").alias("last"), F.sum(stop()).cast("double").alias("s0"),
+        F.sum(rays * stop()).alias("s1"), F.sum(rays * rays * stop()).alias("s2")).filter(F.col("n") >= min_rays)
+    n, m = F.col("n"), F.col("m")
+    sums = sums.withColumn("m", (F.col("first") + F.col("last")) / 2).withColumn("uu", n * (n * n - 1) / 12).withColumn("uuuu", n * (n * n - 1) * (3 * n * n - 7) / 240)
+    slope = F.when(n > 1, (F.col("s1") - m * F.col("s0")) / F.col("uu")).otherwise(0.0)
+    bend = F.when((n > 2) & F.lit(order > 1), (n * (F.col("s2") - 2 * m * F.col("s1") + m * m * F.col("s0")) - F.col("uu") * F.col("s0")) / (n * F.col("uuuu") - F.col("uu") * F.col("uu"))).otherwise(0.0)
+    sums = sums.withColumn("slope", slope).withColumn("bend", bend)
+
+    def end(way: int, at: Column) -> Column:
+        flattens = way * (F.col("slope") + 2 * F.col("bend") * (at - m)) * F.col("bend") < 0
+        c2 = F.when(flattens, F.col("bend")).otherwise(0.0)
+        return F.struct(F.col("first").alias("order"), F.lit(way).alias("way"), at.cast("int").alias("at"), m.alias("m"), ((F.col("s0") - c2 * F.col("uu")) / n).alias("c0"),
+                        F.col("slope").alias("c1"), c2.alias("c2"))
+
+    ends = sums.select("image", F.explode(F.array(end(-1, F.col("first")), end(1, F.col("last")))).alias("e"))
+    return ends.groupBy("image").agg(F.array_sort(F.collect_list("e")).alias("ends"))
+
 
-    def per_section(pdf: pd.DataFrame) -> pd.DataFrame:
-        return extended(pdf, min_rays, order)[columns]
+def extend_strips(border: DataFrame, min_rays: int = 3, order: int = 1) -> DataFrame:
+    """Continue the strips of a border (rays with ``on_strip``) along their curves, over rays that are not on one.
 
-    return table.groupBy("image").applyInPandas(per_section, table.schema)
+    A continuation covers the rays ahead of its strip's end up to the first one where it turns back, leaves the image or reaches the border
+    that is there. Strips go in order, the low end first, and each meets the border with the continuations before it: a fold over the
+    ends of one section, on arrays of its rays 0, 1, ...
+    """
+    if order not in (1, 2):
+        raise ValueError("a strip is continued along a line (1) or a parabola (2)")
+    columns = ["image", "ray", "stop", "width", "on_strip"]
+    listed = border.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("ray", stop().cast("long").alias("stop"), "width", "on_strip"))).alias("rays"))
+    whole = listed.join(strip_ends(border, min_rays, order), "image", "left")
+    free = F.transform("rays", lambda r: ~r["on_strip"])
+
+    def continued(out: Column, e: Column) -> Column:
+        def curve(i):
+            return e["c0"] + e["c1"] * (i - e["m"]) + e["c2"] * (i - e["m"]) * (i - e["m"])
+
+        way, at = e["way"], e["at"]
+        room = F.when(way < 0, at).otherwise(F.size(out) - 1 - at)
+        heads = F.signum(curve(at + way) - curve(at))
+
+        def over(d):
+            i = at + way * d
+            return (heads * (curve(i) - curve(i - way)) <= 0) | (curve(i) < 0) | (curve(i) >= F.element_at(out, i + 1))
+
+        reach = F.coalesce(F.array_min(F.filter(F.when(room > 0, F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>")), over)), room + 1)
+        return F.transform(out, lambda v, i: F.when((way * (i - at)).between(1, reach - 1) & F.element_at(free, i + 1), F.rint(curve(i)).cast("long")).otherwise(v))
+
+    stops = F.transform("rays", lambda r: r["stop"])
+    done = whole.withColumn("_stops", F.when(F.col("ends").isNull(), stops).otherwise(F.aggregate("ends", stops, continued)))
+    each = done.select("image", F.posexplode("rays").alias("i", "r"), "_stops")
+    kind = border.schema["stop"].dataType
+    return each.select("image", "r.ray", F.element_at("_stops", F.col("i") + 1).cast(kind).alias("stop"), "r.width", "r.on_strip").select(*columns)
 
 
 def straighten(border: DataFrame, segments: int, inward: float = 0.0, slide_rays: int = 0) -> DataFrame:

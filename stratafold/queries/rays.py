@@ -194,7 +194,32 @@ def round_bends(spark, folder):
     return borders.round_bends(stops(spark, folder).withColumn("wall", C("stop") + 2), 120.0, rounds=4).select(*OUT)
 
 
-@query("extend_strips_w10")
+CURVE = "(e.c0 + e.c1 * ({i} - e.m) + e.c2 * ({i} - e.m) * ({i} - e.m))"
+
+
+def _curve(i: str) -> str:
+    return CURVE.replace("{i}", i)
+
+
+@query("extend_strips_w10", "stops", f"""
+WITH b AS (SELECT image, ray, stop, width, found AND stop < 20 AS on_strip FROM stops),
+u AS (SELECT image, count(*)::DOUBLE AS n, min(ray)::DOUBLE AS f, max(ray)::DOUBLE AS l, sum(stop)::DOUBLE AS s0, sum(CAST(ray AS DOUBLE) * stop) AS s1, sum(CAST(ray AS DOUBLE) * ray * stop) AS s2
+      FROM (SELECT *, ray - row_number() OVER (PARTITION BY image, on_strip ORDER BY ray) AS g FROM b) q WHERE on_strip GROUP BY image, g HAVING count(*) >= 3),
+w AS (SELECT *, (f + l) / 2 AS m, n * (n * n - 1) / 12 AS uu, n * (n * n - 1) * (3 * n * n - 7) / 240 AS uuuu FROM u),
+z AS (SELECT *, (s1 - m * s0) / uu AS c1, (n * (s2 - 2 * m * s1 + m * m * s0) - uu * s0) / (n * uuuu - uu * uu) AS bend FROM w),
+h AS (SELECT z.*, way, CASE WHEN way < 0 THEN f ELSE l END AS a FROM z, (VALUES (-1), (1)) v(way)),
+e0 AS (SELECT *, CASE WHEN way * (c1 + 2 * bend * (a - m)) * bend < 0 THEN bend ELSE 0.0 END AS c2 FROM h),
+e AS (SELECT image, way, CAST(a AS INTEGER) AS a, m, (s0 - c2 * uu) / n AS c0, c1, c2, row_number() OVER (PARTITION BY image ORDER BY f, way) AS k FROM e0),
+v AS (
+  SELECT image, CAST(0 AS BIGINT) AS k, list(stop ORDER BY ray) AS outs, list(on_strip ORDER BY ray) AS strips FROM b GROUP BY image
+  UNION ALL
+  SELECT q.image, q.k, list_transform(q.outs, lambda s, i: CASE WHEN q.way * (i - 1 - q.a) BETWEEN 1 AND q.reach - 1 AND NOT q.strips[i] THEN CAST(round_even({_curve('(i - 1)').replace('e.', 'q.')}, 0) AS BIGINT) ELSE s END), q.strips
+  FROM (SELECT e.*, v.outs, v.strips, coalesce(list_min(list_filter(range(1, 1 + CASE WHEN e.way < 0 THEN e.a ELSE len(v.outs) - 1 - e.a END), lambda d:
+          sign({_curve('(e.a + e.way)')} - {_curve('e.a')}) * ({_curve('(e.a + e.way * d)')} - {_curve('(e.a + e.way * d - e.way)')}) <= 0 OR {_curve('(e.a + e.way * d)')} < 0
+          OR {_curve('(e.a + e.way * d)')} >= v.outs[CAST(e.a + e.way * d + 1 AS BIGINT)])), 1000000) AS reach
+        FROM v JOIN e ON e.image = v.image AND e.k = v.k + 1) q),
+r AS (SELECT image, arg_max(outs, k) AS outs FROM v GROUP BY image)
+SELECT b.image, b.ray, r.outs[b.ray + 1] AS stop, b.on_strip FROM b JOIN r ON r.image = b.image""")
 def extend_strips(spark, folder):
     strip = stops(spark, folder).withColumn("on_strip", C("found") & (C("stop") < 20))
     return borders.extend_strips(strip, 3, 2).select(*OUT, "on_strip")

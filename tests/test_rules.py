@@ -11,7 +11,7 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from stratafold.functions import ordered, scalars
-from stratafold.functions.sequential import column_distances, extended, path_through, tile_components
+from stratafold.functions.sequential import column_distances, path_through, tile_components
 from stratafold.operators import borders, components, matching, metrics, tables
 from stratafold.sources import sinks
 
@@ -159,11 +159,24 @@ def test_best_path_equals_enumeration():
     assert math.isclose(sum(score[r, s] for r, s in zip(got["ray"], got["step"])), best)
 
 
-def test_strip_is_continued_until_it_meets_the_wall():
+def test_strip_is_continued_until_it_meets_the_wall(spark):
     stop = [40, 40, 40, 12, 14, 16, 40, 40, 40, 20]
-    pdf = pd.DataFrame({"image": 0, "ray": range(10), "stop": stop, "width": 64, "on_strip": [3 <= i <= 5 for i in range(10)]})
-    assert extended(pdf, 3, 1)["stop"].tolist() == [6, 8, 10, 12, 14, 16, 18, 20, 22, 20]
-    assert extended(pdf, 4, 1)["stop"].tolist() == stop
+    df = spark.createDataFrame(pd.DataFrame({"image": 0, "ray": range(10), "stop": stop, "width": 64, "on_strip": [3 <= i <= 5 for i in range(10)]}))
+    made = lambda *a: [r["stop"] for r in borders.extend_strips(df, *a).orderBy("ray").collect()]
+    assert made(3, 1) == [6, 8, 10, 12, 14, 16, 18, 20, 22, 20]
+    assert made(4, 1) == stop
+    none = df.withColumn("on_strip", F.lit(False))
+    assert [r["stop"] for r in borders.extend_strips(none, 3, 2).orderBy("ray").collect()] == stop
+
+
+def test_parabola_is_followed_where_it_flattens_and_only_to_its_turn(spark):
+    strip = [20 - (i - 8) ** 2 for i in range(5, 8)]  # rises by 5 and 3, its turn is at ray 8
+    stop = [60] * 5 + strip + [60] * 6
+    df = spark.createDataFrame(pd.DataFrame({"image": 3, "ray": range(14), "stop": stop, "width": 64, "on_strip": [5 <= i <= 7 for i in range(14)]}))
+    got = [r["stop"] for r in borders.extend_strips(df, 3, 2).orderBy("ray").collect()]
+    assert got[5:8] == strip and got[8] == 20 and got[9:] == [60] * 5  # ahead: one ray up to the turn
+    line = [round(46 / 3 + 4 * (i - 6)) for i in range(5)]  # behind it steepens: the line
+    assert [g for g, v in zip(got[:5], line) if v >= 0] == [v for v in line if v >= 0]
 
 
 def test_tile_components_touching_runs():
