@@ -7,7 +7,7 @@ from stratafold.functions.scalars import density, region_rank, scale_from_metada
 from stratafold.operators import matching, polygons, tables
 from stratafold.registry import query
 from stratafold.session import shared_path
-from stratafold.sources import catalog, readers, sinks
+from stratafold.sources import catalog, readers, sinks, versions
 
 IMAGES = """
 WITH img AS (
@@ -271,6 +271,27 @@ def summary_upsert(spark, folder):
     return sinks.merge_run(_summary(spark, folder), _run(spark, folder))
 
 
+@query("versioned_upsert_s18", "section_cells", RUN_SQL + """
+SELECT image, region, detected, classified, tissue_px, CAST(NULL AS TIMESTAMP) AS logged_at FROM ex WHERE image NOT IN (SELECT image FROM run)
+UNION ALL SELECT image, region, detected, NULL, NULL, logged_at FROM run""")
+def versioned_upsert(spark, folder):
+    """The run committed as a version of its own on top of the table's; run twice, the second time changes nothing."""
+    path = shared_path(spark, "summary")
+    versions.write_version(_summary(spark, folder), path, buckets=16)
+    versions.upsert(_run(spark, folder), path)
+    versions.upsert(_run(spark, folder), path)
+    return versions.read_version(spark, path)
+
+
+@query("earlier_version_s17", "section_cells", RUN_SQL + "SELECT image, region, detected, classified, tissue_px FROM ex")
+def earlier_version(spark, folder):
+    """What the table said before the last commit."""
+    path = shared_path(spark, "summary")
+    first = versions.write_version(_summary(spark, folder), path, buckets=16)
+    versions.upsert(_run(spark, folder), path)
+    return versions.read_version(spark, path, first)
+
+
 @query("upsert_counts_s18", "section_cells", RUN_SQL + """
 SELECT count(*) FILTER (image NOT IN (SELECT image FROM run)) AS kept, count(*) FILTER (image IN (SELECT image FROM run)) AS replaced FROM ex""")
 def upsert_counts(spark, folder):

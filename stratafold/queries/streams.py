@@ -6,6 +6,7 @@ from stratafold import fixtures as fx
 from stratafold.plans import evaluation as ev
 from stratafold.queries.aggregates import r
 from stratafold.registry import query
+from stratafold.session import shared_path
 from stratafold.streaming import edits as st
 
 C = F.col
@@ -18,6 +19,17 @@ def edit_log_batch(spark, folder):
     return e.groupBy(*st.EDIT_KEY).agg(F.count("*").alias("deliveries"))
 
 
+@query("streamed_edit_log_t1", "edits", "SELECT DISTINCT stem, y, x, action, logged_at FROM edits")
+def streamed_edit_log(spark, folder):
+    """A file stream of edits, a third of them delivered twice, through the log's stream; what the log then holds."""
+    given, log = shared_path(spark, "edits"), shared_path(spark, "log")
+    e = fx.edits(spark, folder).withColumn("logged_at", C("logged_at").cast("timestamp"))
+    e.unionByName(e.filter("event_id % 3 = 0")).write.parquet(given)
+    stream = spark.readStream.schema(e.schema).parquet(given)
+    st.append_log(stream, log, shared_path(spark, "log-state")).awaitTermination()
+    return spark.read.parquet(log).select("stem", "y", "x", "action", C("logged_at").cast("timestamp_ntz").alias("logged_at"))
+
+
 @query("state_from_log_t1", "edits", "SELECT stem, y, x FROM edits GROUP BY 1, 2, 3 HAVING arg_max(action, (logged_at, event_id)) = 'added'")
 def state_from_log(spark, folder):
     return st.latest_state(fx.edits(spark, folder))
@@ -38,6 +50,19 @@ def summary_batch(spark, folder):
     return table
 
 
+@query("streamed_results_t3", "section_cells", "SELECT date_trunc('month', logged_at) AS seen, region, count(*) AS cells FROM section_cells GROUP BY 1, 2")
+def streamed_results(spark, folder):
+    """Results that arrive as files, taken up by the polling stream, then the table that it refreshes."""
+    given, table = shared_path(spark, "results"), shared_path(spark, "polled")
+    cells = fx.section_cells(spark, folder).select("logged_at", "region")
+    cells.filter("region = 'CMM'").write.parquet(given)
+    cells.filter("region <> 'CMM'").write.mode("append").parquet(given)
+    rows, trigger = st.poll_results(spark, given, cells.schema, None)
+    (rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", shared_path(spark, "polled-state")).trigger(**trigger).start().awaitTermination())
+    seen = F.date_trunc("month", "logged_at").cast("timestamp_ntz").alias("seen")
+    return spark.read.parquet(table).groupBy(seen, "region").agg(F.count("*").alias("cells"))
+
+
 @query("polled_results_t3", "section_cells", "SELECT date_trunc('month', logged_at) AS seen, region, count(*) AS cells FROM section_cells GROUP BY 1, 2")
 def polled_results(spark, folder):
     c = fx.section_cells(spark, folder)
