@@ -42,6 +42,14 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[limits[0]:limits[-1]], limits - limits[0]
 
 
+def one_by_one(batches):
+    """The batches, each given back to the system before the next one comes: workers live on and would keep the room of the largest."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one mix of 64-bit numbers in which every bit of the result depends on every bit of the input."""
     x = x.astype(np.uint64, copy=True)

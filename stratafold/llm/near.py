@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import mixed, stored, utf8
+from stratafold.llm.common import mixed, one_by_one, stored, utf8
 from stratafold.llm.words import distinct, grams, lowered, slices, word_hashes
 from stratafold.operators.components import star_roots
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 WORDS = 8  # of 64 bits, in a sketch
-TILE = 2048
+TILE = 1024
 
 
 def shingle_sets(data: np.ndarray, limits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, bands, sketch``; the last two are empty without shingles."""
     def sign(batches):
-        for batch in batches:
+        for batch in one_by_one(batches):
             data, limits = utf8(batch["text"])
             for a, b in slices(limits):
                 doc, hashes = shingle_sets(data[limits[a]:limits[b]], limits[a:b + 1] - limits[a], n)
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """``id, shingles`` of the documents with these ids."""
     def make(batches):
-        for batch in batches:
+        for batch in one_by_one(batches):
             data, limits = utf8(batch["text"])
             for a, b in slices(limits):
                 doc, hashes = shingle_sets(data[limits[a]:limits[b]], limits[a:b + 1] - limits[a], n)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.llm.common import mixed, stored, utf8
+from stratafold.llm.common import mixed, one_by_one, stored, utf8
 from stratafold.llm.words import slices, word_hashes
 
 BUCKETS_LOG2 = 16
@@ -62,7 +62,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in one_by_one(batches):
             data, limits = utf8(batch["text"])
             good = batch["target"].to_numpy(zero_copy_only=False)
             for a, b in slices(limits):
@@ -86,7 +86,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
     out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema], T.StructField("_quality_weight", T.DoubleType()), T.StructField("_quality_grams", T.LongType())])
 
     def weigh(batches):
-        for batch in batches:
+        for batch in one_by_one(batches):
             data, limits = utf8(batch.column(text))
             total, grams = np.zeros(len(limits) - 1), np.zeros(len(limits) - 1, np.int64)
             for a, b in slices(limits):
