@@ -4,7 +4,7 @@ from importlib import import_module
 
 from stratafold.registry import ORACLES, QUERIES
 
-MODULES = ("sources", "scalars", "joins", "aggregates", "evaluation", "rays", "profiles", "raster", "regions", "carved", "streams")
+MODULES = ("sources", "scalars", "joins", "aggregates", "evaluation", "rays", "profiles", "raster", "regions", "carved", "shapes", "streams")
 
 
 def load_all():
