@@ -111,3 +111,65 @@ def test_overlapping_sources(spark):
     got = mixing.mixed(docs, F.col("m"), mixing.word_count(F.col("text")), [1, 2], 1.2, 2)
     r = got.agg(F.sum("taken").alias("t"), F.max(F.col("taken") / F.col("size")).alias("m")).first()
     assert r["m"] <= 2 and r["t"] > 0
+
+
+def test_targets_in_spark_are_those_of_the_plain_rule(spark):
+    rng = random.Random(5)
+    for weights, share in (([3, 1, 2], 1.5), ([1], 3.0), ([0.5, 4], 0.4)):
+        sizes = {f"s{i}": rng.choice([0, 1, 7, 50, 900]) for i in range(12)} | {None: 30}
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, words long"), weights, share, 2).collect()
+        want = mixing.shares(sizes, weights, share, 2)
+        assert {r["source"]: pytest.approx(r["target"]) for r in got} == want
+
+
+def test_names_that_clash_stay_or_give_way(spark):
+    names = ["_rest", "_order", "_bin", "mix", "row", "order", "_m", "end", "before", "passes", "SIZE", "_copy", "x`y"]
+    docs = frame(spark, rows())
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    kinds = dict(weights=[3, 1, 2], share=1.5, most=2, seed=4)
+    plain = mixing.mixed(frame(spark, rows()), F.array("source"), mixing.word_count(F.col("text")), **kinds)
+    got = mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), **kinds)
+    assert sorted(got.select("doc_id", "size", "taken").collect()) == sorted(plain.select("doc_id", "size", "taken").collect())
+    assert "SIZE" not in got.columns and {r["_rest"] for r in got.collect()} == {"_rest"}
+    whole = mixing.mixed_documents(docs, F.array("source"), mixing.word_count(F.col("text")), **kinds)
+    assert whole.columns == docs.columns and {(r["SIZE"], r["x`y"], r["_copy"]) for r in whole.collect()} == {("SIZE", "x`y", "_copy")}
+    count = lambda df: sorted((r["doc_id"], r["count"]) for r in df.groupBy("doc_id").count().collect())
+    assert count(whole) == count(mixing.repeated(plain, ["doc_id", "text"]))
+
+
+def test_deep_bins_select_the_same(spark):
+    some = rows() + [(None, f"null id {i}", "en", "s") + tuple(rows()[0][4:]) for i in range(40)]
+    docs = frame(spark, some)
+    found = [sorted(map(str, mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), [3, 1, 2], 1.5, 2, seed=4, last_bin=b).select("doc_id", "text", "taken").collect()))
+             for b in (1, 100_000)]
+    assert found[0] == found[1]
+
+
+def test_documents_of_no_source_are_not_taken(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, "a b c", []), (3, "d", [None]), (4, "e f", ["x"]), (5, None, ["x"])], "doc_id long, text string, m array<string>")
+    got = {r["doc_id"]: r for r in mixing.mixed(docs, F.col("m"), mixing.word_count(F.col("text")), [1], 1.0, 2).collect()}
+    assert (got[1]["taken"], got[2]["taken"], got[1]["targets"], got[5]["taken"]) == (0, 0, [], 0)
+    assert got[3]["source_sizes"] == [1] and got[3]["taken"] + got[4]["taken"] == 2 and len(got) == 5
+
+
+def test_overlap_takes_as_much_as_any_flow_could(spark):
+    rng = random.Random(8)
+    sets = [["a"], ["a", "b"], ["b", "c"], ["c"], ["d"]]
+    some = [(i, "w " * rng.randint(1, 9), rng.choice(sets)) for i in range(80)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, m array<string>")
+    got = mixing.mixed(docs, F.col("m"), mixing.word_count(F.col("text")), [1, 3, 2], 1.4, 2, seed=1).collect()
+    sizes, words = {}, {}
+    for _, text, m in some:
+        words[tuple(m)] = words.get(tuple(m), 0) + len(text.split())
+        for s in m:
+            sizes[s] = sizes.get(s, 0) + len(text.split())
+    quota = {s: int(t) for s, t in mixing.shares(sizes, [1, 3, 2], 1.4, 2).items()}
+    names = sorted(quota)
+    cuts = [set(n for i, n in enumerate(names) if c >> i & 1) for c in range(1 << len(names))]
+    bound = lambda times: min(sum(q for s, q in quota.items() if s not in c) + sum(times * w for m, w in words.items() if c & set(m)) for c in cuts)
+    assert sum(r["taken"] for r in got) == bound(2)
+    taken = {}
+    for r in got:
+        taken[tuple(r["m"])] = taken.get(tuple(r["m"]), 0) + r["taken"]
+    assert sum(min(w, taken[m]) for m, w in words.items()) == bound(1)  # nothing is repeated while fresh words are left
