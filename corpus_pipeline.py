@@ -37,8 +37,8 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a row for each time that a document goes in, always whole."""
-    mix = mixing.mixed(docs, F.array("source"), mixing.word_count(F.col("text")), weights=WEIGHTS, share=SHARE, most=REPEATS, seed=11)
-    return mixing.repeated(mix, docs.columns)
+    return mixing.mixed_documents(
+        docs, F.array("source"), mixing.word_count(F.col("text")), weights=WEIGHTS, share=SHARE, most=REPEATS, seed=11)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
