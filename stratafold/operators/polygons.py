@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.functions.ordered import next_in_ring, running_totals
+from stratafold.functions.ordered import next_in_ring
 
 
 def edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,6 +23,19 @@ def polygon_area(edge_rows: DataFrame, keys: list[str]) -> DataFrame:
 ROW_BAND = 32
 
 
+def _sloped(edge_rows: DataFrame, keys: list[str], height: int) -> DataFrame:
+    """Edges that cross rows of the canvas, with the first and last row that they cross (half-open)."""
+    low = F.greatest(F.ceil(F.least("y1", "y2")), F.lit(0))
+    high = F.least(F.ceil(F.greatest("y1", "y2")) - 1, F.lit(height - 1))
+    return edge_rows.filter(F.col("y1") != F.col("y2")).select(*keys, "y1", "x1", "y2", "x2", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+
+
+def _flip_columns(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``(keys, y, c)``: pixels left of column ``c`` flip; one row per crossing of an edge and a row."""
+    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif((F.col("y2") - F.col("y1")).cast("double"), F.lit(0.0))
+    return rows.select(*keys, "y", F.least(F.greatest(F.ceil(at), F.lit(0)), F.lit(width)).alias("c")).filter("c > 0")
+
+
 def row_spans(edge_rows: DataFrame, keys: list[str], height: int, width: int, wanted: DataFrame | None = None) -> DataFrame:
     """Even-odd fill as half-open spans ``[x_from, x_to)`` per (polygon, row).
 
@@ -32,9 +45,7 @@ def row_spans(edge_rows: DataFrame, keys: list[str], height: int, width: int, wa
 
     ``wanted(scope.., y)`` limits the rows to those that are asked about: edges meet them by equality on bands of rows.
     """
-    low = F.greatest(F.ceil(F.least("y1", "y2")), F.lit(0))
-    high = F.least(F.ceil(F.greatest("y1", "y2")) - 1, F.lit(height - 1))
-    sloped = edge_rows.filter(F.col("y1") != F.col("y2")).select(*keys, "y1", "x1", "y2", "x2", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    sloped = _sloped(edge_rows, keys, height)
     if wanted is None:
         rows = sloped.withColumn("y", F.explode(F.sequence("_low", "_high")))
     else:
@@ -42,9 +53,7 @@ def row_spans(edge_rows: DataFrame, keys: list[str], height: int, width: int, wa
         asked = wanted.distinct().withColumn("_band", F.floor(F.col("y") / ROW_BAND))
         banded = sloped.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_low") / ROW_BAND), F.floor(F.col("_high") / ROW_BAND))))
         rows = banded.join(asked, [*scope, "_band"]).filter((F.col("y") >= F.col("_low")) & (F.col("y") <= F.col("_high")))
-    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif((F.col("y2") - F.col("y1")).cast("double"), F.lit(0.0))
-    column = F.least(F.greatest(F.ceil(at), F.lit(0)), F.lit(width))
-    flips = rows.select(*keys, "y", column.alias("c")).groupBy(*keys, "y", "c").agg(F.count("*").alias("n")).filter("n % 2 = 1 AND c > 0")
+    flips = _flip_columns(rows, keys, width).groupBy(*keys, "y", "c").agg(F.count("*").alias("n")).filter("n % 2 = 1")
     # Reading from the right: a pixel is inside when an odd number of flips lies beyond it.
     w = Window.partitionBy(*keys, "y").orderBy(F.col("c").desc())
     spans = flips.withColumn("_rank", F.row_number().over(w)).withColumn("_next", F.lead("c").over(w))
@@ -59,18 +68,68 @@ def points_in(points: DataFrame, spans: DataFrame, scope: list[str]) -> DataFram
     return points.join(spans, [*scope, "y"]).filter((F.col("x") >= F.col("x_from")) & (F.col("x") < F.col("x_to"))).drop("x_from", "x_to")
 
 
-def counts_in(weights: DataFrame, spans: DataFrame, scope: list[str], key: str, weight: str = "n") -> DataFrame:
+MASK_WORDS = 8
+MASK_BITS = 64 * MASK_WORDS
+
+
+def _word(place: Column, j: int) -> Column:
+    """The bit of a pixel in word ``j`` of its tile, 0 when it lies in another word."""
+    word = F.shiftright(place.bitwiseAND(MASK_BITS - 1), 6)
+    return F.when(word == j, _shifted(place)).otherwise(F.lit(0).cast("long"))
+
+
+def _shifted(place: Column) -> Column:
+    """The bit of a pixel in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+
+
+def row_masks(edge_rows: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """Even-odd fill as bitmaps: ``(keys, y, tile, inside)``, where ``inside`` is an array of ``MASK_WORDS`` longs whose bits are the pixels
+    ``tile * MASK_BITS ..`` of the row. It covers the pixels of ``row_spans``.
+
+    A crossing turns all pixels left of it, so a row of a polygon is the exclusive or of its crossings' masks: an aggregate of fixed size,
+    combined before its only shuffle, however many vertices the polygon has.
+    """
+    rows = _sloped(edge_rows, keys, height).withColumn("y", F.explode(F.sequence("_low", "_high")))
+    bit = (F.col("c") - 1).cast("long")  # the last pixel that turns
+    flips = _flip_columns(rows, keys, width).select(*keys, F.col("y").cast("long").alias("y"), F.floor(bit / MASK_BITS).cast("int").alias("tile"),
+                                                    bit.bitwiseAND(MASK_BITS - 1).alias("_bit"))
+    words = [f"_w{j}" for j in range(MASK_WORDS)]
+    everything = F.lit(-1).cast("long")
+    turned = flips.groupBy(*keys, "y", "tile").agg(F.bit_xor(everything).alias("_all"), *[F.bit_xor(
+        F.when(F.col("_bit") >= 64 * j, F.call_function("shiftrightunsigned", everything, F.greatest(F.lit(64 * j + 63) - F.col("_bit"), F.lit(0)).cast("int"))).otherwise(
+            F.lit(0).cast("long"))).alias(w) for j, w in enumerate(words)])
+    if width > MASK_BITS:  # a crossing turns all tiles left of its own as well, those without crossings too
+        spread = turned.withColumn("_to", F.explode(F.sequence(F.lit(0), "tile")))
+        turned = spread.groupBy(*keys, "y", F.col("_to").alias("tile")).agg(
+            *[F.bit_xor(F.when(F.col("_to") == F.col("tile"), F.col(w)).otherwise(F.col("_all"))).alias(w) for w in words])
+    return turned.filter(" OR ".join(f"{w} <> 0" for w in words)).select(*keys, "y", "tile", F.array(*words).alias("inside"))
+
+
+def points_in_masks(points: DataFrame, masks: DataFrame, scope: list[str]) -> DataFrame:
+    """Points at whole pixels joined to every polygon of the same scope that covers them: equality on (scope, row, tile), then one bit."""
+    tiled = points.withColumn("tile", F.floor(F.col("x") / MASK_BITS).cast("int"))
+    place = F.col("x").cast("long").bitwiseAND(MASK_BITS - 1)
+    word = F.get("inside", F.shiftright(place, 6).cast("int"))
+    return tiled.join(masks, [*scope, "y", "tile"]).filter(word.bitwiseAND(_shifted(place)) != 0).drop("tile", "inside")
+
+
+def counts_in_masks(weights: DataFrame, masks: DataFrame, scope: list[str], key: str, weight: str = "n") -> DataFrame:
     """Summed weight of the whole-pixel points inside each polygon ``key``, without pairing points with polygons.
 
-    A span's weight is the running total of its row at its end less that at its beginning, so points and span ends are put into
-    one order and summed once. ``weights(scope.., y, x, weight)``; the result is ``(key, weight)``, polygons without points left out.
+    A row's weights become bitmaps of their binary digits, one per digit that occurs; what a polygon has of a row is then the number of
+    bits common to both, times the digit's value. ``weights(scope.., y, x, weight)`` holds each pixel once and no negative weight;
+    the result is ``(key, weight)``, polygons without points left out.
     """
-    ends = [spans.select(*scope, "y", F.col(c).cast("long").alias("x"), F.col(key).alias("_key"), F.lit(s).alias("_sign")) for c, s in (("x_from", -1), ("x_to", 1))]
-    marks = ends[0].unionByName(ends[1]).withColumn("_n", F.lit(0).cast("long")).withColumn("_point", F.lit(0))
-    points = weights.select(*scope, "y", F.col("x").cast("long").alias("x"), F.col(weight).cast("long").alias("_n")).withColumn("_point", F.lit(1))
-    rows = marks.unionByName(points, allowMissingColumns=True)  # a boundary comes before the points of its column
-    summed = running_totals(rows, [*scope, "y"], [F.col("x"), F.col("_point"), F.col("_key"), F.col("_sign")], {"_total": F.col("_n")})
-    return summed.filter("_point = 0").groupBy(F.col("_key").alias(key)).agg(F.sum(F.col("_sign") * F.col("_total")).alias(weight)).filter(F.col(weight) > 0)
+    words = [f"_p{j}" for j in range(MASK_WORDS)]
+    n = F.col(weight).cast("long")
+    digits = F.filter(F.sequence(F.lit(0), F.floor(F.log2(n.cast("double"))).cast("int") + 1), lambda d: F.call_function("getbit", n, F.least(d, F.lit(63))) == 1)
+    tiled = weights.filter(F.col(weight) > 0).select(*scope, "y", F.floor(F.col("x") / MASK_BITS).cast("int").alias("tile"), F.col("x").cast("long").alias("_x"),
+                                                     F.explode(digits).alias("_digit"))
+    planes = tiled.groupBy(*scope, "y", "tile", "_digit").agg(*[F.bit_or(_word(F.col("_x"), j)).alias(w) for j, w in enumerate(words)])
+    common = sum((F.bit_count(F.get("inside", F.lit(j)).bitwiseAND(F.col(w))).cast("long") for j, w in enumerate(words)), F.lit(0).cast("long"))
+    value = F.call_function("shiftleft", common, F.col("_digit"))
+    return masks.join(planes, [*scope, "y", "tile"]).groupBy(key).agg(F.sum(value).alias(weight)).filter(F.col(weight) > 0)
 
 
 def covered(points: DataFrame, spans: DataFrame, scope: list[str], name: str = "covered") -> DataFrame:

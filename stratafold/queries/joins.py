@@ -13,8 +13,8 @@ from stratafold.registry import query
 C = F.col
 
 
-def _spans(spark, folder):
-    return polygons.row_spans(polygons.edges(fx.verts(spark, folder), ["k", "region"]), ["k", "region"], 480, 480)
+def _masks(spark, folder):
+    return polygons.row_masks(polygons.edges(fx.verts(spark, folder), ["k", "region"]), ["k", "region"], 480, 480)
 
 
 def _points(spark, folder):
@@ -23,7 +23,7 @@ def _points(spark, folder):
 
 @query("point_in_polygon_j1", "inside_pairs", "SELECT k, y, x, region FROM inside_pairs")
 def point_in_polygon(spark, folder):
-    return polygons.points_in(_points(spark, folder), _spans(spark, folder), ["k"]).select("k", "y", "x", "region")
+    return polygons.points_in_masks(_points(spark, folder), _masks(spark, folder), ["k"]).select("k", "y", "x", "region")
 
 
 @query("cells_per_polygon_j2", "inside_pairs cells", """
@@ -31,12 +31,12 @@ SELECT i.region, count(*) AS cells FROM inside_pairs i JOIN cells c ON c.k = i.k
 def cells_per_polygon(spark, folder):
     """A cell in two outlines counts in both: cells are tallied per pixel first, then summed over the outlines."""
     weight = fx.cells(spark, folder).groupBy("k", "y", "x").agg(F.count("*").alias("n"))
-    return polygons.counts_in(weight, _spans(spark, folder), ["k"], "region").withColumnRenamed("n", "cells")
+    return polygons.counts_in_masks(weight, _masks(spark, folder), ["k"], "region").withColumnRenamed("n", "cells")
 
 
 @query("first_region_j2", "inside_pairs", "SELECT k, y, x, min(region) AS region, count(*) - 1 AS shared FROM inside_pairs GROUP BY k, y, x")
 def first_region(spark, folder):
-    return polygons.points_in(_points(spark, folder), _spans(spark, folder), ["k"]).groupBy("k", "y", "x").agg(
+    return polygons.points_in_masks(_points(spark, folder), _masks(spark, folder), ["k"]).groupBy("k", "y", "x").agg(
         F.min("region").alias("region"), (F.count("*") - 1).alias("shared"))
 
 
