@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from stratafold.session import cut_lineage
 
-CHUNK = 4096
-
-
-def chunked(sequence: Column, size: int = CHUNK) -> Column:
-    """Chunk of an integer sequence that is unique within its group: no chunk holds more than ``size`` rows."""
-    return F.floor(sequence / F.lit(size))
-
-
 def running_totals(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column]) -> DataFrame:
     """Exact inclusive running sums per group in the given total order, with no task holding a whole group.
 
@@ -37,17 +29,18 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], totals:
 def next_in_ring(vertices: DataFrame, keys: list[str], sequence: str, values: list[str]) -> DataFrame:
     """``next_<value>`` of the following vertex, the last one wrapping to the first.
 
-    Vertices are windowed in chunks of the sequence, so a polygon that holds a third of all rows is many small windows;
-    only the first vertex of each chunk goes through the per-polygon window.
+    Vertices are range-partitioned on (keys, sequence), so a polygon that holds a third of all rows spans many tasks whatever its vertex
+    numbers are; the placement is checkpointed, as in ``running_totals``. Only the first vertex of each (polygon, task) goes through the
+    window over a polygon.
     """
-    rows = vertices.withColumn("_chunk", chunked(F.col(sequence)))
+    placed = cut_lineage(vertices.repartitionByRange(*[F.col(k) for k in keys], F.col(sequence)).withColumn("_part", F.spark_partition_id()))
     packed = F.struct(*values)
-    heads = rows.groupBy(*keys, "_chunk").agg(F.min_by(packed, sequence).alias("_head"))
-    ring = Window.partitionBy(*keys).orderBy("_chunk")
+    ring = Window.partitionBy(*keys).orderBy("_part")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(*keys, "_chunk", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)).alias("_after"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(sequence)
-    led = rows.withColumn("_next", F.lead(packed).over(inside)).join(heads, [*keys, "_chunk"])
+    heads = placed.groupBy(*keys, "_part").agg(F.min_by(packed, sequence).alias("_head"))
+    heads = heads.select(*keys, "_part", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)).alias("_after"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(sequence)
+    led = placed.withColumn("_next", F.lead(packed).over(inside)).join(heads, [*keys, "_part"])
     nxt = F.coalesce(F.col("_next"), F.col("_after"))
     return led.select(*vertices.columns, *[nxt[v].alias(f"next_{v}") for v in values])
 

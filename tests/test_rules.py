@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import ordered, scalars
 from stratafold.functions.sequential import column_distances, path_through, tile_components
-from stratafold.operators import borders, components, matching, metrics, tables
+from stratafold.operators import borders, components, matching, metrics, polygons, tables
 from stratafold.sources import sinks
 
 
@@ -314,3 +314,41 @@ def test_a_path_begins_anew_behind_rays_without_usable_cells():
     assert got["total"].iloc[0] == 2.0 and got["step"].tolist()[3:] == [3, 4]
     flat = path_through(pd.DataFrame([(0, r, s, 0.0, True) for r in range(3) for s in range(4)], columns=["image", "ray", "step", "score", "usable"]), 1)
     assert flat["step"].tolist() == [2, 1, 0]
+
+
+def _inside(ring, y, x):
+    """Even-odd membership of a pixel, edge by edge."""
+    odd = False
+    for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (y1 <= y) != (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+            odd = not odd
+    return odd
+
+
+def test_masks_of_wide_canvases_equal_the_even_odd_rule(spark):
+    draw = np.random.default_rng(7)
+    width, height = 1300, 24  # three tiles
+    rings = {r: [(int(a), int(b)) for a, b in zip(draw.integers(0, height, 9), draw.integers(0, width, 9), strict=True)] for r in range(6)}
+    rings[6] = [(2, 1200), (20, 1200), (20, 1290), (2, 1290)]  # leaves whole tiles without crossings
+    rings[7] = [(0, 0), (23, 0), (23, 1400), (0, 1400)]  # reaches beyond the canvas
+    verts = spark.createDataFrame([(r % 2, r, i * 1_000_003, y, x) for r, ring in rings.items() for i, (y, x) in enumerate(ring)],
+                                  "k long, region long, vertex long, y long, x long")
+    weights = [(k, y, x, int(draw.integers(1, 9))) for k in (0, 1) for y in range(height) for x in range(0, width, 7)]
+    points = spark.createDataFrame(weights, "k long, y long, x long, n long")
+    masks = polygons.row_masks(polygons.edges(verts, ["k", "region"]), ["k", "region"], height, width)
+    want = {(r, y, x): n for r, ring in rings.items() for k, y, x, n in weights if k == r % 2 and _inside(ring, y, x)}
+    got = {(p.region, p.y, p.x): p.n for p in polygons.points_in_masks(points, masks, ["k"]).collect()}
+    assert got == want
+    sums = {r.region: r.n for r in polygons.counts_in_masks(points, masks, ["k"], "region").collect()}
+    assert sums == {r: s for r in rings if (s := sum(n for (q, _, _), n in want.items() if q == r))}
+
+
+def test_ring_of_a_huge_polygon_with_sparse_numbers(spark):
+    """A third of all rows in one polygon whose vertex numbers lie far apart, small polygons beside it."""
+    rows = spark.range(3000).select(F.lit(-1).alias("p"), (F.col("id") * F.lit(10_000_019)).alias("vertex"), F.col("id").alias("y"), (-F.col("id")).alias("x"))
+    rows = rows.unionByName(spark.range(6000).select((F.col("id") % 500).cast("int").alias("p"), F.col("id").alias("vertex"), F.col("id").alias("y"), (-F.col("id")).alias("x")))
+    led = ordered.next_in_ring(rows, ["p"], "vertex", ["y", "x"])
+    got = {(r.p, r.y): r.next_y for r in led.collect()}
+    assert len(got) == 9000 and all(r.next_x == -r.next_y for r in led.filter("p < 20").collect())
+    assert all(got[-1, i] == (i + 1) % 3000 for i in range(3000))
+    assert all(got[i % 500, i] == (i + 500 if i < 5500 else i % 500) for i in range(6000))
