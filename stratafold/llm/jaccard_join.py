@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import mixed, stored, utf8
+from stratafold.llm.common import mixed, one_by_one, stored, utf8
 from stratafold.llm.words import distinct, grams, lowered, slices, word_hashes
 from stratafold.operators.components import star_roots
 
@@ -197,12 +197,20 @@ def _allowed(a, b, percent: int):
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``p, rep`` whose sizes and bitmaps allow a link."""
     facts = classes.select("rep", "size", "bitmap")
-    both = pairs.join(facts.toDF("a", "an", "abits"), "a").join(facts.toDF("b", "bn", "bbits"), "b")
-    apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = pairs.join(facts.toDF("p", "an", "abits"), "p").join(facts.toDF("rep", "bn", "bbits"), "rep")
+    narrow = F.least(F.size("abits"), F.size("bbits"))
+
+    def folded(bits: str):  # a bitmap of twice the width as that of the half: n-grams that fall together cancel as they would there
+        halves = F.zip_with(F.slice(bits, F.lit(1), narrow), F.slice(bits, narrow + 1, narrow), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) == 2 * narrow, halves).otherwise(F.col(bits))
+
+    apart = F.aggregate(F.zip_with(folded("abits"), folded("bbits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     least = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
-    unlike = (F.size("abits") == F.size("bbits")) & (apart > F.col("an") + F.col("bn") - 2 * least)  # of two widths: compared on full sets
-    return both.filter(~unlike).select("a", "b")
+    comparable = F.greatest(F.size("abits"), F.size("bbits")) <= 2 * narrow  # others are compared on full sets
+    unlike = comparable & (apart > F.col("an") + F.col("bn") - 2 * least)
+    return both.filter(~unlike).select("p", "rep")
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -235,10 +243,54 @@ def _met(classes: DataFrame, limit: int) -> DataFrame:
     return entries.join(lists.select("gram", "p", F.explode("salts").alias("salt")), ["gram", "salt"]).select("gram", "rep", "size", "p")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def _once(batches):
+    """Each key's text once per task, so that a row repeated any number of times does not travel as often."""
+    seen: set[int] = set()
+    for batch in one_by_one(batches):
+        keys = batch["key"].to_pylist()
+        at = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        yield batch.take(pa.array(at, pa.int64()))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links ``a, b`` among pairs ``p, rep``, on full sets.
+
+    Texts travel, not sets: those that ``p`` is compared with come in parts of about ``TILE``, each behind the text of ``p``. The rows of
+    a part are streamed in that order, so a task holds the set of ``p`` and a batch of others.
+    """
+    parts = pairs.groupBy("p").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    dealt = stored(pairs.join(parts, "p").select("p", "rep", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part")), "dealt")
+    heads = dealt.select("p", "part").distinct().select("p", F.col("p").alias("rep"), "part", F.lit(0).alias("side"))
+    wanted = heads.unionByName(dealt.withColumn("side", F.lit(1))).join(classes.select("rep", "key"), "rep")
+    wanted = stored(wanted, "wanted")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+        texts = texts.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi")
+    unit = ["p", "part"]
+    rows = texts.mapInArrow(_once, texts.schema).join(wanted, "key").select(*unit, "side", "rep", "text")
+    placed = rows.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit, "side", "rep")
+
+    def compare(batches):
+        head = own = last = None
+        for batch in one_by_one(batches):
+            p, part, side, rep = (batch[c].to_pylist() for c in ("p", "part", "side", "rep"))
+            found = []
+            for a, b, doc, hashes in _sets(batch, n):
+                limits = np.searchsorted(doc, np.arange(b - a + 1))
+                for i in range(a, b):
+                    mine = hashes[limits[i - a]:limits[i - a + 1]]
+                    if side[i] == 0:
+                        head, own, last = mine.copy(), (p[i], part[i]), None
+                    elif own == (p[i], part[i]) and rep[i] != last:  # a repeated row follows its like
+                        last = rep[i]
+                        at = np.minimum(np.searchsorted(head, mine), len(head) - 1)
+                        common = int((head[at] == mine).sum())
+                        if 100 * common >= percent * (len(head) + len(mine) - common):
+                            found.append((min(p[i], last), max(p[i], last)))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return placed.mapInArrow(compare, "a long, b long")
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -384,10 +436,11 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, limit: int
     # a small set is in lists only where a large one may be its partner
     entries = _met(classes.filter(F.col("size") >= least_partner(limit + 1, percent)), limit)
     met = stored(entries, "entries")
-    stars = met.filter(F.col("rep") != F.col("p.rep")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-    possible = stored(_possible(stars.join(small, ["a", "b"], "left_anti"), classes, percent), "possible")
-    sets = stored(full_sets(named, possible.select(F.col("a").alias("rep")).union(possible.select("b")).distinct(), classes, n), "sets")
-    links = stored(small.unionByName(_confirmed(possible, sets, percent)), "links")
+    near = 100 * F.least("size", "p.size") >= percent * F.greatest("size", "p.size")  # a set shares no more than the smaller one has
+    stars = met.filter((F.col("rep") != F.col("p.rep")) & near).select(F.col("p.rep").alias("p"), "rep").distinct()  # the smaller set, then the smaller rep, is p
+    linked = small.select(F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("rep")), F.struct(F.col("b").alias("p"), F.col("a").alias("rep")))).alias("l")).select("l.*")
+    possible = stored(_possible(stars.join(linked, ["p", "rep"], "left_anti"), classes, percent), "possible")
+    links = stored(small.unionByName(_confirmed(possible, named, classes, n, percent)), "links")
     roots = _roots(links)
     more = stored(_across(met.select("gram", "rep"), roots, classes, named, n, percent), "links")
     if not more.isEmpty():
