@@ -77,19 +77,21 @@ def section_table(listing: DataFrame) -> DataFrame:
 def resolve_fragments(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     """``wanted(fragment)`` to the one section it names: an exact stem wins, else a fragment found in exactly one stem.
 
-    Exact names are an equality join. The rest meet the stems' substrings by equality as well - a name has a bounded number
-    of them - so no fragment is compared with every stem.
+    Exact names are an equality join. The rest meet the stems' substrings by equality as well - of the lengths that are asked for,
+    each distinct one counted once with its stems - so no fragment is compared with every stem. The planner takes the substrings
+    for as small as the stems, so their join is held to a shuffle; by their guessed size they would go through the driver.
     """
     asked = wanted.select("fragment").distinct()
     exact = asked.join(sections.select(F.col("stem").alias("fragment"), F.col("stem")).distinct(), "fragment")
-    rest = asked.join(exact.select("fragment"), "fragment", "left_anti")
-    stems = sections.select("stem").distinct()
+    rest = asked.join(exact.select("fragment"), "fragment", "left_anti").withColumn("piece", F.lower("fragment"))
+    lengths = rest.agg(F.collect_set(F.length("piece")).alias("_lengths"))  # one row, no longer than the longest name
+    stems = sections.select("stem").distinct().withColumn("name", F.lower("stem"))
     spread = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("name")),
+        F.filter("_lengths", lambda n: n <= F.length("name")),
         lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda at: F.substr("name", at, n)))))
-    pieces = stems.withColumn("name", F.lower("stem")).filter("length(name) > 0").select("stem", F.explode(spread).alias("piece"))
-    found = rest.withColumn("piece", F.lower("fragment")).join(pieces, "piece", "left")
-    partial = found.groupBy("fragment").agg(F.count("stem").alias("matches"), F.min("stem").alias("stem"))
+    pieces = stems.crossJoin(F.broadcast(lengths)).select("stem", F.explode(spread).alias("piece"))
+    named = pieces.groupBy("piece").agg(F.count("stem").alias("matches"), F.min("stem").alias("stem"))
+    partial = rest.join(named.hint("merge"), "piece", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return exact.select("fragment", F.lit(1).cast("long").alias("matches"), "stem").unionByName(
         partial.select("fragment", "matches", F.when(F.col("matches") == 1, F.col("stem")).alias("stem")))
 
