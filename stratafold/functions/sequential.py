@@ -33,6 +33,34 @@ def path_through(pdf: pd.DataFrame, slope: int) -> pd.DataFrame:
     return pd.DataFrame({"image": pdf["image"].iloc[0], "ray": np.arange(len(own)), "step": list(walk)[::-1], "total": float(ends.max())})
 
 
+def filled_pixels(lists: pd.Series, height: int, width: int) -> pd.Series:
+    """Whole pixels inside each closed polygon, given as a flat list ``y1, x1, y2, x2, ..`` of its edges, by the even-odd rule.
+
+    An edge crosses row ``y`` when exactly one end is at or above it; read from the right, crossings are added and taken off in turn.
+    Polygons are taken in portions of a bounded number of crossings.
+    """
+    portion = np.cumsum(lists.map(len).to_numpy("int64") // 4 * height) >> 20
+    return pd.concat([_filled_portion(some, height, width) for _, some in lists.groupby(portion)]) if len(lists) else pd.Series([], dtype="int64")
+
+
+def _filled_portion(lists: pd.Series, height: int, width: int) -> pd.Series:
+    sizes = lists.map(len).to_numpy("int64") // 4
+    y1, x1, y2, x2 = (np.concatenate([np.asarray(v, "int64") for v in lists]).reshape(-1, 4).T if sizes.sum() else np.zeros((4, 0), "int64"))
+    low, high = np.maximum(np.minimum(y1, y2), 0), np.minimum(np.maximum(y1, y2), height)
+    rows = np.maximum(high - low, 0)
+    edge = np.repeat(np.arange(len(rows)), rows)
+    y = np.arange(len(edge)) - np.repeat(np.cumsum(rows) - rows, rows) + low[edge]
+    at = x1[edge] + (y - y1[edge]) * (x2 - x1)[edge] / (y2 - y1)[edge].astype("float64")
+    c = np.clip(np.ceil(at), 0, width).astype("int64")
+    ring = np.repeat(np.arange(len(sizes)), sizes)[edge]
+    code = np.sort((ring * height + y) * (width + 1) + width - c)  # rows one after another, each from the right
+    line = code // (width + 1)
+    opens = np.flatnonzero(np.r_[True, np.diff(line) != 0][:len(line)])
+    place = np.arange(len(code)) - np.repeat(opens, np.diff(np.r_[opens, len(code)]))
+    signed = np.where(place % 2 == 0, 1, -1) * (width - code % (width + 1))
+    return pd.Series(np.bincount(line // height, signed, len(sizes)).astype("int64"), lists.index)
+
+
 def column_distances(pdf: pd.DataFrame) -> pd.DataFrame:
     """Second pass of the exact distance transform for a band of columns: min over rows of row distance squared plus dy squared."""
     y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())

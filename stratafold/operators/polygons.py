@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.functions.ordered import next_in_ring
+from stratafold.functions.sequential import filled_pixels
 
 
 def edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,6 +62,24 @@ def row_spans(edge_rows: DataFrame, keys: list[str], height: int, width: int, wa
     return spans.filter("_rank % 2 = 1").select(*keys, F.col("y").cast("long").alias("y"), F.coalesce("_next", F.lit(0)).alias("x_from"), F.col("c").alias("x_to"))
 
 
+def drawn_pixels(edge_rows: DataFrame, keys: list[str], height: int, width: int, most: int = 256) -> DataFrame:
+    """``(keys, pixels)``: the pixels of ``row_spans`` of each closed polygon with whole coordinates, summed; polygons without any may be absent.
+
+    Edges are counted first. A polygon of at most ``most`` edges is one row that holds them, and its rows of pixels are made and added up
+    inside a task, so what is shuffled is edges. Larger ones go through ``row_spans``, which never gathers a polygon.
+    """
+    flat = edge_rows.filter("y1 <> y2 AND x1 IS NOT NULL AND x2 IS NOT NULL").select(*keys, F.array("y1", "x1", "y2", "x2").alias("_edge"))
+    counted = flat.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys)
+    small = flat.join(counted, keys, "left_anti").groupBy(*keys).agg(F.flatten(F.collect_list("_edge")).alias("_edges"))
+
+    @F.pandas_udf("long")
+    def filled(lists: pd.Series) -> pd.Series:
+        return filled_pixels(lists, height, width)
+
+    large = row_spans(edge_rows.join(counted, keys, "left_semi"), keys, height, width).groupBy(*keys).agg(F.sum(F.col("x_to") - F.col("x_from")).alias("pixels"))
+    return small.select(*keys, filled("_edges").alias("pixels")).unionByName(large)
+
+
 def points_in(points: DataFrame, spans: DataFrame, scope: list[str]) -> DataFrame:
     """Points at whole pixels joined to every polygon of the same scope that covers them.
 

@@ -431,7 +431,7 @@ sh AS (SELECT section_id, abs(sum(y1 * x2 - x1 * y2)) / 2.0 AS area FROM outline
 SELECT sh.section_id, coalesce(px.pixels, 0) AS pixels, sh.area, round(coalesce(px.pixels, 0) / nullif(sh.area, 0) - 1, 6) AS drift FROM sh LEFT JOIN px USING (section_id)""")
 def canvas_drift(spark, folder):
     e = polygons.edges(fx.outlines(spark, folder), ["section_id"])
-    drawn = polygons.row_spans(e, ["section_id"], 480, 480).groupBy("section_id").agg(F.sum(F.col("x_to") - F.col("x_from")).alias("pixels"))
+    drawn = polygons.drawn_pixels(e, ["section_id"], 480, 480)
     exact = polygons.polygon_area(e, ["section_id"]).drop("vertices")
     pixels = F.coalesce("pixels", F.lit(0))
     return exact.join(drawn, "section_id", "left").select(
