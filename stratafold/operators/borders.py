@@ -222,9 +222,12 @@ def extend_strips(border: DataFrame, min_rays: int = 3, order: int = 1) -> DataF
     return each.select("image", "r.ray", F.element_at("_stops", F.col("i") + 1).cast(kind).alias("stop"), "r.width", "r.on_strip").select(*columns)
 
 
-def straighten(border: DataFrame, segments: int, inward: float = 0.0, slide_rays: int = 0) -> DataFrame:
-    """Each block of rays becomes a straight line through its found stops (three at least), optionally slid inwards."""
-    n = F.count("*").over(section())
+def straighten(border: DataFrame, segments: int, inward: float = 0.0, slide_rays: int = 0, rays: int | None = None) -> DataFrame:
+    """Each block of rays becomes a straight line through its found stops (three at least), optionally slid inwards.
+
+    Blocks are shares of the canvas' ``rays``, or of the rays that are there.
+    """
+    n = F.count("*").over(section()) if rays is None else F.lit(rays)
     block = F.floor(ray() * segments / n)
     usable = F.col("found") & (stop() < F.col("width"))
     piece = Window.partitionBy("image", "_block")
@@ -271,10 +274,11 @@ def wall_is_interior(border: DataFrame, table: DataFrame, reach: int, share: flo
     return border.join(beyond, ["image", "ray"], "left").withColumn("interior", F.coalesce("interior", F.lit(False)))
 
 
-def _taper_side(border: DataFrame, outward: bool, least: int, most: int, margin: int) -> DataFrame:
+def _taper_side(border: DataFrame, outward: bool, least: int, most: int, margin: int, rays: int | None) -> DataFrame:
     """Close one end: a flap of edge-walled rays becomes the tangent from zero at the end of the fan."""
-    n = F.count("*").over(section())
-    index = F.row_number().over(section().orderBy(ray() if outward else ray().desc())) - 1
+    n = F.count("*").over(section()) if rays is None else F.lit(rays)
+    counted = F.row_number().over(section().orderBy(ray() if outward else ray().desc())) - 1
+    index = counted if rays is None else ray() if outward else rays - 1 - ray()
     marked = border.withColumn("_n", n).withColumn("_i", index)
     scan = section().orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("_open", F.bool_and("past").over(scan)).withColumn("_flap", F.count_if("_open").over(section()))
@@ -287,11 +291,14 @@ def _taper_side(border: DataFrame, outward: bool, least: int, most: int, margin:
     return marked.withColumn("stop", closed).drop("_n", "_i", "_open", "_flap", "_fires", "_k", "_t")
 
 
-def taper_ends(border: DataFrame, least: int, most: int, margin: int) -> DataFrame:
-    """Ramp both ends to zero past the end of the separation; ``past`` marks rays whose wall is the section's outside."""
+def taper_ends(border: DataFrame, least: int, most: int, margin: int, rays: int | None = None) -> DataFrame:
+    """Ramp both ends to zero past the end of the separation; ``past`` marks rays whose wall is the section's outside.
+
+    The ends are those of the canvas' ``rays``, or of the rays that are there.
+    """
     out = border.withColumn("stop", stop().cast("double"))
     for outward in (True, False):
-        out = _taper_side(out, outward, least, most, margin)
+        out = _taper_side(out, outward, least, most, margin, rays)
     return out.withColumn("stop", F.greatest(stop(), F.lit(0.0)))
 
 
