@@ -279,6 +279,7 @@ def border_coincidence(spark, folder):
     from stratafold.operators import raster as ra
 
     f = ft(spark, folder)
-    edge = ra.boundary(f, C("lab") == 1, H, W).join(ra.edge_distance(f, C("lab") != 2), ["image", "y", "x"])
+    far = ra.edge_distance(f, C("lab") != 2).filter("d2 IS NOT NULL")  # an image without the other region has no distance
+    edge = ra.boundary(f, C("lab") == 1, H, W).join(far, ["image", "y", "x"])
     um = F.sqrt("d2") * 8
     return edge.groupBy("image").agg(F.count("*").alias("pixels"), r(F.percentile(um, 0.5), "median_um", 4), r(F.avg((um <= 100).cast("int")), "within_100"))
