@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.operators.components import components, fill_holes, piece_nearest, sizes
+from stratafold.operators.moments import whole_moments
 
 PIXEL = ["image", "y", "x"]
 _CROSS = ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))
@@ -29,8 +30,7 @@ def half_planes(strips: DataFrame, centre: DataFrame, least: float, keep: float)
     """
     pieces = components(strips)
     box = sizes(pieces).filter(F.greatest(F.col("bottom") - F.col("top"), F.col("right") - F.col("left")) + 1 >= least).select("image", "component")
-    m = pieces.join(box, ["image", "component"]).groupBy("image", "component").agg(
-        F.avg("y").alias("ay"), F.avg("x").alias("ax"), F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("vyx"))
+    m = whole_moments(pieces.join(box, ["image", "component"]), "image", "component")
     angle = F.atan2(2 * F.col("vyx"), F.col("vx") - F.col("vy")) * 0.5
     lines = m.select("image", "ay", "ax", (-F.cos(angle)).alias("ny"), F.sin(angle).alias("nx")).join(centre, "image")
     lines = lines.withColumn("off", F.col("ny") * (F.col("cy") - F.col("ay")) + F.col("nx") * (F.col("cx") - F.col("ax")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.functions.sequential import tile_components
+from stratafold.operators.moments import whole_moments
 from stratafold.session import cut_lineage
 
 TILE = 512
@@ -145,8 +146,7 @@ def cut_at_strips(region: DataFrame, strips: DataFrame, centre: DataFrame, least
     """Keep the centre's side of the line through every strip piece at least ``least`` pixels long, at least ``keep`` off the centre."""
     pieces = components(strips, tile)
     box = sizes(pieces).filter(F.greatest(F.col("bottom") - F.col("top"), F.col("right") - F.col("left")) + 1 >= least)
-    m = pieces.join(box.select("image", "component"), ["image", "component"]).groupBy("image", "component").agg(
-        F.avg("y").alias("ay"), F.avg("x").alias("ax"), F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("vyx"))
+    m = whole_moments(pieces.join(box.select("image", "component"), ["image", "component"]), "image", "component")
     angle = F.atan2(2 * F.col("vyx"), F.col("vx") - F.col("vy")) * 0.5
     lines = m.select("image", "ay", "ax", (-F.cos(angle)).alias("ny"), F.sin(angle).alias("nx")).join(centre, "image")
     offset = F.col("ny") * (F.col("cy") - F.col("ay")) + F.col("nx") * (F.col("cx") - F.col("ax"))

@@ -10,6 +10,22 @@ from stratafold.operators.frames import signed_distance
 EDGE_SHARES = (0.10, 0.90)
 
 
+def whole_moments(pixels: DataFrame, *keys: str) -> DataFrame:
+    """``ay, ax, vy, vx, vyx``: means, variances and covariance of whole-number places from exact integer sums.
+
+    They do not depend on the order of the rows, so a straight or symmetric piece has a covariance of exactly zero.
+    """
+    y, x, n = F.col("y").cast("decimal(10,0)"), F.col("x").cast("decimal(10,0)"), F.col("_n").cast("decimal(12,0)")
+    s = pixels.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(e).cast("decimal(18,0)").alias(a) for a, e in (
+        ("_y", y), ("_x", x), ("_yy", y * y), ("_xx", x * x), ("_yx", y * x))])
+
+    def spread(both: str, a: str, b: str) -> Column:
+        return (n * F.col(both) - F.col(a) * F.col(b)).cast("double") / (F.col("_n") * F.col("_n"))
+
+    return s.select(*keys, (F.col("_y").cast("double") / F.col("_n")).alias("ay"), (F.col("_x").cast("double") / F.col("_n")).alias("ax"),
+                    spread("_yy", "_y", "_y").alias("vy"), spread("_xx", "_x", "_x").alias("vx"), spread("_yx", "_y", "_x").alias("vyx"))
+
+
 def line_fit(pixels: DataFrame, *keys: str) -> DataFrame:
     """Total-least-squares line: centre and unit direction of the greatest spread, as a closed form of the second moments."""
     m = pixels.groupBy(*keys).agg(
