@@ -152,6 +152,16 @@ def counts_in_masks(weights: DataFrame, masks: DataFrame, scope: list[str], key:
     return masks.join(planes, [*scope, "y", "tile"]).groupBy(key).agg(F.sum(value).alias(weight)).filter(F.col(weight) > 0)
 
 
+def covered_by_masks(points: DataFrame, masks: DataFrame, scope: list[str], name: str = "covered") -> DataFrame:
+    """Distinct whole-pixel points with whether any polygon covers them: the masks of a row are combined before they meet its points."""
+    words = [F.bit_or(F.get("inside", F.lit(j))).alias(f"_w{j}") for j in range(MASK_WORDS)]
+    merged = masks.groupBy(*scope, "y", "tile").agg(*words).select(*scope, "y", "tile", F.array(*[f"_w{j}" for j in range(MASK_WORDS)]).alias("inside"))
+    place = F.col("x").cast("long").bitwiseAND(MASK_BITS - 1)
+    word = F.get("inside", F.shiftright(place, 6).cast("int"))
+    tiled = points.select(*scope, "y", "x").withColumn("tile", F.floor(F.col("x") / MASK_BITS).cast("int"))
+    return tiled.join(merged, [*scope, "y", "tile"], "left").select(*scope, "y", "x", F.coalesce(word.bitwiseAND(_shifted(place)) != 0, F.lit(False)).alias(name))
+
+
 def covered(points: DataFrame, spans: DataFrame, scope: list[str], name: str = "covered") -> DataFrame:
     """Distinct whole-pixel points with whether any span covers them, from changes of the cover along each row.
 
