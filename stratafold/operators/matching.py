@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.constants import HAND_PROBABILITY, MATCH_RADIUS
@@ -29,21 +29,40 @@ def farther_than(extra: DataFrame, existing: DataFrame, scope: list[str], radius
     return extra.join(close, [*scope, "y", "x"], "left_anti")
 
 
+def _code(d2: Column, dy: Column, dx: Column, radius: int) -> Column:
+    """A squared distance and an offset of whole pixels as one number in their order: its minimum is kept in place, that of a struct is sorted for."""
+    side = 2 * radius + 1
+    return ((d2 * side + dy + radius) * side + dx + radius).cast("long")
+
+
+def _decoded(code: Column, radius: int) -> tuple[Column, Column, Column]:
+    side = 2 * radius + 1
+    row = F.floor(code / side)
+    return F.floor(code / (side * side)), row % side - radius, code % side - radius
+
+
 def nearest_pixel(points: DataFrame, targets: DataFrame, scope: list[str], radius: int = MATCH_RADIUS) -> DataFrame:
     """Per distinct point pixel the nearest target within the radius; ties go to the smaller (y, x)."""
     pairs = near_pairs(points, targets, scope, radius)
-    return pairs.groupBy(*scope, "ly", "lx").agg(F.min(F.struct("d2", "ry", "rx")).alias("n")).select(
-        *scope, F.col("ly").alias("y"), F.col("lx").alias("x"), "n.d2", F.col("n.ry").alias("ty"), F.col("n.rx").alias("tx"))
+    code = _code(F.col("d2"), F.col("ry") - F.col("ly"), F.col("rx") - F.col("lx"), radius)
+    types = dict(pairs.dtypes)
+    d2, dy, dx = _decoded(F.col("n"), radius)
+    return pairs.groupBy(*scope, "ly", "lx").agg(F.min(code).alias("n")).select(
+        *scope, F.col("ly").alias("y"), F.col("lx").alias("x"), d2.cast(types["d2"]).alias("d2"),
+        (F.col("ly") + dy).cast(types["ry"]).alias("ty"), (F.col("lx") + dx).cast(types["rx"]).alias("tx"))
 
 
 def label_candidates(candidates: DataFrame, annotations: DataFrame, scope: list[str], radius: int = MATCH_RADIUS) -> DataFrame:
-    """Candidate pixels with ``label`` and ``duplicate``: the closest candidate of each annotation is 1, its other near ones are duplicates."""
+    """Candidate pixels with ``label`` and ``duplicate``: the closest candidate of each annotation is 1, its other near ones are duplicates.
+
+    The window over an annotation holds no more rows than its circle has pixels; the pairs are made once.
+    """
+    keys = [*scope, "y", "x"]
     near = nearest_pixel(candidates, annotations, scope, radius)
-    best = near.groupBy(*scope, "ty", "tx").agg(F.min(F.struct("d2", "y", "x")).alias("b"))
-    flagged = near.join(best, [*scope, "ty", "tx"]).select(
-        *scope, "y", "x", "d2", ((F.col("y") == F.col("b.y")) & (F.col("x") == F.col("b.x"))).alias("best"))
-    return candidates.select(*scope, "y", "x").distinct().join(flagged, [*scope, "y", "x"], "left").select(
-        *scope, "y", "x", F.when(F.col("best"), 1).otherwise(0).alias("label"), F.coalesce(~F.col("best"), F.lit(False)).alias("duplicate"),
+    code = _code(F.col("d2"), F.col("y") - F.col("ty"), F.col("x") - F.col("tx"), radius)
+    flagged = near.withColumn("best", code == F.min(code).over(Window.partitionBy(*scope, "ty", "tx"))).select(*keys, "d2", "best")
+    return candidates.select(*keys).distinct().join(flagged, keys, "left").select(
+        *keys, F.when(F.col("best"), 1).otherwise(0).alias("label"), F.coalesce(~F.col("best"), F.lit(False)).alias("duplicate"),
         F.sqrt("d2").alias("distance"))
 
 
