@@ -27,7 +27,9 @@ _FIELD = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _fields(line: Column) -> Column:
-    return F.transform(F.split(line, _FIELD, -1), lambda f: F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    """The fields of a line. Only a line with a quote needs the pattern, which looks ahead to the line's end at every comma."""
+    quoted = F.transform(F.split(line, _FIELD, -1), lambda f: F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 
 def _numbered(files: DataFrame, stem: Column) -> DataFrame:
@@ -67,23 +69,27 @@ def read_table(spark: SparkSession, kind: str, path: str, stem: Column | None =
     own = F.regexp_extract(name, r"^(.*?) [^/]*\.csv$", 1) if stem is None else stem
     rows = _numbered(files, own).filter((F.col("_place") > 0) & (F.trim("line") != ""))
     rows = rows.withColumn("fields", _fields(F.col("line"))).withColumn("row", F.col("_place") - 1)
-    columns, problems = [], [F.when(F.size("fields") != F.size("header"), F.concat(F.size("fields").cast("string"), F.lit(" fields under "), F.size("header").cast("string"), F.lit(" names")))]
+    raws, absent, columns, problems = [], [], [], [F.when(F.col("_size") != F.col("_names"), F.concat(F.col("_size").cast("string"), F.lit(" fields under "), F.col("_names").cast("string"), F.lit(" names")))]
     for field in schema.fields:
         names = ALIASES.get(field.name, (field.name,))
         at = F.coalesce(*[F.nullif(F.array_position("header", n), F.lit(0)) for n in names])
-        raw = F.nullif(F.trim(F.get("fields", (at - 1).cast("int"))), F.lit(""))
+        raws.append(F.nullif(F.trim(F.get("fields", (at - 1).cast("int"))), F.lit("")).alias(f"_raw_{field.name}"))
+        absent.append(at.isNull().alias(f"_no_{field.name}"))
+        raw, missing = F.col(f"_raw_{field.name}"), F.col(f"_no_{field.name}")
         value = raw.try_cast(field.dataType)
         if isinstance(field.dataType, (T.LongType, T.IntegerType)):  # 5.0 is a whole number too
             number = raw.try_cast("double")
             value = F.coalesce(value, F.when(number == F.rint(number), number.cast(field.dataType)))
         if field.name in ("vertex", "seq"):
-            value = F.when(at.isNull(), F.col("row")).otherwise(value)
+            value = F.when(missing, F.col("row")).otherwise(value)
         columns.append(value.alias(field.name))
-        problems.append(F.when(raw.isNotNull() & value.isNull(), F.lit(f"{field.name} cannot be read")))
+        problems.append(F.when(raw.isNotNull() & F.col(field.name).isNull(), F.lit(f"{field.name} cannot be read")))
         if field.name not in OPTIONAL:
-            problems.append(F.when(at.isNull(), F.lit(f"no column {field.name}")))
-    problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
-    return rows.select("stem", "row", *columns, problem.alias("problem"))
+            problems.append(F.when(missing, F.lit(f"no column {field.name}")))
+    # Each step is a projection of its own, so that a field is taken from its line, and read, once.
+    rows = rows.select("stem", "row", F.size("fields").alias("_size"), F.size("header").alias("_names"), *raws, *absent)
+    rows = rows.select("*", *columns)
+    return rows.select("stem", "row", *[f.name for f in schema.fields], F.nullif(F.concat_ws("; ", *problems), F.lit("")).alias("problem"))
 
 
 def good_rows(read: DataFrame) -> DataFrame:
