@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,6 +62,50 @@ def _filled_portion(lists: pd.Series, height: int, width: int) -> pd.Series:
     return pd.Series(np.bincount(line // height, signed, len(sizes)).astype("int64"), lists.index)
 
 
+def ring_masks(batch: pa.RecordBatch, keys: list[str], height: int, width: int, words: int):
+    """Bitmaps of the rows of closed polygons, one polygon a row with its vertices ``ring`` in order: batches ``keys, y, tile, inside``.
+
+    A crossing sets the last pixel that it turns; the exclusive or of all bits to the right then says what is inside. Polygons are taken
+    in portions of a bounded number of crossings and of words.
+    """
+    tiles = -(-width // (64 * words))
+    rings = batch.column("ring")
+    sizes = np.asarray(rings.value_lengths().to_numpy(zero_copy_only=False), "int64")
+    whole = all(pa.types.is_integer(rings.type.value_type.field(c).type) for c in ("y", "x"))
+    portion = np.cumsum((sizes + tiles) * height) >> 19
+    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(portion)) + 1):
+        flat = rings.slice(some[0], len(some)).flatten() if len(some) else None
+        if flat is None or not len(flat):
+            continue
+        n = sizes[some]
+        known = np.logical_and(*[flat.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("y", "x")])
+        ys, xs = (flat.field(c).fill_null(0).to_numpy(zero_copy_only=False).astype("int64" if whole else "float64") for c in ("y", "x"))
+        after = np.arange(len(ys)) + 1
+        after[np.cumsum(n)[n > 0] - 1] = (np.cumsum(n) - n)[n > 0]
+        kept = known & known[after] & (ys != ys[after])
+        ring, y1, x1, y2, x2 = np.repeat(np.arange(len(n)), n)[kept], ys[kept], xs[kept], ys[after][kept], xs[after][kept]
+        low = np.maximum(np.ceil(np.minimum(y1, y2)), 0).astype("int64")
+        rows = np.maximum(np.minimum(np.ceil(np.maximum(y1, y2)), height).astype("int64") - low, 0)
+        edge = np.repeat(np.arange(len(rows)), rows)
+        y = np.arange(len(edge)) - np.repeat(np.cumsum(rows) - rows, rows) + low[edge]
+        at = x1[edge] + (y - y1[edge]) * (x2 - x1)[edge] / (y2 - y1)[edge].astype("float64")
+        bit = np.clip(np.ceil(at), 0, width).astype("int64") - 1
+        line, bit = (ring[edge] * height + y)[bit >= 0], bit[bit >= 0]
+        turned = np.zeros(len(n) * height * tiles * words, "uint64")
+        np.bitwise_xor.at(turned, line * tiles * words + (bit >> 6), np.uint64(1) << (bit & 63).astype("uint64"))
+        for step in (1, 2, 4, 8, 16, 32):
+            turned ^= turned >> np.uint64(step)
+        turned = turned.reshape(-1, tiles * words)
+        odd = np.bitwise_xor.accumulate(turned[:, ::-1] & np.uint64(1), axis=1)[:, ::-1]  # words from each on
+        turned[:, :-1] ^= np.uint64(0) - odd[:, 1:]
+        turned = turned.reshape(-1, words)
+        found = np.flatnonzero(turned.any(axis=1))
+        inside = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype="int32") * words), pa.array(turned[found].view("int64").ravel()))
+        owner = pa.array(some[0] + found // (height * tiles))
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(k).take(owner) for k in keys], pa.array(found // tiles % height), pa.array((found % tiles).astype("int32")), inside], [*keys, "y", "tile", "inside"])
+
+
 def column_distances(pdf: pd.DataFrame) -> pd.DataFrame:
     """Second pass of the exact distance transform for a band of columns: min over rows of row distance squared plus dy squared."""
     y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())

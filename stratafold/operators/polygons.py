@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratafold.functions.ordered import next_in_ring
-from stratafold.functions.sequential import filled_pixels
+from stratafold.functions.sequential import filled_pixels, ring_masks
+from stratafold.session import cut_lineage
 
 
 def edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,6 +128,55 @@ def row_masks(edge_rows: DataFrame, keys: list[str], height: int, width: int) ->
     return turned.filter(" OR ".join(f"{w} <> 0" for w in words)).select(*keys, "y", "tile", F.array(*words).alias("inside"))
 
 
+def polygon_masks(vertices: DataFrame, keys: list[str], height: int, width: int, most: int = 256) -> DataFrame:
+    """``row_masks`` of the closed polygons ``(keys, vertex, y, x)``, without shuffling the masks of those of at most ``most`` vertices.
+
+    Vertices are counted first. A small polygon is one row that holds its ring, and its masks are made inside a task, so what is shuffled
+    is vertices. Larger ones go through ``edges`` and ``row_masks``, which never gather a polygon.
+    """
+    corners = vertices.select(*keys, "vertex", "y", "x").dropna(subset=keys)
+    large = cut_lineage(corners.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys))
+    some_large = not large.isEmpty()
+    small = corners.join(large, keys, "left_anti") if some_large else corners
+    rings = small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("vertex", "y", "x"))).alias("ring"))
+    made = T.StructType([*[corners.schema[k] for k in keys], T.StructField("y", T.LongType()), T.StructField("tile", T.IntegerType()),
+                         T.StructField("inside", T.ArrayType(T.LongType()))])
+
+    def masked(batches):
+        for batch in batches:
+            yield from ring_masks(batch, keys, height, width, MASK_WORDS)
+
+    masks = rings.mapInArrow(masked, made)
+    return masks.unionByName(row_masks(edges(corners.join(large, keys, "left_semi"), keys), keys, height, width)) if some_large else masks
+
+
+BROADCAST_ROWS = 100_000
+
+
+def _met(masks: DataFrame, planes: DataFrame, scope: list[str]) -> DataFrame:
+    """Masks with the bitmaps of their row. These are as many as the canvases have rows; they are made first, and the masks stay where they
+    are while the bitmaps counted are few.
+    """
+    planes = cut_lineage(planes)
+    return masks.join(F.broadcast(planes) if planes.count() <= BROADCAST_ROWS else planes, [*scope, "y", "tile"])
+
+
+def pixels_in_masks(points: DataFrame, masks: DataFrame, scope: list[str]) -> DataFrame:
+    """Distinct whole pixels of ``points(scope.., y, x)`` with every polygon of the same scope that covers them, as ``points_in_masks`` has them.
+
+    A row's pixels are one bitmap, so each mask meets one row; the bits common to both are the result.
+    """
+    words = [f"_p{j}" for j in range(MASK_WORDS)]
+    tiled = points.select(*scope, "y", F.floor(F.col("x") / MASK_BITS).cast("int").alias("tile"), F.col("x").cast("long").alias("_x"))
+    planes = tiled.groupBy(*scope, "y", "tile").agg(*[F.bit_or(_word(F.col("_x"), j)).alias(w) for j, w in enumerate(words)])
+    common = F.array(*[F.get("inside", F.lit(j)).bitwiseAND(F.col(w)) for j, w in enumerate(words)])
+    others = [c for c in masks.columns if c not in (*scope, "y", "tile", "inside")]
+    bits = _met(masks, planes, scope).select(*scope, "y", *others, "tile", F.posexplode(common).alias("_word", "_bits")).filter("_bits <> 0")
+    pixels = bits.select("*", F.explode(F.lit(list(range(64)))).alias("_bit")).filter(F.call_function("getbit", F.col("_bits"), F.col("_bit")) == 1)
+    x = F.col("tile").cast("long") * MASK_BITS + F.col("_word") * 64 + F.col("_bit")
+    return pixels.select(*scope, "y", x.cast(dict(points.dtypes)["x"]).alias("x"), *others)
+
+
 def points_in_masks(points: DataFrame, masks: DataFrame, scope: list[str]) -> DataFrame:
     """Points at whole pixels joined to every polygon of the same scope that covers them: equality on (scope, row, tile), then one bit."""
     tiled = points.withColumn("tile", F.floor(F.col("x") / MASK_BITS).cast("int"))
@@ -149,7 +200,7 @@ def counts_in_masks(weights: DataFrame, masks: DataFrame, scope: list[str], key:
     planes = tiled.groupBy(*scope, "y", "tile", "_digit").agg(*[F.bit_or(_word(F.col("_x"), j)).alias(w) for j, w in enumerate(words)])
     common = sum((F.bit_count(F.get("inside", F.lit(j)).bitwiseAND(F.col(w))).cast("long") for j, w in enumerate(words)), F.lit(0).cast("long"))
     value = F.call_function("shiftleft", common, F.col("_digit"))
-    return masks.join(planes, [*scope, "y", "tile"]).groupBy(key).agg(F.sum(value).alias(weight)).filter(F.col(weight) > 0)
+    return _met(masks, planes, scope).groupBy(key).agg(F.sum(value).alias(weight)).filter(F.col(weight) > 0)
 
 
 def covered_by_masks(points: DataFrame, masks: DataFrame, scope: list[str], name: str = "covered") -> DataFrame:

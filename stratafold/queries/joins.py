@@ -14,7 +14,7 @@ C = F.col
 
 
 def _masks(spark, folder):
-    return polygons.row_masks(polygons.edges(fx.verts(spark, folder), ["k", "region"]), ["k", "region"], 480, 480)
+    return polygons.polygon_masks(fx.verts(spark, folder), ["k", "region"], 480, 480)
 
 
 def _points(spark, folder):
@@ -23,7 +23,7 @@ def _points(spark, folder):
 
 @query("point_in_polygon_j1", "inside_pairs", "SELECT k, y, x, region FROM inside_pairs")
 def point_in_polygon(spark, folder):
-    return polygons.points_in_masks(_points(spark, folder), _masks(spark, folder), ["k"]).select("k", "y", "x", "region")
+    return polygons.pixels_in_masks(fx.cells(spark, folder), _masks(spark, folder), ["k"]).select("k", "y", "x", "region")
 
 
 @query("cells_per_polygon_j2", "inside_pairs cells", """
@@ -36,7 +36,7 @@ def cells_per_polygon(spark, folder):
 
 @query("first_region_j2", "inside_pairs", "SELECT k, y, x, min(region) AS region, count(*) - 1 AS shared FROM inside_pairs GROUP BY k, y, x")
 def first_region(spark, folder):
-    return polygons.points_in_masks(_points(spark, folder), _masks(spark, folder), ["k"]).groupBy("k", "y", "x").agg(
+    return polygons.pixels_in_masks(fx.cells(spark, folder), _masks(spark, folder), ["k"]).groupBy("k", "y", "x").agg(
         F.min("region").alias("region"), (F.count("*") - 1).alias("shared"))
 
 

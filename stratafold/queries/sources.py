@@ -198,7 +198,7 @@ hit AS (SELECT DISTINCT k, y, x FROM inside_pairs SEMI JOIN ok USING (region))
 SELECT p.k, p.y, p.x, h.k IS NOT NULL AS excluded FROM points p LEFT JOIN hit h ON p.k = h.k AND p.y = h.y AND p.x = h.x""")
 def exclusion_mask(spark, folder):
     points = fx.cells(spark, folder).select("k", "y", "x").distinct()
-    masks = polygons.row_masks(polygons.edges(fx.verts(spark, folder), ["k", "region"]), ["k", "region"], 480, 480)
+    masks = polygons.polygon_masks(fx.verts(spark, folder), ["k", "region"], 480, 480)
     return polygons.covered_by_masks(points, masks, ["k"], "excluded")
 
 
