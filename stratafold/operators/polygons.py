@@ -90,6 +90,44 @@ def points_in(points: DataFrame, spans: DataFrame, scope: list[str]) -> DataFram
     return points.join(spans, [*scope, "y"]).filter((F.col("x") >= F.col("x_from")) & (F.col("x") < F.col("x_to"))).drop("x_from", "x_to")
 
 
+def points_inside(rows: DataFrame, keys: list[str], height: int, width: int, most: int = 256) -> DataFrame:
+    """``(keys, y, x, vertices, a, b, inside)``: the distinct points of each polygon with the number of its distinct vertices, its first and last
+    vertex and the even-odd rule; points without a polygon are left out.
+
+    A row holds a ``corner(vertex, y, x)`` of the polygon, a ``point(y, x)`` that is asked about, or both; rows may repeat. They are counted
+    first. A polygon of at most ``most`` rows is gathered into one, its points and edges are compared there, and its rows are what is
+    shuffled. Larger ones meet their points by ``row_spans`` on the canvas and are never gathered.
+    """
+    known = rows.select(*keys, "corner", "point").dropna(subset=keys)
+    large = cut_lineage(known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys))
+    some_large = not large.isEmpty()
+    small = known.join(large, keys, "left_anti") if some_large else known
+    gathered = small.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_set("corner")).alias("_ring"), F.collect_set("point").alias("_points"))
+    ring, size = F.col("_ring"), F.size("_ring")
+    after = F.concat(F.slice(ring, 2, F.greatest(size - 1, F.lit(1))), F.slice(ring, 1, 1))
+    asked = gathered.filter(size > 0).select(
+        *keys, size.cast("long").alias("vertices"), F.get(F.filter(ring, lambda v: v["vertex"].isNotNull()), F.lit(0)).alias("a"), F.element_at(ring, -1).alias("b"),
+        F.arrays_zip(ring.alias("p"), after.alias("q")).alias("_edges"), F.explode("_points").alias("_point"))
+    y, x = F.col("_point.y"), F.col("_point.x")
+
+    def crossed(edge: Column) -> Column:
+        y1, x1, y2, x2 = edge["p"]["y"], edge["p"]["x"], edge["q"]["y"], edge["q"]["x"]
+        return ((y1 <= y) != (y2 <= y)) & (x < x1 + (y - y1) * (x2 - x1) / F.nullif((y2 - y1).cast("double"), F.lit(0.0)))
+
+    found = asked.select(*keys, y.alias("y"), x.alias("x"), "vertices", "a", "b", (F.size(F.filter("_edges", crossed)) % 2 == 1).alias("inside"))
+    if not some_large:
+        return found
+    big = known.join(large, keys, "left_semi")
+    corners = big.filter("corner IS NOT NULL").select(*keys, "corner.*").distinct()
+    points = big.filter("point IS NOT NULL").select(*keys, "point.*").distinct()
+    ends = F.struct("vertex", "y", "x")
+    facts = corners.groupBy(*keys).agg(F.count("*").alias("vertices"), F.min_by(ends, "vertex").alias("a"), F.max_by(ends, "vertex").alias("b"))
+    spans = row_spans(edges(corners, keys), keys, height, width, points.select(*keys, "y"))
+    held = points_in(points, spans, keys).select(*keys, "y", "x").distinct().withColumn("_in", F.lit(True))
+    return found.unionByName(points.join(facts, keys).join(held, [*keys, "y", "x"], "left").select(
+        *keys, "y", "x", "vertices", "a", "b", F.coalesce("_in", F.lit(False)).alias("inside")))
+
+
 MASK_WORDS = 8
 MASK_BITS = 64 * MASK_WORDS
 

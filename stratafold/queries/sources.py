@@ -214,17 +214,13 @@ UNION ALL SELECT p.section_id, p.y, p.x, 'polygon', coalesce(q.inside, false) FR
 LEFT JOIN poly q ON q.section_id = p.section_id AND q.y = p.y AND q.x = p.x
 UNION ALL SELECT p.section_id, p.y, p.x, 'refused', NULL FROM pts p JOIN n ON n.section_id = p.section_id AND n.n < 2""")
 def reviewed_area(spark, folder):
-    rings = fx.outlines(spark, folder)
-    facts = rings.groupBy("section_id").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("y", "x"), "vertex").alias("a"), F.max_by(F.struct("y", "x"), "vertex").alias("b"))
-    points = rings.select("section_id", F.col("x").alias("y"), F.col("y").alias("x")).distinct()
-    spans = polygons.row_spans(polygons.edges(rings, ["section_id"]), ["section_id"], 480, 480, points.select("section_id", "y"))
-    inside = polygons.points_in(points, spans, ["section_id"]).select("section_id", "y", "x").distinct().withColumn("_in", F.lit(True))
-    both = points.join(facts, "section_id").join(inside, ["section_id", "y", "x"], "left")
+    rows = fx.outline_rows(spark, folder).select("section_id", F.struct("vertex", "y", "x").alias("corner"), F.struct(F.col("x").alias("y"), F.col("y").alias("x")).alias("point"))
+    both = polygons.points_inside(rows, ["section_id"], 480, 480)
     line = polygons.half_plane(F.col("y"), F.col("x"), F.col("a.y"), F.col("a.x"), F.col("b.y"), F.col("b.x"), 480, 480)
+    n = F.col("vertices")
     return both.select(
-        "section_id", "y", "x", F.when(F.col("n") == 2, "line").when(F.col("n") >= 3, "polygon").otherwise("refused").alias("kind"),
-        F.when(F.col("n") == 2, line).when(F.col("n") >= 3, F.coalesce("_in", F.lit(False))).alias("inside"))
+        "section_id", "y", "x", F.when(n == 2, "line").when(n >= 3, "polygon").otherwise("refused").alias("kind"),
+        F.when(n == 2, line).when(n >= 3, F.col("inside")).alias("inside"))
 
 
 def _summary(spark, folder):
