@@ -70,9 +70,13 @@ def _language_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str
     """A hash per row, the row's language number, and the languages."""
     filled = pa.array(column).cast(pa.string()).fill_null("und").dictionary_encode()
     names = filled.dictionary.to_pylist()
-    of = np.array([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in names] or [0], np.uint64)
     index = filled.indices.to_numpy(zero_copy_only=False)
-    return of[index], index, names
+    return _tongues(names).view(np.uint64)[index], index, names
+
+
+def _tongues(names: list[str]) -> np.ndarray:
+    """A number for each of these languages."""
+    return np.array([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True) for name in names] or [0], np.int64)
 
 
 def _texts(batch: pa.RecordBatch):
@@ -170,25 +174,25 @@ def counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``key, n`` of the frequent words, and ``lang, n`` of all word occurrences."""
+    """``key, n, tongue`` of the frequent words, the last for their language, and ``lang, n`` of all word occurrences."""
     def count(batches):
         held, size, languages = [], 0, {}
 
         def told():
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.int64)
-            n = np.concatenate([c for _, c in held]) if held else np.zeros(0, np.int64)
+            keys, n, tongue = (np.concatenate([part[i] for part in held]) if held else np.zeros(0, np.int64) for i in range(3))
             order = np.argsort(keys)
-            keys, n = keys[order], n[order]
+            keys, n, tongue = keys[order], n[order], tongue[order]
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            return keys[new], np.add.reduceat(n, new) if len(keys) else n
+            return keys[new], np.add.reduceat(n, new) if len(keys) else n, tongue[new]
 
-        def sent(keys, n):
-            return pa.record_batch([pa.array(keys), pa.nulls(len(keys), pa.string()), pa.array(n.astype(np.int64))], names=["key", "lang", "n"])
+        def sent(keys, n, tongue):
+            return pa.record_batch([pa.array(keys), pa.nulls(len(keys), pa.string()), pa.array(n.astype(np.int64)), pa.array(tongue)], names=["key", "lang", "n", "tongue"])
 
         for batch in batches:
             for doc, _, keys, _, _, _, index, names in _texts(batch):
-                held.append(np.unique(keys, return_counts=True))
-                size += len(held[-1][0])
+                new, at, n = np.unique(keys, return_index=True, return_counts=True)
+                held.append((new, n, _tongues(names)[index[doc[at]]]))
+                size += len(new)
                 for i, c in enumerate(np.bincount(index[doc], minlength=len(names))):
                     languages[names[i]] = languages.get(names[i], 0) + int(c)
                 if size > HELD:
@@ -198,16 +202,19 @@ def word_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                         yield sent(*held.pop())
                         size = 0
         yield sent(*told())
-        yield pa.record_batch([pa.nulls(len(languages), pa.int64()), pa.array(list(languages), pa.string()), pa.array(list(languages.values()), pa.int64())],
-                              names=["key", "lang", "n"])
+        yield pa.record_batch([pa.nulls(len(languages), pa.int64()), pa.array(list(languages), pa.string()), pa.array(list(languages.values()), pa.int64()),
+                               pa.nulls(len(languages), pa.int64())], names=["key", "lang", "n", "tongue"])
 
-    sums = docs.mapInArrow(count, "key long, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    sums = docs.mapInArrow(count, "key long, lang string, n long, tongue long").groupBy("key", "lang").agg(F.sum("n").alias("n"), F.min("tongue").alias("tongue"))
     found = stored(sums.filter(F.col("lang").isNotNull() | (F.col("n") >= least)), "words")
-    return found.filter("key IS NOT NULL").select("key", "n"), found.filter("lang IS NOT NULL").select("lang", "n")
+    return found.filter("key IS NOT NULL").select("key", "n", "tongue"), found.filter("lang IS NOT NULL").select("lang", "n")
 
 
 def longer(docs: DataFrame, levels: list[Units], least: int) -> DataFrame:
-    """``key, left, right, n`` of the frequent phrases that are one word longer than the last level's."""
+    """``key, left, right, n`` of the frequent phrases that are one word longer than the last level's.
+
+    Pairs are shuffled by the ids of their parts; only the frequent ones get keys.
+    """
     known = docs.sparkSession.sparkContext.broadcast(levels)
 
     def pairs(batches):
@@ -216,8 +223,7 @@ def longer(docs: DataFrame, levels: list[Units], least: int) -> DataFrame:
 
         def sent(held):
             left, right, count = counted(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
-            a, b = levels[-1].keys_of(left), levels[0].keys_of(right)
-            return pa.record_batch([pa.array(pair_keys(a, b)), pa.array(a), pa.array(b), pa.array(count.astype(np.int64))], names=["key", "left", "right", "n"])
+            return pa.record_batch([pa.array(left), pa.array(right), pa.array(count.astype(np.int64))], names=["left", "right", "n"])
 
         held, size = [], 0
         for batch in batches:
@@ -244,8 +250,16 @@ def longer(docs: DataFrame, levels: list[Units], least: int) -> DataFrame:
         if size:
             yield sent(held)
 
-    made = docs.mapInArrow(pairs, "key long, left long, right long, n long")
-    return stored(made.groupBy("key", "left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+    def keyed(batches):
+        levels = known.value
+        for batch in batches:
+            left, right = (batch[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
+            a, b = levels[-1].keys_of(left), levels[0].keys_of(right)
+            yield pa.record_batch([pa.array(pair_keys(a, b)), pa.array(a), pa.array(b), batch["n"]], names=["key", "left", "right", "n"])
+
+    made = docs.mapInArrow(pairs, "left long, right long, n long")
+    frequent = made.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return stored(frequent.mapInArrow(keyed, "key long, left long, right long, n long"), "phrases")
 
 
 def spellings(docs: DataFrame, wanted: Units) -> DataFrame:
@@ -306,7 +320,10 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
         phrases = phrases.unionByName(u)
     counts = whole.select("words", "n")
     kept = _scored(phrases, counts).join(_contained(phrases), "words", "left").filter("most IS NULL OR 100 * CAST(most AS DECIMAL(20, 0)) < 80 * CAST(a AS DECIMAL(20, 0))")
-    kept = stored(kept.drop("most"), "kept")
+    # Only phrases that may be among the first need spellings; what ties with the last of them by score and count stays.
+    place = F.rank().over(Window.partitionBy("tongue").orderBy(F.desc("score"), F.desc("a")))
+    told = kept.drop("most").withColumn("key", F.get("words", F.lit(0))).join(frequent.select("key", "tongue"), "key").withColumn("_place", place)
+    kept = stored(told.filter(F.col("_place") <= most).select("words", "a", "l", "r", "score"), "kept")
     used = kept.select(F.explode("words").alias("key")).distinct().withColumn("n", F.lit(1).cast("long"))
     spelled = stored(spellings(texts, units_of(used, heads)), "spelled")
     spread = kept.select("words", "a", "l", "r", "score", F.posexplode("words").alias("i", "key")).join(spelled, "key")

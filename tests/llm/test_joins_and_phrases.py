@@ -238,3 +238,12 @@ def test_damage_and_no_rows(spark):
     assert kinds["assistant", "", 0] and kinds["assistant", "One Two Three", 0] and kinds["assistant", "One. Two! Three?", 1] and kinds["user", "One. Two! Three?", 0]
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert repair.repair(none, repair.damaged(none)).count() == 0
+
+
+def test_only_candidates_for_the_first_places_are_spelled(spark, monkeypatch):
+    asked, plain = [], collocations.spellings
+    monkeypatch.setattr(collocations, "spellings", lambda docs, wanted: asked.append(len(wanted.keys)) or plain(docs, wanted))
+    some = [("en", " . ".join(" ".join([f"a{i} b{i}"] * 1 + ["x"] * (i % 3)) for i in range(40)))] * 6 + [("en", "first second")] * 9
+    docs = spark.createDataFrame(some, "lang string, text string")
+    got = sorted(tuple(r) for r in collocations.collocations(docs, least=5, most=1).collect())
+    assert got == mined(some, 5, 1) and asked == [2]
