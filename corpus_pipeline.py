@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.llm import mixing, packing, quality, stages
-from stratafold.llm.common import stored, table
+from stratafold.llm.common import bound_batches, stored, table
 
 #: Words that near-duplicates' shingles have, and their similarity in percent.
 SHINGLE, SIMILAR = 5, 80
@@ -22,16 +22,19 @@ LIMITS = packing.Limits(tokens=1024, segments=64, loss_tokens=1024)
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    bound_batches(spark)
     return quality.judged(docs, table(spark, sf_dir, "labels"), seed=3).filter("_quality_kept").select(*docs.columns)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    bound_batches(spark)
     return stages.one_of_each(docs, SHINGLE, SIMILAR)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur in a document with a smaller id; documents of which nothing is left go."""
+    bound_batches(spark)
     return stages.without_passages(docs, PASSAGE)
 
 
@@ -43,6 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their place in the sequences."""
+    bound_batches(spark)
     return packing.pack(docs, LIMITS, end_id=0)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stratafold.session import shared_path
 
-#: Text bytes that one task is meant to hold at once.
-TASK_BYTES = 32 << 20
+#: Text bytes that one task is meant to hold at once, and bytes of a batch that goes to a Python worker.
+TASK_BYTES, BATCH_BYTES = 32 << 20, 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,6 +50,17 @@ def one_by_one(batches):
         pa.default_memory_pool().release_unused()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at ``BATCH_BYTES``; a smaller limit stays.
+
+    By rows alone a batch of whole texts has tens of MB, held by the executor and by each worker, and both keep that room.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(name).rstrip("bB")
+    if not (limit.isdigit() and 0 < int(limit) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one mix of 64-bit numbers in which every bit of the result depends on every bit of the input."""
     x = x.astype(np.uint64, copy=True)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm.common import mixed, one_by_one, stored, utf8
+from stratafold.llm.tokens import forget
 from stratafold.llm.words import distinct, grams, lowered, slices, word_hashes
 from stratafold.operators.components import star_roots
 
@@ -77,6 +78,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, bands, sketch``; the last two are empty without shingles."""
     def sign(batches):
+        forget()
         for batch in one_by_one(batches):
             data, limits = utf8(batch["text"])
             for a, b in slices(limits):
@@ -104,6 +106,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """``id, shingles`` of the documents with these ids."""
     def make(batches):
+        forget()
         for batch in one_by_one(batches):
             data, limits = utf8(batch["text"])
             for a, b in slices(limits):

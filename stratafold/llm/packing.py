@@ -20,12 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.llm.common import one_by_one
 from stratafold.llm.tokens import default_vocabulary, encoder
 
 #: Items that compete for places at once; the figures of a block stay in a processor's cache.
 BLOCK_ITEMS = 1024
 #: Tokens of a block at most, but for its last example.
 BLOCK_TOKENS = 4 << 20
+#: Texts that are encoded at once.
+TEXTS = 512
 
 
 @dataclass(frozen=True)
@@ -122,7 +125,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str | None = No
                     pa.array([int(sums[q]) if sums[q] & (sums[q] - 1) == 0 else limits.tokens for *_, q, _ in own], pa.int64()),
                 ], schema=schema)
 
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in one_by_one(batches) for at in range(0, whole.num_rows, TEXTS)):
             for doc_id, prompt, ids in zip(batch["doc_id"].to_pylist(), batch["_prompt"].to_pylist(), code.encode(batch["text"].to_pylist()), strict=True):
                 whole = np.append(np.frombuffer(ids, code.kind), np.array([end_id], code.kind))
                 held.append((doc_id, whole, len(whole) - min(max(prompt or 0, 0), len(whole))))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.llm.common import mixed, one_by_one, stored, utf8
+from stratafold.llm.tokens import forget
 from stratafold.llm.words import slices, word_hashes
 
 BUCKETS_LOG2 = 16
@@ -61,6 +62,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     rows = rows.select("text", (F.coalesce(F.col("_quality_fit") & (F.col("_quality_good") == 1), F.lit(False))).alias("target"))
 
     def count(batches):
+        forget()
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in one_by_one(batches):
             data, limits = utf8(batch["text"])
@@ -86,6 +88,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
     out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema], T.StructField("_quality_weight", T.DoubleType()), T.StructField("_quality_grams", T.LongType())])
 
     def weigh(batches):
+        forget()
         for batch in one_by_one(batches):
             data, limits = utf8(batch.column(text))
             total, grams = np.zeros(len(limits) - 1), np.zeros(len(limits) - 1, np.int64)

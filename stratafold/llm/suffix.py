@@ -107,6 +107,12 @@ def _combined(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (_bucket(anchor, buckets).astype(np.uint64) << np.uint64(32)) | _short(anchor)
 
 
+def _texts(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes and limits, after what earlier chunks have left is given back: workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    return utf8(chunk["text"])
+
+
 def _ids(chunk: pa.Table) -> np.ndarray:
     return chunk["doc_id"].cast(pa.int64()).combine_chunks().fill_null(_LAST).to_numpy()
 
@@ -214,7 +220,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
     texts = held.select("_dedup_chunk", "doc_id", "text")
 
     def anchors(chunk: pa.Table) -> pa.Table:
-        doc, _, _, anchor, _ = pieces(*utf8(chunk["text"]), span)
+        doc, _, _, anchor, _ = pieces(*_texts(chunk), span)
         both = _combined(anchor, buckets)
         order = np.lexsort((doc, both))
         both, doc = both[order], doc[order]
@@ -234,7 +240,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
         if not chunk.num_rows or not back.num_rows:
             return pa.table({c: pa.array([], pa.int32() if c in ("bucket", "_dedup_chunk") else pa.binary()) for c in ("bucket", "_dedup_chunk", "piece", "anchor", "owner")})
         some = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32) for b, x in zip(back["bucket"].to_pylist(), back["anchors"].to_pylist(), strict=True)]))
-        doc, _, _, anchor, piece = pieces(*utf8(chunk["text"]), span)
+        doc, _, _, anchor, piece = pieces(*_texts(chunk), span)
         mine = np.flatnonzero(_within(_combined(anchor, buckets), some))
         names, owner, at = _least(piece[mine], _ids(chunk)[doc[mine]])
         anchor = anchor[mine][at]
@@ -252,7 +258,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
         if not chunk.num_rows or not back.num_rows:
             return pa.table({c: pa.array([], pa.int32() if c in ("bucket", "_dedup_chunk") else pa.binary()) for c in ("bucket", "_dedup_chunk", "piece", "owner", "size", "text")})
         asked = np.sort(_joined(back["piece"], np.uint64))
-        data, limits = utf8(chunk["text"])
+        data, limits = _texts(chunk)
         doc, first, stop, anchor, piece = pieces(data, limits, span)
         mine = np.flatnonzero(_within(piece, asked))
         names, owner, at = _least(piece[mine], _ids(chunk)[doc[mine]])
@@ -274,7 +280,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
     out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema], *[T.StructField(n, t) for n, t in made]])
 
     def removed(chunk: pa.Table, back: pa.Table) -> pa.Table:
-        data, limits = utf8(chunk["text"])
+        data, limits = _texts(chunk)
         doc, first, stop, _, piece = pieces(data, limits, span)
         own = _ids(chunk)[doc]
         names, owner, _ = _least(piece, own)
@@ -285,7 +291,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
         owner[np.searchsorted(names, sent)] = smaller
         number = np.searchsorted(names, piece)
         whole = owner[number] < own
-        mark = np.zeros(len(data) + 1, np.int32)
+        mark = np.zeros(len(data) + 1, np.int16 if span < 1 << 13 else np.int32)  # a byte lies in at most ``span`` pieces
         np.add.at(mark, first[whole], 1)
         np.add.at(mark, stop[whole] + span, -1)
         part, windows = _joined(some[2]["piece"], np.uint64), _joined(some[2]["windows"], np.int32).reshape(-1, 2)
@@ -298,7 +304,8 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
             at = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             np.add.at(mark, first[mine] + windows[at, 0], 1)
             np.add.at(mark, first[mine] + windows[at, 1] + span, -1)
-        gone = np.cumsum(mark[:-1], dtype=np.int32, out=mark[:-1]) > 0
+        gone = np.cumsum(mark[:-1], dtype=mark.dtype, out=mark[:-1]) > 0
+        del mark
         if whole_characters and len(data):  # a byte that stays keeps its character: of four bytes at most, so three steps either way
             inner = (data[1:] & 0xC0) == 0x80
             stays = ~gone
@@ -307,6 +314,7 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
             for _ in range(3):
                 stays[:-1] |= stays[1:] & inner
             gone = ~stays
+            del inner, stays
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[limits[:-1][limits[:-1] < len(data)]] = gone[limits[:-1][limits[:-1] < len(data)]]

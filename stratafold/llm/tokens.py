@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Pieces after which a worker process begins a new memory; it keeps the one before, and takes from that what comes again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: New pieces that are encoded in one text.
 LINES = 400
 #: Texts that the library is given at once, and characters whose pieces are held at once.
@@ -126,6 +126,11 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Lets go of the worker process's encoders with all that they remember, for work that encodes nothing: the process lives on."""
+    _ENCODERS.clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

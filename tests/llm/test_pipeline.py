@@ -2,13 +2,15 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import components, removed
 
 import corpus_pipeline
-from stratafold.llm import stages
-from stratafold.llm.common import stored
+from stratafold.llm import near, stages, tokens
+from stratafold.llm.common import BATCH_BYTES, stored
+from stratafold.llm.tokens import default_vocabulary, encoder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -94,3 +96,41 @@ def test_stages_take_an_empty_table_and_other_columns(spark):
     assert stages.one_of_each(docs.limit(0), 5, 80).count() == 0
     left = stages.without_passages(docs, 50)
     assert left.columns == docs.columns and {r["text"] for r in left.collect()} >= {None, "", "only here", LONG}
+
+
+class Rows:
+    """Gives the function that a worker would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, function, _):
+        return function
+
+
+def test_stages_that_encode_nothing_let_go_of_encoders(spark):
+    encoder(default_vocabulary()).encode(["one two"])
+    assert tokens._ENCODERS
+    assert list(near.signatures(Rows(), 5)([])) == []
+    assert not tokens._ENCODERS
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 4])
+def test_workers_get_batches_of_bounded_size(spark, stage):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    corpus_pipeline.STAGES[stage][1](spark, docs, FOLDER)
+    many = spark.range(9).crossJoin(docs).select("text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["bytes", "rows"])
+
+    found = many.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r["rows"] for r in found) == many.count() and len(found) > 1
+    assert max(r["bytes"] for r in found) < 1.5 * BATCH_BYTES
+    spark.conf.set(name, "65536")  # a smaller limit stays
+    corpus_pipeline.packed(spark, docs, FOLDER)
+    assert spark.conf.get(name).rstrip("b") == "65536"
+    spark.conf.unset(name)
