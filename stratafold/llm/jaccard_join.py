@@ -31,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.llm.common import mixed, one_by_one, stored, utf8
@@ -90,7 +90,17 @@ def widths(size: np.ndarray) -> np.ndarray:
     return np.where(size > 0, WORDS << np.ceil(np.log2(np.maximum(size, LARGE) / LARGE)).astype(np.int64), 0)
 
 
-def _sets(batch: pa.RecordBatch, n: int):
+def parities(doc: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The words of all sets' parity bitmaps in a row."""
+    width = widths(size)
+    at = np.cumsum(width) - width
+    bit = hashes & (64 * width[doc] - 1).astype(np.uint64)
+    words = np.zeros(int(width.sum()), np.uint64)
+    np.bitwise_xor.at(words, at[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return words
+
+
+def _sets(batch: pa.RecordBatch | pa.Table, n: int):
     """Per slice of a batch: its rows' range, and text number and n-grams of their sets in order."""
     data, limits = utf8(batch["text"])
     for a, b in slices(limits):
@@ -134,16 +144,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for a, b, doc, hashes in _sets(batch, n):
                 size = np.bincount(doc, minlength=b - a)
                 has = np.flatnonzero(size)
-                digest, bitmap = np.zeros((2, b - a), np.uint64), np.zeros(0, np.uint64)
+                digest = np.zeros((2, b - a), np.uint64)
                 if len(has):
                     first = np.concatenate([[0], np.cumsum(size[has])[:-1]])
                     digest[0, has] = mixed(np.add.reduceat(hashes, first) + size[has].astype(np.uint64))
                     digest[1, has] = np.add.reduceat(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), first)
-                    bits_of = widths(size)
-                    at = np.cumsum(bits_of) - bits_of
-                    bit = hashes & (64 * bits_of[doc] - 1).astype(np.uint64)
-                    bitmap = np.zeros(int(bits_of.sum()), np.uint64)
-                    np.bitwise_xor.at(bitmap, at[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
                 order = np.lexsort(((common[hashes >> shift].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8)), doc))
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 length = np.where(size > 0, size - least_partner(size, percent) + 1, 0)
@@ -153,7 +158,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 little = (size <= SMALL)[doc]
                 yield pa.record_batch([
                     batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                    _lists(bitmap, widths(size)), _lists(prefix, length), pa.array(hots), _lists(hashes[little], np.where(size <= SMALL, size, 0)),
+                    _lists(parities(doc, hashes, size), widths(size)), _lists(prefix, length), pa.array(hots), _lists(hashes[little], np.where(size <= SMALL, size, 0)),
                 ], names=["doc_id", "key", "size", "d1", "d2", "bitmap", "prefix", "hot", "small"])
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(sign, "doc_id long, key long, size long, d1 long, d2 long, bitmap array<long>, prefix array<long>, hot int, small array<long>")
@@ -213,23 +218,11 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(~unlike).select("p", "rep")
 
 
-def full_sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``rep, grams``: the sets of these classes, made again from one text of each."""
-    wanted = stored(classes.select("rep", "key").join(reps, "rep"), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted  # else the texts are shuffled
-
-    def make(batches):
-        for batch in batches:
-            for a, b, doc, hashes in _sets(batch, n):
-                yield pa.record_batch([batch["rep"].slice(a, b - a), _lists(hashes, np.bincount(doc, minlength=b - a))], names=["rep", "grams"])
-
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").dropDuplicates(["key"])
-    return texts.select("rep", "text").mapInArrow(make, "rep long, grams array<long>")
-
-
-def _met(classes: DataFrame, limit: int) -> DataFrame:
+def _met(classes: DataFrame, limit: int, percent: int) -> DataFrame:
     """``gram, rep, size, p`` of the lists with two classes or more, one of them over ``limit``; ``p`` is the least class.
 
+    An entry whose neighbours by size are too small and too large for it has no partner in its list and leaves it, but in hot lists.
+
     The entries are shuffled once: what is counted per part of a list is joined back to the parts where they lie. Hot lists have
     ``SALTS`` parts, all others one.
     """
@@ -237,6 +230,9 @@ def _met(classes: DataFrame, limit: int) -> DataFrame:
     salt = F.coalesce(F.when(F.col("at") >= F.col("many") - F.col("hot"), 1 + F.pmod("rep", F.lit(SALTS))).cast("int"), F.lit(0))  # without nulls, or the two readers' plans differ
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = at.select("gram", salt.alias("salt"), "rep", "size").repartition(parts, "gram", "salt")
+    by_size = Window.partitionBy("gram", "salt").orderBy("size", "rep")
+    some = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(by_size))
+    entries = entries.withColumn("some", (F.col("salt") > 0) | F.coalesce(some, F.lit(False))).filter("some").drop("some")
     counted = entries.groupBy("gram", "salt").agg(F.min(F.struct("size", "rep")).alias("p"), F.max("size").alias("most"), F.count("*").alias("m")).filter("m > 1 OR salt > 0")
     lists = counted.groupBy("gram").agg(F.min("p").alias("p"), F.max("most").alias("most"), F.sum("m").alias("m"), F.collect_set("salt").alias("salts")).filter(
         (F.col("m") > 1) & (F.col("most") > limit))
@@ -397,14 +393,18 @@ def _across(entries: DataFrame, roots: DataFrame, classes: DataFrame, docs: Data
         large = np.isin(pivot[at], bundle[many > 2 * TILE])
         unit = np.where(large, own[at], pivot[at])
         _, once = np.unique(np.stack([unit, rep]), axis=1, return_index=True)
-        return group.select(["rep", "root", "size", "bitmap"]).take(pa.array(at[once])).add_column(0, "unit", pa.array(unit[once]))
+        return group.select(["rep", "root"]).take(pa.array(at[once])).add_column(0, "unit", pa.array(unit[once]))
 
     def linked(group: pa.Table) -> pa.Table:
-        root, size = group["root"].to_numpy(), group["size"].to_numpy()
-        x, y = _apart(np.zeros(len(root), np.int64), size, root, _bits(group), percent)
-        lists = group["grams"].combine_chunks()
-        row = np.repeat(np.arange(group.num_rows), np.diff(lists.offsets.to_numpy()))
-        common = _scan(row, lists.flatten().to_numpy(zero_copy_only=False), group.num_rows, x, y)
+        _, once = np.unique(group["rep"].to_numpy(), return_index=True)  # a text may come from several tasks
+        group = group.take(pa.array(once))
+        root = group["root"].to_numpy()
+        sets = [(a + doc, hashes) for a, _, doc, hashes in _sets(group, n)]
+        row, gram = (np.concatenate(c) for c in zip(*sets, strict=True))
+        size = np.bincount(row, minlength=len(root))
+        width = widths(size)
+        x, y = _apart(np.zeros(len(root), np.int64), size, root, (parities(row, gram, size), np.cumsum(width) - width), percent)
+        common = _scan(row, gram, len(root), x, y)
         right = 100 * common >= percent * (size[x] + size[y] - common)
         joined, out = {}, []
 
@@ -419,9 +419,16 @@ def _across(entries: DataFrame, roots: DataFrame, classes: DataFrame, docs: Data
                 out.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    some = stored(dealt.groupBy("bin").applyInArrow(partnered, "unit long, rep long, root long, size long, bitmap array<long>"), "partnered")
-    sets = full_sets(docs, some.select("rep").distinct(), classes, n)
-    return some.join(sets, "rep").groupBy("unit").applyInArrow(linked, "a long, b long").distinct()
+    some = stored(dealt.groupBy("bin").applyInArrow(partnered, "unit long, rep long, root long"), "partnered")
+    members = some.groupBy("unit").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    units = members.groupBy("m", "least", "who").agg(F.min("unit").alias("unit")).select("unit")  # one of those with the same members
+    wanted = stored(some.join(units, "unit").join(classes.select("rep", "key"), "rep").select("key", "unit", "rep", "root"), "wanted")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    if wanted.count() <= FEW:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
+        texts = texts.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi")
+    rows = texts.mapInArrow(_once, texts.schema).join(wanted, "key").select("unit", "rep", "root", "text")
+    return rows.groupBy("unit").applyInArrow(linked, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, limit: int | None = None) -> DataFrame:
@@ -434,7 +441,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, limit: int
     limit = boundary(classes, percent) if limit is None else min(limit, SMALL)
     small = stored(_small_links(classes, limit, percent), "links")
     # a small set is in lists only where a large one may be its partner
-    entries = _met(classes.filter(F.col("size") >= least_partner(limit + 1, percent)), limit)
+    entries = _met(classes.filter(F.col("size") >= least_partner(limit + 1, percent)), limit, percent)
     met = stored(entries, "entries")
     near = 100 * F.least("size", "p.size") >= percent * F.greatest("size", "p.size")  # a set shares no more than the smaller one has
     stars = met.filter((F.col("rep") != F.col("p.rep")) & near).select(F.col("p.rep").alias("p"), "rep").distinct()  # the smaller set, then the smaller rep, is p

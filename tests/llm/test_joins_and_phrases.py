@@ -247,3 +247,22 @@ def test_only_candidates_for_the_first_places_are_spelled(spark, monkeypatch):
     docs = spark.createDataFrame(some, "lang string, text string")
     got = sorted(tuple(r) for r in collocations.collocations(docs, least=5, most=1).collect())
     assert got == mined(some, 5, 1) and asked == [2]
+
+
+def test_entries_without_a_partner_by_size_leave_their_list(spark):
+    some = [(1, 100, 0, [7]), (2, 95, 0, [7]), (3, 300, 0, [7]), (4, 80, 0, [7]), (5, 40, 0, [8]), (6, 50, 0, [8]), (7, 100, 1, [9]), (8, 300, 1, [9])]
+    classes = spark.createDataFrame(some, "rep long, size long, hot int, prefix array<long>")
+    got = sorted((r["gram"], r["rep"]) for r in jaccard_join._met(classes, 0, 90).collect())
+    assert got == [(7, 1), (7, 2), (9, 7), (9, 8)]  # the list of 9 is hot, and goes by parts
+
+
+def test_full_sets_are_compared_from_texts_that_come_twice(spark):
+    words = [str(i) for i in range(60)]
+    some = [(i, " ".join(words[:30 + i] + ["x%d" % i] + words[30 + i:])) for i in range(9)]
+    docs = spark.createDataFrame(some + some, "doc_id long, text string").repartition(5)
+    classes = jaccard_join.signatures(docs, 3, 80).groupBy(F.col("d1").alias("rep")).agg(
+        F.first("key").alias("key"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
+    reps = classes.select(F.lit(1).cast("long").alias("gram"), "rep")
+    none = spark.createDataFrame([], "rep long, root long")
+    links = [(r["a"], r["b"]) for r in jaccard_join._across(reps, none, classes, docs, 3, 80).collect()]
+    assert len(links) == 8 and len({x for pair in links for x in pair}) == 9  # as few as join all
