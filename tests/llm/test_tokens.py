@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm import packing, token_files
 from stratafold.llm.common import stored
-from stratafold.llm.tokens import default_vocabulary, encoder
+from stratafold.llm.tokens import Encoder, default_vocabulary, encoder
 from stratafold.session import shared_path
 
 
@@ -30,6 +30,25 @@ def test_line_ends_before_white_space_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(code.encode([text])[0], code.kind).tolist() == ids_of(text, 0).tolist()[:-1]
 
 
+def test_letters_go_to_the_model_without_the_search_for_cuts():
+    text = "Thoningen hees.\nañade große ÿ, the hees; ªº µ Ereaeaor"
+    want = ids_of(text, 0).tolist()[:-1]
+    code = Encoder(default_vocabulary())
+    code.encode(["a.\nb,\nc;"])  # signs and line ends
+    code.library = None  # what needs the whole library fails
+    assert np.frombuffer(code.encode([text])[0], code.kind).tolist() == want
+
+
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr("stratafold.llm.tokens.REMEMBERED", 3)
+    monkeypatch.setattr("stratafold.llm.tokens.CHARACTERS", 20)
+    code = Encoder(default_vocabulary())
+    texts = ["the hees. the", "x  y\n\n z", "", "É! é. ɐ. 12; 3's.", "the hees, 漢字.", "<|endoftext|> the hees.", None, "漢字. the hees", "\nthe\n"]
+    for _ in range(3):
+        for text, made in zip(texts, code.encode(texts), strict=True):
+            assert np.frombuffer(made, code.kind).tolist() == ids_of(text, 0).tolist()[:-1]
+
+
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", "a\n <|endoftext|>\n b", "<|endoftext|>", "x  <|endoftext|>  y"])
 def test_ids_are_those_of_the_library_as_it_comes(text):
     from tokenizers import Tokenizer
