@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +44,22 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[limits[0]:limits[-1]], limits - limits[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, take turns, and each would keep the room of its largest piece of work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def one_by_one(batches):
     """The batches, each given back to the system before the next one comes: workers live on and would keep the room of the largest."""
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def bound_batches(spark: SparkSession) -> None:

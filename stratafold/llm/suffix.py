@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.llm.common import mixed, parts_for, stored, utf8
+from stratafold.llm.common import give_back, mixed, parts_for, stored, utf8
 from stratafold.llm.run_index import RunIndex
+from stratafold.llm.tokens import forget
 from stratafold.llm.words import slices
 from stratafold.session import shared_path
 
@@ -109,7 +110,8 @@ def _combined(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 def _texts(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes and limits, after what earlier chunks have left is given back: workers live on and would keep it."""
-    pa.default_memory_pool().release_unused()
+    forget()
+    give_back()
     return utf8(chunk["text"])
 
 
@@ -148,6 +150,7 @@ def _least(piece: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _shared_anchors(rows: pa.Table) -> pa.Table:
+    give_back()
     anchors, several = _joined(rows["anchors"], np.uint32), _joined(rows["several"], np.uint8)
     sizes = np.array([len(x) // 4 for x in rows["anchors"].to_pylist()])
     order = np.argsort(anchors, kind="stable")
@@ -162,6 +165,7 @@ def _shared_anchors(rows: pa.Table) -> pa.Table:
 
 
 def _smallest_owners(rows: pa.Table) -> pa.Table:
+    give_back()
     piece, anchor, owner = (_joined(rows[c], k) for c, k in (("piece", np.uint64), ("anchor", np.uint32), ("owner", np.int64)))
     chunk = np.repeat(rows["_dedup_chunk"].to_numpy(), [len(x) // 8 for x in rows["piece"].to_pylist()])
     names, owners, at = _least(piece, owner)
@@ -180,6 +184,7 @@ def _smallest_owners(rows: pa.Table) -> pa.Table:
 
 def _earlier_strings(span: int):
     def find(rows: pa.Table) -> pa.Table:
+        give_back()
         piece, owner, size = (_joined(rows[c], k) for c, k in (("piece", np.uint64), ("owner", np.int64), ("size", np.int32)))
         chunk = np.repeat(rows["_dedup_chunk"].to_numpy(), [len(x) // 8 for x in rows["piece"].to_pylist()])
         blob = b"".join(rows["text"].to_pylist())
@@ -308,12 +313,12 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
         del mark
         if whole_characters and len(data):  # a byte that stays keeps its character: of four bytes at most, so three steps either way
             inner = (data[1:] & 0xC0) == 0x80
-            stays = ~gone
+            stays = np.logical_not(gone, out=gone)
             for _ in range(3):
                 stays[1:] |= stays[:-1] & inner
             for _ in range(3):
                 stays[:-1] |= stays[1:] & inner
-            gone = ~stays
+            gone = np.logical_not(stays, out=stays)
             del inner, stays
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -326,11 +331,12 @@ def without_earlier(docs: DataFrame, span: int = 50, whole_characters: bool = Fa
                 out[filled] = np.add.reduceat(x, limits[filled], dtype=np.int64)
             return out
 
-        taken = total(gone)
+        taken, spans = total(gone), total(begins)
+        del begins
         kept_limits = np.concatenate([[0], np.cumsum(np.diff(limits) - taken)])
-        kept = pa.Array.from_buffers(pa.large_binary(), len(limits) - 1, [None, pa.py_buffer(kept_limits.astype(np.int64).tobytes()), pa.py_buffer(data[~gone].tobytes())])
+        kept = pa.Array.from_buffers(pa.large_binary(), len(limits) - 1, [None, pa.py_buffer(kept_limits.astype(np.int64)), pa.py_buffer(data[np.logical_not(gone, out=gone)])])
         table = chunk.select(columns)
-        for (n, _), values in zip(made, (pa.array(np.diff(limits)), pa.array(taken), pa.array(total(begins)), kept.cast(pa.binary())), strict=True):
+        for (n, _), values in zip(made, (pa.array(np.diff(limits)), pa.array(taken), pa.array(spans), kept.cast(pa.binary())), strict=True):
             table = table.append_column(n, values)
         return table
 

@@ -16,6 +16,8 @@ import string
 import numpy as np
 import pyarrow as pa
 
+from stratafold.llm.common import give_back
+
 #: Pieces after which a worker process begins a new memory; it keeps the one before, and takes from that what comes again.
 REMEMBERED = 200_000
 #: New pieces that are encoded in one text.
@@ -204,7 +206,9 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
 
 def forget() -> None:
     """Lets go of the worker process's encoders with all that they remember, for work that encodes nothing: the process lives on."""
-    _ENCODERS.clear()
+    if _ENCODERS:
+        _ENCODERS.clear()
+        give_back()
 
 
 def default_vocabulary() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_dedup import components, removed
 
 import corpus_pipeline
-from stratafold.llm import near, stages, tokens
+from stratafold.llm import near, stages, suffix, tokens
 from stratafold.llm.common import BATCH_BYTES, stored
 from stratafold.llm.tokens import default_vocabulary, encoder
 
@@ -115,6 +115,15 @@ def test_stages_that_encode_nothing_let_go_of_encoders(spark):
     assert not tokens._ENCODERS
 
 
+def test_passages_let_go_of_encoders_and_give_room_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(suffix, "give_back", lambda: calls.append(1))
+    encoder(default_vocabulary()).encode(["one two"])
+    data, limits = suffix._texts(pa.table({"text": ["one", None]}))
+    assert (data.tobytes(), limits.tolist()) == (b"one", [0, 3, 3])
+    assert calls and not tokens._ENCODERS
+
+
 @pytest.mark.parametrize("stage", [0, 1, 2, 4])
 def test_workers_get_batches_of_bounded_size(spark, stage):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
