@@ -308,12 +308,15 @@ def chop_ends(border: DataFrame, crossing: DataFrame) -> DataFrame:
     return marked.withColumn("stop", F.when(F.col("_l") | F.col("_r"), 0.0).otherwise(stop().cast("double"))).drop("crosses", "_l", "_r")
 
 
-def smooth_mean(border: DataFrame, size: int) -> DataFrame:
-    """Running mean with the end values repeated."""
+def smooth_mean(border: DataFrame, size: int, rays: int | None = None) -> DataFrame:
+    """Running mean with the end values repeated.
+
+    The ends are those of the canvas' ``rays``, where a ray that is not there adds nothing, or of the rays that are there.
+    """
     from stratafold.operators.rays import box_mean
 
-    n = border.withColumn("_n", F.count("*").over(section()))
-    made = box_mean(n, ["image"], "ray", F.col("_n"), size, "nearest", _m=stop().cast("double"))
+    n = border.withColumn("_n", F.count("*").over(section()) if rays is None else F.lit(rays))
+    made = box_mean(n, ["image"], "ray", F.col("_n"), size, "nearest", rays is not None, _m=stop().cast("double"))
     return made.withColumn("stop", F.col("_m")).drop("_m", "_n")
 
 

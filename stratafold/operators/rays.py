@@ -112,10 +112,14 @@ def halo(df: DataFrame, position: str, n: Column, size: int, mode: str) -> DataF
     return copies.withColumn("_copy", F.col("_at") != at).withColumn(position, F.col("_at")).drop("_at")
 
 
-def box_mean(df: DataFrame, keys: list[str], position: str, n: Column, size: int, mode: str, **values: Column) -> DataFrame:
-    """Running means of ``size`` cells along a line with padded ends; an even window leans to the left."""
+def box_mean(df: DataFrame, keys: list[str], position: str, n: Column, size: int, mode: str, by_place: bool = False, **values: Column) -> DataFrame:
+    """Running means of ``size`` cells along a line with padded ends; an even window leans to the left.
+
+    ``by_place`` finds the cells of a window by their position, so places without a cell add nothing, instead of by their order.
+    """
     left = size // 2
-    w = Window.partitionBy(*keys).orderBy(position).rowsBetween(-left, size - 1 - left)
+    line = Window.partitionBy(*keys).orderBy(position)
+    w = line.rangeBetween(-left, size - 1 - left) if by_place else line.rowsBetween(-left, size - 1 - left)
     padded = halo(df, position, n, size, mode) if size > 1 else df.withColumn("_copy", F.lit(False))
     return padded.select("*", *[F.avg(c).over(w).alias(name) for name, c in values.items()]).filter(~F.col("_copy")).drop("_copy")
 
