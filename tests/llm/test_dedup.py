@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_corpus import empty, frame, prose, rows
 from pyspark.sql import functions as F
@@ -201,3 +202,21 @@ def test_ranges_of_rows_agree_with_slices_at_any_size(size):
     whole_ranges = [r for r, ok in zip(ranges, full) if ok]
     assert all(len(set(r)) == 1 and len(r[0]) == size for r in whole_ranges)
     assert len({r[0] for r in whole_ranges}) == len(whole_ranges) == len({h for h in heads if len(h) == size})
+
+
+@pytest.mark.parametrize("span", [20, 21, 22, 25, 50, 96])
+def test_every_string_holds_a_stretch_around_its_anchor(span):
+    need = span - suffix.ANCHOR
+    for left in range(need + 1):
+        assert any(left >= a and need - left >= b for a, b in suffix._stretches(span))
+
+
+def test_texts_are_asked_only_of_pieces_that_another_document_continues():
+    """Four different pieces with one anchor: two share a stretch, of two documents; the others share none, or are of one document."""
+    pieces = np.array([11, 12, 13, 14, 15], np.uint64)
+    owners = np.array([5, 3, 2, 7, 7], np.int64)
+    around = np.array([[8, 0, 9], [8, 1, 0], [0, 2, 4], [0, 3, 5], [0, 3, 6]], np.uint32)
+    rows = pa.table({"bucket": [0], "_dedup_chunk": [6], "piece": [pieces.tobytes()], "anchor": [np.full(5, 77, np.uint32).tobytes()],
+                     "owner": [owners.tobytes()], "around": [around.tobytes()]})
+    got = {r["kind"]: np.frombuffer(r["piece"], np.uint64).tolist() for r in suffix._smallest_owners(rows).to_pylist()}
+    assert got == {1: [11], 3: [12]}  # 11 is searched in the index, 12 only lies in it
